@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks import tables as tb
 from checks.splits import _SEQ_HEAD, seeds_sql
 from odorframe.functions.arrays import spline_basis
-from odorframe.operators import augment, shape, split
+from odorframe.operators import augment, mixture, oversample, shape, split  # noqa: F401  (they register generators)
 from odorframe.plans.grid import METHOD_MIN_SEEDS
 
 Q = {}
@@ -148,3 +148,19 @@ SELECT run_fold, selection, n_seeds, label, n, min(n) OVER (PARTITION BY run_fol
   CASE WHEN n_seeds < k THEN 'seed size below gate'
        WHEN method IN ('SMOTE', 'ADASYN') AND min(n) OVER (PARTITION BY run_fold, selection, n_seeds) <= 1 THEN 'a class has one member'
        ELSE 'ok' END AS outcome FROM sz, g"""
+
+
+# Fitted generators: iterative, so rows only; tests check their properties.
+def _fitted(method, channels=8):
+    def query(spark, sf):
+        out = augment.generate(tb.sequences(spark, sf, channels), method, 2)
+        return long(out, ["label"]).groupBy("label", "copy", "channel").agg(
+            F.count("*").alias("n"), tb.r6(F.avg("value"), "mean"), tb.r6(F.stddev_pop("value"), "std")
+        )
+
+    return query
+
+
+Q["gaussian_mixture"] = _fitted("GMM")
+Q["hidden_markov"] = _fitted("HMM_GMM")
+Q["latent_gaussian"] = _fitted("TimeVAE")
