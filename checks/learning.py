@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import tables as tb
-from checks.splits import _SEQ_HEAD
+from checks.splits import _SEQ_HEAD, seeds_sql
 from checks.synthetic import long
-from odorframe.operators import augment, evaluate, models, neighbors, oversample, split
+from odorframe.operators import augment, evaluate, models, neighbors, oversample, split, tune
+from odorframe.plans import experiment
+from odorframe.session import fresh_path
+from odorframe.sources import ledger_io
 
 Q = {}
 SQL = {}
@@ -166,3 +169,184 @@ def confusion_counts(spark, sf):
 
 Q["confusion_counts"] = confusion_counts
 SQL["confusion_counts"] = f"{_vote_sql('1', 5)} SELECT run_fold, label, prediction, count(*) AS n FROM pr GROUP BY 1, 2, 3"
+
+
+# --- model stage on whole folds, tuning, whole runs ------------------------------------
+
+
+def label_codes(spark, sf):
+    """Sorted labels to 0..n-1 as the fitted indexer sees them."""
+    v = vectors(spark, sf)
+    return models.label_index(v).transform(v).select("label", F.col("target").cast("int").alias("code")).distinct()
+
+
+Q["label_codes"] = label_codes
+SQL["label_codes"] = f"WITH {FLAT} SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT label FROM flat)"
+
+
+def _one_fold(spark, sf):
+    v = vectors(spark, sf)
+    f = split.assign_folds(split.measurements(v)).join(v.drop("label"), "measurement_id")
+    return f.filter(F.col("fold") != 1), f.filter(F.col("fold") == 1)
+
+
+def _ml(name, params):
+    def query(spark, sf):
+        train, test = _one_fold(spark, sf)
+        model = models.fit(name, train, params)
+        return models.predict(model, test).select("measurement_id", "label", "prediction")
+
+    return query
+
+
+# Iterative fits: rows only.
+Q["random_forest"] = _ml("RandomForest", {"n_estimators": 50, "max_depth": 10})
+Q["linear_svc"] = _ml("LinearSVC", {"C": 1.0})
+Q["logistic_regression"] = _ml("LogisticRegression", {"C": 1.0})
+Q["sequence_perceptron"] = _ml("RNN", {"hidden_size": 64, "epochs": 10})
+
+
+def _run_keys(spark, sf):
+    return tb.ledger(spark, sf).select("Dataset", "Fold", "SeedsPerLabel").distinct()
+
+
+def candidate_draw(spark, sf):
+    """Twenty settings per (dataset, fold, seed size) found in the ledger, and all of a small space."""
+    runs = _run_keys(spark, sf)
+    key = ["Dataset", "Fold", "SeedsPerLabel"]
+    out = tune.candidates(runs, key, "KNN").unionByName(tune.candidates(runs, key, "LogisticRegression"))
+    return out.select(*key, "model", "candidate", "place")
+
+
+def _draw_sql(model):
+    n = len(tune.combinations(models.SPACES[model]))
+    key = ", ".join(f'CAST("{c}" AS VARCHAR)' for c in ("Dataset", "Fold", "SeedsPerLabel"))
+    return f"""SELECT "Dataset", "Fold", "SeedsPerLabel", '{model}' AS model, CAST(i AS INTEGER) AS candidate, CAST(o AS INTEGER) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY "Dataset", "Fold", "SeedsPerLabel"
+    ORDER BY md5(concat_ws('|', '42|candidate|{model}', {key}, CAST(i AS VARCHAR)))) AS o
+  FROM (SELECT DISTINCT "Dataset", "Fold", "SeedsPerLabel" FROM led), (SELECT unnest(range({n})) AS i)) WHERE o <= 20"""
+
+
+Q["candidate_draw"] = candidate_draw
+SQL["candidate_draw"] = f"WITH {tb.LEDGER_SQL} {_draw_sql('KNN')} UNION ALL {_draw_sql('LogisticRegression')}"
+
+
+def candidate_counts(spark, sf):
+    """Candidates actually searched per model: never more than the space holds."""
+    key = ["Dataset", "Fold", "SeedsPerLabel"]
+    runs = _run_keys(spark, sf)
+    out = None
+    for m in models.SPACES:
+        part = tune.candidates(runs, key, m).groupBy("Dataset", "model").agg(F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+Q["candidate_counts"] = candidate_counts
+_SIZES = ", ".join(f"('{m}', {min(20, len(tune.combinations(s)))})" for m, s in models.SPACES.items())
+SQL["candidate_counts"] = f"""WITH {tb.LEDGER_SQL} SELECT "Dataset", model, CAST(count(*) * any_value(c) AS BIGINT) AS n
+FROM (SELECT DISTINCT "Dataset", "Fold", "SeedsPerLabel" FROM led), (VALUES {_SIZES}) v(model, c) GROUP BY 1, 2"""
+
+
+def halving(spark, sf):
+    """The best neighbour-vote setting per fold, searched on the training rows of that fold."""
+    v = vectors(spark, sf)
+    folds = split.assign_folds(split.measurements(v))
+    train = split.train_test(folds).filter(F.col("part") == "train").drop("part", "fold")
+    cv = split.assign_folds(train, 5, run=["run_fold"]).withColumnRenamed("fold", "cv_fold")
+    rows = cv.join(v.drop("label"), "measurement_id").withColumn("cv_k", F.lit(5)).withColumnRenamed("measurement_id", "row_id")
+    space = tune.candidates(train.select("run_fold").distinct(), ["run_fold"], "KNN")
+    best = tune.halving_knn(rows, ["run_fold"], space)
+    return best.select("run_fold", "candidate", "accuracy", "n_rows")
+
+
+Q["halving_search"] = halving
+
+
+def baseline_runs(spark, sf):
+    """Neighbour vote on flat sequences for every fold, three selections and all seed sizes."""
+    seeds, test = experiment.run_tables(tb.sequences(spark, sf), (1, 2, 5, 10, 20), 3)
+    out = experiment.knn_runs(seeds.withColumn("copy", F.lit(0)), test, "sequence")
+    return out.withColumns({"accuracy": tb.r6("accuracy"), "f1": tb.r6("f1")})
+
+
+_RUNS = lambda sizes, sel: f"""{_SEQ_HEAD}, {seeds_sql(sizes, sel)},
+sd AS (SELECT run_fold, selection, n_seeds, s.id, cell.label, c, t, v FROM seeds s JOIN cell USING (id)),
+scl AS (SELECT run_fold, selection, n_seeds, c, avg(v) AS m, stddev_pop(v) AS s FROM sd GROUP BY 1, 2, 3, 4),
+tr0 AS (SELECT sd.* REPLACE ((v - m) / s AS v) FROM sd JOIN scl USING (run_fold, selection, n_seeds, c)),
+te AS (SELECT run_fold, selection, n_seeds, cell.id, cell.label, cell.c AS c, t, (v - m) / s AS v
+  FROM cell JOIN fld USING (id) JOIN scl ON run_fold = fold AND scl.c = cell.c)"""
+_RUN_SCORE = """kn AS (SELECT * FROM (SELECT p.run_fold, p.selection, p.n_seeds, p.id, p.label, b.label AS lb,
+    row_number() OVER (PARTITION BY p.run_fold, p.selection, p.n_seeds, p.id ORDER BY list_distance(p.v, b.v), b.id) AS o
+  FROM tp p JOIN bp b USING (run_fold, selection, n_seeds)) WHERE o <= 5),
+vt AS (SELECT run_fold, selection, n_seeds, id, label, lb, count(*) AS w FROM kn GROUP BY ALL),
+pr AS (SELECT * FROM (SELECT run_fold, selection, n_seeds, id, label, lb AS prediction,
+    row_number() OVER (PARTITION BY run_fold, selection, n_seeds, id ORDER BY w DESC, lb) AS rn FROM vt) WHERE rn = 1),
+lab AS (SELECT run_fold, selection, n_seeds, l, sum(s) AS support, sum(p) AS predicted, sum(h) AS tp FROM (
+    SELECT run_fold, selection, n_seeds, label AS l, 1 AS s, 0 AS p, CASE WHEN label = prediction THEN 1 ELSE 0 END AS h FROM pr
+    UNION ALL SELECT run_fold, selection, n_seeds, prediction, 0, 1, 0 FROM pr) GROUP BY ALL)
+SELECT run_fold, selection, n_seeds, CAST(sum(support) AS BIGINT) AS n_test, round(sum(tp) / sum(support), 6) + 0 AS accuracy,
+  round(sum(2 * tp / (support + predicted) * support) / sum(support), 6) + 0 AS f1 FROM lab GROUP BY 1, 2, 3"""
+_VEC = lambda src, key, order: f"SELECT run_fold, selection, n_seeds, {key} AS id, label, list(v ORDER BY {order}) AS v FROM {src} GROUP BY ALL"
+_ID0 = "CAST(id AS VARCHAR) || '|0'"
+
+Q["baseline_runs"] = baseline_runs
+SQL["baseline_runs"] = f"""{_RUNS('[1, 2, 5, 10, 20]', 3)},
+bp AS ({_VEC('tr0', _ID0, 'c, t')}), tp AS ({_VEC('te', 'CAST(id AS VARCHAR)', 'c, t')}),
+{_RUN_SCORE}"""
+
+
+def baseline_point_runs(spark, sf):
+    """The same with single time points as rows, one selection, two seed sizes."""
+    seeds, test = experiment.run_tables(tb.sequences(spark, sf), (1, 5), 1)
+    out = experiment.knn_runs(seeds.withColumn("copy", F.lit(0)), test, "point")
+    return out.withColumns({"accuracy": tb.r6("accuracy"), "f1": tb.r6("f1")})
+
+
+Q["baseline_point_runs"] = baseline_point_runs
+SQL["baseline_point_runs"] = f"""{_RUNS('[1, 5]', 1)},
+bp AS ({_VEC('tr0', _ID0 + " || '|' || t", 'c')}), tp AS ({_VEC('te', "CAST(id AS VARCHAR) || '|' || t", 'c')}),
+{_RUN_SCORE}"""
+
+
+def augmented_runs(spark, sf):
+    """Runs trained on seeds plus scaled copies, scored on the real test fold."""
+    seeds, test = experiment.run_tables(tb.sequences(spark, sf), (5, 10), 1)
+    out = experiment.knn_runs(experiment.generate_runs(seeds, "Scaling", 3), test, "sequence")
+    return out.withColumns({"accuracy": tb.r6("accuracy"), "f1": tb.r6("f1")})
+
+
+_KEYED = "concat_ws('|', CAST(run_fold AS VARCHAR), CAST(selection AS VARCHAR), CAST(n_seeds AS VARCHAR), CAST(id AS VARCHAR))"
+Q["augmented_runs"] = augmented_runs
+SQL["augmented_runs"] = f"""{_RUNS('[5, 10]', 1)},
+cp AS (SELECT *, {tb.md5_sql('scaling', 'kid', 'copy', 'c')} AS h FROM (SELECT *, {_KEYED} AS kid, unnest(range(3)) AS copy FROM tr0)),
+tr AS (SELECT * REPLACE (CASE WHEN copy = 0 THEN v ELSE v * (1 + 0.1::DOUBLE * {tb.normal_sql('h', '0')}) END AS v) FROM cp),
+bp AS ({_VEC('tr', "CAST(id AS VARCHAR) || '|' || copy", 'c, t')}), tp AS ({_VEC('te', 'CAST(id AS VARCHAR)', 'c, t')}),
+{_RUN_SCORE}"""
+
+
+def _whole_runs(method, sizes):
+    def query(spark, sf):
+        seeds, test = experiment.run_tables(tb.sequences(spark, sf), sizes, 1)
+        return experiment.knn_runs(experiment.generate_runs(seeds, method, 2), test, "sequence")
+
+    return query
+
+
+Q["augmented_runs_smote"] = _whole_runs("SMOTE", (5,))
+Q["augmented_runs_adasyn"] = _whole_runs("ADASYN", (10,))
+Q["augmented_runs_mixture"] = _whole_runs("GMM", (5,))
+
+
+def experiment_ledger(spark, sf):
+    """Baseline and two generators through the whole loop into a ledger, read back."""
+    path = fresh_path(spark, "experiment")
+    skipped = experiment.run_experiment(
+        tb.sequences(spark, sf), "embeddings", (2, 5), 1, ["Jittering", "Mixup"], [2], lambda rows: ledger_io.append_results(rows, path), "sequence"
+    )
+    if skipped:
+        raise RuntimeError(f"skipped: {skipped}")
+    return ledger_io.read_ledger(spark, path).drop("ExecutionTime_Sec")
+
+
+Q["experiment_ledger"] = experiment_ledger

@@ -23,13 +23,17 @@ def number_rows(
     sort runs per slice, and only the slice counts (map-side combined) are
     summed per group. A group holding a third of all rows is spread like the rest.
     """
-    keys = [*partition, *prefix, "__slice"]
+    group = [*partition, *prefix]
+    keys = [*group, "__slice"]
     h = df.withColumn("__hash", hash_col).withColumn("__slice", F.substring("__hash", 1, digits))
-    before = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))
-    before = before.orderBy(*prefix, "__slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = h.groupBy(*keys).agg(F.count("*").alias("__n")).select(
-        *keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
-    )
+    counts = h.groupBy(*keys).agg(F.count("*").alias("__n"))
+    slices = counts.select(*keys, _sum_before("__n", group, ["__slice"]).alias("__before"))
+    if prefix:
+        # Offsets of the prefix groups: one row per group, e.g. per label.
+        totals = counts.groupBy(*group).agg(F.sum("__n").alias("__n"))
+        offsets = totals.select(*group, _sum_before("__n", list(partition), list(prefix)).alias("__offset"))
+        slices = slices.join(offsets, group).withColumn("__before", F.col("__before") + F.col("__offset"))
+        slices = slices.drop("__offset")
     inside = Window.partitionBy(*keys).orderBy("__hash", tie)
     return (
         h.withColumn("__in", F.row_number().over(inside))
@@ -37,3 +41,8 @@ def number_rows(
         .withColumn(name, (F.col("__before") + F.col("__in")).cast("bigint"))
         .drop("__hash", "__slice", "__in", "__before")
     )
+
+
+def _sum_before(column: str, partition: list[str], order: list[str]) -> Column:
+    w = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(*order)
+    return F.coalesce(F.sum(column).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

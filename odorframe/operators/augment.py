@@ -268,6 +268,11 @@ def window_slicing(
     return _augmented(seqs, scale_factor, "Window_Slicing", sliced)
 
 
+def class_ranks(keys: DataFrame, seed: int) -> DataFrame:
+    """``measurement_id, label, rank``: members of a class numbered in hash order."""
+    return number_rows(keys, draws.key_hash(seed, "rank", ID), tie=ID, partition=[LABEL])
+
+
 def mixup(seqs: DataFrame, scale_factor: int = 2, seed: int = 42, alpha: float = MIXUP_ALPHA) -> DataFrame:
     """Each copy mixes its sequence with a random one of its class (possibly itself).
 
@@ -275,13 +280,13 @@ def mixup(seqs: DataFrame, scale_factor: int = 2, seed: int = 42, alpha: float =
     keys only, evenly spread however large the class is. A class of one is copied.
     """
     keys = seqs.select(ID, LABEL)
-    ranks = number_rows(keys, draws.key_hash(seed, "rank", ID), tie=ID, prefix=[LABEL])
-    starts = ranks.groupBy(LABEL).agg((F.min("rank") - 1).alias("__start"), F.count("*").alias("__n"))
-    base = copies(keys, scale_factor, "Mixup").filter(F.col("copy") > 0).join(starts, LABEL)
-    pick = F.col("__start") + draws.index(draws.key_hash(seed, "partner", ID, "copy"), F.col("__n")) + 1
+    ranks = class_ranks(keys, seed)
+    sizes = keys.groupBy(LABEL).agg(F.count("*").alias("__n"))
+    base = copies(keys, scale_factor, "Mixup").filter(F.col("copy") > 0).join(sizes, LABEL)
+    pick = draws.index(draws.key_hash(seed, "partner", ID, "copy"), F.col("__n")) + 1
     pairs = (
-        base.withColumn("__rank", pick)
-        .join(ranks.select(F.col("rank").alias("__rank"), F.col(ID).alias("__partner")), "__rank")
+        base.withColumn("rank", pick)
+        .join(ranks.select(LABEL, "rank", F.col(ID).alias("__partner")), [LABEL, "rank"])
         .withColumn("__lam", draws.beta_symmetric(alpha, seed, "lambda", ID, "copy"))
         .select(ID, "copy", "__partner", "__lam")
     )

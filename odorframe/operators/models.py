@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odorframe.operators.neighbors import knn_join
+from odorframe.session import cut_lineage
 
 # The parameter spaces searched per model.
 C_GRID = [0.001, 0.01, 0.1, 1.0, 10.0, 100.0]
@@ -173,9 +174,9 @@ def model_names() -> list[str]:
 
 
 def fit(name: str, train: DataFrame, params: dict | None = None, indexer: StringIndexerModel | None = None) -> PipelineModel:
-    """Fits a registered Spark ML model on ``label, v`` rows."""
-    indexer = indexer or label_index(train)
-    rows = with_features(train)
+    """Fits a registered Spark ML model on ``label, v`` rows, written once for the passes of the fit."""
+    rows = cut_lineage(with_features(train).select("label", "v", "features"))
+    indexer = indexer or label_index(rows)
     n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     classes = len(indexer.labels)
     model = _FACTORIES[name](params or {}, n, dim, classes)

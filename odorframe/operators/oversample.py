@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from odorframe.functions import draws
 from odorframe.functions.arrays import lerp_channels
-from odorframe.functions.ranking import number_rows
-from odorframe.operators.augment import ID, LABEL, copies, register
+from odorframe.operators.augment import ID, LABEL, class_ranks, copies, register
 from odorframe.operators.neighbors import knn_join
 from odorframe.session import cut_lineage
 
@@ -66,31 +65,32 @@ def smote(seqs: DataFrame, scale_factor: int = 2, seed: int = 42) -> DataFrame:
     if k < 1:
         return copies(seqs, 1, "SMOTE").withColumn("scale_factor", F.lit(scale_factor))
     keys = seqs.select(ID, LABEL)
-    ranks = number_rows(keys, draws.key_hash(seed, "rank", ID), tie=ID, prefix=[LABEL])
-    starts = ranks.groupBy(LABEL).agg((F.min("rank") - 1).alias("__start"), F.count("*").alias("__n"))
+    ranks = class_ranks(keys, seed)
+    sizes = keys.groupBy(LABEL).agg(F.count("*").alias("__n"))
     h = draws.key_hash(seed, "smote", ID, "copy")
     pick = draws.index(F.col("__h"), F.col("__n") * k)
     picks = (
-        copies(keys, scale_factor, "SMOTE").filter(F.col("copy") > 0).join(starts, LABEL)
+        copies(keys, scale_factor, "SMOTE").filter(F.col("copy") > 0).join(sizes, LABEL)
         .withColumn("__h", h)
         .withColumn("__pick", pick)
-        .withColumn("__rank", (F.col("__start") + F.floor(F.col("__pick") / k) + 1).cast("bigint"))
+        .withColumn("rank", (F.floor(F.col("__pick") / k) + 1).cast("bigint"))
         .withColumn("ordinal", (F.col("__pick") % k + 1).cast("int"))
         .withColumn("__gap", draws.uniform(F.col("__h"), 1))
         .drop("source_id")
-        .join(ranks.select(F.col("rank").alias("__rank"), F.col(ID).alias("source_id")), "__rank")
+        .join(ranks.select(LABEL, "rank", F.col(ID).alias("source_id")), [LABEL, "rank"])
         .select(ID, "copy", "source_id", "ordinal", "__gap")
     )
     return _interpolate(picks, class_neighbors(seqs, k), seqs, "SMOTE", scale_factor)
 
 
-def hardness(seqs: DataFrame, k: int) -> DataFrame:
-    """``measurement_id, label, hard``: how many of the k nearest overall are of another class."""
-    v = _vectors(seqs)
+def hardness(seqs: DataFrame, k: int, run: list[str] = ()) -> DataFrame:
+    """``measurement_id, label, hard``: how many of the k nearest of the run are of another class."""
+    v = seqs.select(*run, ID, LABEL, F.flatten("x").alias("v"))
     nn = knn_join(
-        v.select(F.col(ID).alias("probe_id"), "v"),
-        v.select(F.col(ID).alias("build_id"), "v", LABEL),
+        v.select(*run, F.col(ID).alias("probe_id"), "v"),
+        v.select(*run, F.col(ID).alias("build_id"), "v", LABEL),
         k,
+        within=list(run),
         skip_self=True,
     ).withColumnRenamed(LABEL, "__nl")
     own = v.select(F.col(ID).alias("probe_id"), LABEL)
@@ -99,13 +99,13 @@ def hardness(seqs: DataFrame, k: int) -> DataFrame:
     )
 
 
-def adasyn_quota(seqs: DataFrame, scale_factor: int, k: int) -> DataFrame:
+def adasyn_quota(seqs: DataFrame, scale_factor: int, k: int, run: list[str] = ()) -> DataFrame:
     """``measurement_id, label, hard, quota``: new sequences per member, half-even rounded.
 
     A class is to grow by ``n * (scale_factor - 1)``, shared out in proportion to the
     hardness of its members. ``quota`` is NULL in a class without hard members.
     """
-    hard = hardness(seqs, k)
+    hard = hardness(seqs, k, run)
     totals = hard.groupBy(LABEL).agg(F.sum("hard").alias("__t"), F.count("*").alias("__n"))
     share = F.col("hard") * F.col("__n") * (scale_factor - 1) / F.nullif(F.col("__t"), F.lit(0))
     return hard.join(totals, LABEL).select(ID, LABEL, "hard", F.rint(share).cast("bigint").alias("quota"))
@@ -123,15 +123,16 @@ def adasyn_outcome(seqs: DataFrame, scale_factor: int = 2) -> DataFrame:
     )
 
 
-def adasyn(seqs: DataFrame, scale_factor: int = 2, seed: int = 42) -> DataFrame:
+def adasyn(seqs: DataFrame, scale_factor: int = 2, seed: int = 42, run: list[str] = ()) -> DataFrame:
     """Like SMOTE, with more new sequences around members that sit among other classes.
 
-    Fails when a class has no hard member at all, as the method is undefined there.
+    Other classes are looked for inside the same ``run`` columns. Fails when a class
+    has no hard member at all, as the method is undefined there.
     """
     k = neighbor_count(seqs)
     if k < 1:
         return copies(seqs, 1, "ADASYN").withColumn("scale_factor", F.lit(scale_factor))
-    quota = cut_lineage(adasyn_quota(seqs, scale_factor, k))
+    quota = cut_lineage(adasyn_quota(seqs, scale_factor, k, run))
     easy = quota.filter(F.col("quota").isNull()).select(LABEL).limit(1).collect()
     if easy:
         raise ValueError(f"no hard samples in class {easy[0][0]!r}")

@@ -35,7 +35,8 @@ def write_combined(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 def _by_run(rows: DataFrame) -> DataFrame:
     """Rows of one run folder together, so it gets few files; AQE splits the large ones."""
-    return rows.select(*LEDGER_SCHEMA.names).hint("rebalance", *RUN_PARTITIONS)
+    typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LEDGER_SCHEMA.fields])
+    return typed.hint("rebalance", *RUN_PARTITIONS)
 
 
 def append_results(rows: DataFrame, path: str) -> None:
