@@ -72,7 +72,8 @@ def _sum_statistics(rows: DataFrame, fn: Callable[[str, pd.Series], np.ndarray])
             for label, part in batch.groupby(LABEL, sort=False):
                 s = fn(label, part["x"])
                 total[label] = total[label] + s if label in total else s
-        yield pd.DataFrame({LABEL: list(total), "s": [v for v in total.values()]})
+        if total:
+            yield pd.DataFrame({LABEL: list(total), "s": list(total.values())})
 
     partial = rows.select(LABEL, "x").mapInPandas(add_up, f"{LABEL} string, s array<double>")
     summed = partial.select(LABEL, F.posexplode("s").alias("i", "v")).groupBy(LABEL, "i").agg(F.sum("v").alias("v"))
