@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from odorframe.functions import draws
 from odorframe.functions.arrays import bind, double_array, lerp_channels, sample_linear, spline_basis
 from odorframe.functions.ranking import number_rows
+from odorframe.session import small_side
 
 ID, LABEL = "measurement_id", "label"
 XTYPE = "array<array<double>>"
@@ -281,7 +282,7 @@ def mixup(seqs: DataFrame, scale_factor: int = 2, seed: int = 42, alpha: float =
     """
     keys = seqs.select(ID, LABEL)
     ranks = class_ranks(keys, seed)
-    sizes = keys.groupBy(LABEL).agg(F.count("*").alias("__n"))
+    sizes = small_side(keys.groupBy(LABEL).agg(F.count("*").alias("__n")), 2)
     base = copies(keys, scale_factor, "Mixup").filter(F.col("copy") > 0).join(sizes, LABEL)
     pick = draws.index(draws.key_hash(seed, "partner", ID, "copy"), F.col("__n")) + 1
     pairs = (

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from odorframe.functions import draws
 from odorframe.functions.arrays import bind
 from odorframe.operators.augment import ID, LABEL, copies, register
-from odorframe.session import cut_lineage
+from odorframe.session import BROADCAST_VALUES, cut_lineage
 
 # Sizes, tolerances, priors and iteration limits of the fitted models.
 MAX_COMPONENTS = 5
@@ -87,13 +87,15 @@ def _stack(x: pd.Series) -> np.ndarray:
 
 
 def _as_table(seqs: DataFrame, params: Params, fields: list[str]) -> DataFrame:
-    """Parameters as one row per label."""
+    """Parameters as one row per label, broadcast unless there are too many labels for it."""
     schema = T.StructType(
         [T.StructField(LABEL, T.StringType())]
         + [T.StructField(f, T.ArrayType(T.ArrayType(T.DoubleType()))) for f in fields]
     )
     rows = [(label, *[np.atleast_2d(p[f]).tolist() for f in fields]) for label, p in params.items()]
-    return seqs.sparkSession.createDataFrame(rows, schema)
+    table = seqs.sparkSession.createDataFrame(rows, schema)
+    values = sum(np.size(p[f]) for p in params.values() for f in fields)
+    return F.broadcast(table) if values <= BROADCAST_VALUES else table
 
 
 def _new_rows(seqs: DataFrame, scale_factor: int, method: str, table: DataFrame, x: Column) -> DataFrame:

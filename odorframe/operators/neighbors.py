@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from odorframe.functions.draws import key_hash
-from odorframe.session import cut_lineage
+from odorframe.session import cut_lineage, small_side
 
 CELL_ROWS = 50_000
 MAX_PIVOTS = 256
@@ -205,6 +205,7 @@ def knn_join(
         .join(sources.groupBy("__g", "cell").agg(F.count("*").alias("__np")), ["__g", "cell"])
         .select("__g", "cell", tiles_of("__nb").alias("__tb"), tiles_of("__np").alias("__tp"))
     )
+    tiles = small_side(tiles, 4)
     slot = lambda c, n: F.pmod(F.xxhash64(c), F.col(n).cast("bigint")).cast("int")
     left = (
         sources.join(tiles, ["__g", "cell"])

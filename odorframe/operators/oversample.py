@@ -9,7 +9,7 @@ from odorframe.functions import draws
 from odorframe.functions.arrays import lerp_channels
 from odorframe.operators.augment import ID, LABEL, class_ranks, copies, register
 from odorframe.operators.neighbors import knn_join
-from odorframe.session import cut_lineage
+from odorframe.session import cut_lineage, small_side
 
 # The most neighbours the two methods look at.
 MAX_NEIGHBORS = 5
@@ -66,7 +66,7 @@ def smote(seqs: DataFrame, scale_factor: int = 2, seed: int = 42) -> DataFrame:
         return copies(seqs, 1, "SMOTE").withColumn("scale_factor", F.lit(scale_factor))
     keys = seqs.select(ID, LABEL)
     ranks = class_ranks(keys, seed)
-    sizes = keys.groupBy(LABEL).agg(F.count("*").alias("__n"))
+    sizes = small_side(keys.groupBy(LABEL).agg(F.count("*").alias("__n")), 2)
     h = draws.key_hash(seed, "smote", ID, "copy")
     pick = draws.index(F.col("__h"), F.col("__n") * k)
     picks = (
@@ -106,7 +106,8 @@ def adasyn_quota(seqs: DataFrame, scale_factor: int, k: int, run: list[str] = ()
     hardness of its members. ``quota`` is NULL in a class without hard members.
     """
     hard = hardness(seqs, k, run)
-    totals = hard.groupBy(LABEL).agg(F.sum("hard").alias("__t"), F.count("*").alias("__n"))
+    hard = cut_lineage(hard)
+    totals = small_side(hard.groupBy(LABEL).agg(F.sum("hard").alias("__t"), F.count("*").alias("__n")), 3)
     share = F.col("hard") * F.col("__n") * (scale_factor - 1) / F.nullif(F.col("__t"), F.lit(0))
     return hard.join(totals, LABEL).select(ID, LABEL, "hard", F.rint(share).cast("bigint").alias("quota"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from odorframe.session import small_side
+
 
 def fit_scaler(seqs: DataFrame, run: list[str]) -> DataFrame:
     """``run..., mean[], std[]`` over all points of a run; population std, 0 taken as 1.
@@ -25,9 +27,10 @@ def fit_scaler(seqs: DataFrame, run: list[str]) -> DataFrame:
 
 
 def apply_scaler(seqs: DataFrame, scaler: DataFrame, run: list[str]) -> DataFrame:
-    """Scales ``x`` with the scaler of its run; one small row per run on the other side."""
+    """Scales ``x`` with the scaler of its run, two values per run and channel."""
     scaled = F.transform(
         F.col("x"),
         lambda c, i: F.transform(c, lambda v: (v - F.get(F.col("mean"), i)) / F.get(F.col("std"), i)),
     )
-    return seqs.join(scaler, run).withColumn("x", scaled).drop("mean", "std")
+    channels = scaler.select(F.size("mean")).first()
+    return seqs.join(small_side(scaler, 2 * channels[0] if channels else 1), run).withColumn("x", scaled).drop("mean", "std")

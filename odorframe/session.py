@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# A broadcast side may hold this many values (about 32 MB of doubles).
+BROADCAST_VALUES = 4_000_000
 
 
 def build_session(app: str = "odorframe", master: str | None = None, **conf: str) -> SparkSession:
@@ -22,6 +26,7 @@ def build_session(app: str = "odorframe", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.executorEnv.OMP_NUM_THREADS", "1")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         b = b.master(master)
@@ -58,3 +63,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def small_side(df: DataFrame, values_per_row: int) -> DataFrame:
+    """A join side that ought to be small: broadcast if its counted size allows it.
+
+    The side is written once and counted. Past the bound it is returned without a
+    hint, and Spark joins by shuffle, with hot partitions split by AQE. Without the
+    hint Spark would shuffle the large side first, as it cannot know the size of an
+    aggregate while planning.
+    """
+    written = cut_lineage(df)
+    fits = written.count() * max(1, values_per_row) <= BROADCAST_VALUES
+    return F.broadcast(written) if fits else written

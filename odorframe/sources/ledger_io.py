@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from odorframe.session import small_side
+
 # Ledger columns and types, file suffix and the folder name left out of a merge.
 LEDGER_SCHEMA = T.StructType(
     [
@@ -91,7 +93,7 @@ def merge_results(spark: SparkSession, root: str) -> DataFrame:
     )
     # Every file has one header row, found by its first column; one small row per file.
     headers = cells.filter("header").groupBy("file").agg(F.min("c").alias("h"))
-    rows = cells.filter("NOT header").join(headers, "file")
+    rows = cells.filter("NOT header").join(small_side(headers, 2 * len(names) + 10), "file")
     return rows.select(
         *[
             F.get(F.col("c"), F.nullif(F.array_position(F.col("h"), f.name), F.lit(0)).cast("int") - 1)

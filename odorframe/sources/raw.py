@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from odorframe.functions.draws import key_hash
 from odorframe.functions.ranking import number_rows
 from odorframe.schema import INDICATOR, LABEL, MEASUREMENT, TIME, DatasetProfile, normalise_time
+from odorframe.session import cut_lineage, small_side
 
 # Cell texts that a CSV reader takes as missing.
 MISSING = (
@@ -73,9 +74,10 @@ def name_problem(profile: DatasetProfile) -> Column:
 
 
 def list_files(spark: SparkSession, root: str, levels: int = 1) -> DataFrame:
-    """``file, Label, name`` of every file, empty ones included; no content is read.
+    """``file, Label, name`` of every file; no content is read.
 
-    Names starting with ``.`` or ``_`` are already left out by Spark's file listing.
+    Names starting with ``.`` or ``_`` and files of zero bytes are already left out by
+    Spark's file sources.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_glob(root, levels))
     path = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
@@ -166,7 +168,7 @@ def with_indicator(df: DataFrame) -> DataFrame:
     """Adds ``Label_Indicator``: 0, 1, ... over the sorted labels."""
     labels = df.select(LABEL).distinct()
     codes = labels.withColumn(INDICATOR, (F.dense_rank().over(Window.orderBy(LABEL)) - 1).cast("int"))
-    return df.join(codes, LABEL)
+    return df.join(small_side(codes, 10), LABEL)
 
 
 def read_labelled_raw(spark: SparkSession, root: str, profile: DatasetProfile, levels: int = 1) -> DataFrame:
@@ -176,7 +178,8 @@ def read_labelled_raw(spark: SparkSession, root: str, profile: DatasetProfile, l
     not numbers become NULL. With a header, sensors are found by name in each file.
     """
     lines = scan_lines(spark, root, profile, levels)
-    files = number_files(check_files(lines, profile).filter(F.col("reason").isNull()).select("file", LABEL, "kept"))
+    accepted = check_files(lines, profile).filter(F.col("reason").isNull()).select("file", LABEL, "kept")
+    files = small_side(number_files(cut_lineage(accepted)), len(profile.sensors) + 20)
     start = 1 if profile.header else 0
     rows = lines.filter(F.col("pos") >= start).drop(LABEL).join(files, "file")
     cells = _cells(profile)
@@ -223,7 +226,7 @@ def read_labelled_csv(
         .withColumn("file", _relative(_path(), levels))
     )
     files = list_files(spark, root, levels).filter(name_problem(profile).isNull()).select("file", LABEL)
-    out = scanned.join(number_files(files), "file").select(MEASUREMENT, *schema.names, LABEL)
+    out = scanned.join(small_side(number_files(files), 20), "file").select(MEASUREMENT, *schema.names, LABEL)
     out = normalise_time(out)
     return with_indicator(out) if profile.indicator else out
 

@@ -25,7 +25,7 @@ def test_headerless(spark, tmp_path):
     (tmp_path / "A" / ".hidden.csv").write_text("1,2\n")
     (tmp_path / "A" / "narrow.csv").write_text("1,2,3\n4,5,6\n")
     (tmp_path / "A" / "notes.md").write_text("x\n")
-    (tmp_path / "A" / "empty.csv").write_text("")
+    (tmp_path / "A" / "empty.csv").write_text("\n")
     (tmp_path / "B b" / "cell.csv").write_text("1,2,3,4,5,6,7,oops\n1,2,3,4,5,6,7,\n")
     got = raw.read_labelled_raw(spark, str(tmp_path), p)
     assert got.columns == ["Measurement_Number", "Time", *p.sensors, "Label", "Label_Indicator"]
