@@ -39,7 +39,9 @@ def _block_summary(blocked: DataFrame, features: list[str], carry: bool) -> Data
             aggs += [F.min_by(f, known).alias(f"__first{i}"), F.max_by(f, known).alias(f"__last{i}")]
     whole = Window.partitionBy(ID)
     before = whole.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    after = whole.orderBy("__block").rowsBetween(1, Window.unboundedFollowing)
+    # Looking back over the reversed order is incremental; a frame up to the following
+    # end would be computed anew for every row.
+    after = whole.orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
     cols = [
         *KEY,
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
@@ -49,8 +51,9 @@ def _block_summary(blocked: DataFrame, features: list[str], carry: bool) -> Data
     if carry:
         for i in range(len(features)):
             cols += [
+                F.col(f"__first{i}"),
                 F.last(f"__last{i}", ignorenulls=True).over(before).alias(f"__prev{i}"),
-                F.first(f"__first{i}", ignorenulls=True).over(after).alias(f"__next{i}"),
+                F.last(f"__first{i}", ignorenulls=True).over(after).alias(f"__next{i}"),
             ]
     return blocked.groupBy(*KEY).agg(*aggs).select(*cols)
 
@@ -72,21 +75,24 @@ def shape_points(
     summary = _block_summary(blocked, features, carry=how != "none")
     in_block = Window.partitionBy(*KEY).orderBy(TIME, SEQ)
     back = in_block.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = in_block.rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*KEY).orderBy(F.desc(TIME), F.desc(SEQ)).rowsBetween(Window.unboundedPreceding, 0)
     local = {"__in": F.row_number().over(in_block)}
     for i, f in enumerate(features):
         if "ffill" in how:
             local[f"__f{i}"] = F.last(f, ignorenulls=True).over(back)
-        if "bfill" in how:
-            local[f"__b{i}"] = F.first(f, ignorenulls=True).over(ahead)
+        if how == "bfill":
+            local[f"__b{i}"] = F.last(f, ignorenulls=True).over(ahead)
     numbered = blocked.drop(LABEL).withColumns(local).join(summary, list(KEY))
     out = []
     for i, f in enumerate(features):
         parts = [F.col(f)]
         if "ffill" in how:
             parts += [F.col(f"__f{i}"), F.col(f"__prev{i}")]
-        if "bfill" in how:
+        if how == "bfill":
             parts += [F.col(f"__b{i}"), F.col(f"__next{i}")]
+        elif "bfill" in how:
+            # Still empty means no value before this row: the first value of its block is the next one.
+            parts += [F.col(f"__first{i}"), F.col(f"__next{i}")]
         if how.endswith("zero"):
             parts.append(F.lit(0.0))
         out.append(F.coalesce(*parts).alias(f))
@@ -94,24 +100,41 @@ def shape_points(
     return numbered.select(ID, LABEL, TIME, SEQ, pos, F.col("length").cast("bigint").alias("length"), *out)
 
 
+def _grid_range(q: Column, last: Column, m: int) -> tuple[Column, Column]:
+    """First and last grid step k with floor(k * last / m) == q; empty where first > last."""
+    gaps = F.nullif(last, F.lit(0))
+    lo = F.floor((q * m + last - 1) / gaps).cast("bigint")
+    hi = F.least(F.lit(m).cast("bigint"), F.floor(((q + 1) * m - 1) / gaps).cast("bigint"))
+    return lo, hi
+
+
+def on_grid(n: int) -> Column:
+    """Whether a row at ``pos`` of ``length`` rows lies next to any of n grid steps.
+
+    Plain arithmetic, so the rows between grid steps of a long measurement are
+    dropped in generated code before anything is built for them.
+    """
+    p, last = F.col("pos"), F.col("length") - 1
+    if n == 1:
+        return p == 0
+    below, above = _grid_range(p, last, n - 1), _grid_range(p - 1, last, n - 1)
+    return (last == 0) | (below[0] <= below[1]) | ((p > 0) & (above[0] <= above[1]))
+
+
 def resample_grid(n: int) -> Column:
     """Grid steps that a row at ``pos`` of ``length`` rows contributes to, with its weight.
 
     Grid step k of n sits at k(L-1)/(n-1) on the rows. The row below it gets weight
-    1-w, the row above it w. All bounds are integer arithmetic. For L >= n at most
-    four entries; in total a measurement sends at most 2n, whatever its length.
+    1-w, the row above it w. All bounds are integer arithmetic; in total a measurement
+    sends at most 2n entries, whatever its length.
     """
     p, last = F.col("pos"), F.col("length") - 1
     if n == 1:
         return F.when(p == 0, F.array(F.struct(F.lit(0).cast("bigint").alias("k"), F.lit(1.0).alias("w"))))
     m = F.lit(n - 1).cast("bigint")
-    one = F.when(last == 0, F.sequence(F.lit(0).cast("bigint"), m))
 
     def steps(q: Column) -> Column:
-        """All k with floor(k * last / m) == q."""
-        gaps = F.nullif(last, F.lit(0))
-        lo = F.floor((q * m + last - 1) / gaps).cast("bigint")
-        hi = F.least(m, F.floor(((q + 1) * m - 1) / gaps).cast("bigint"))
+        lo, hi = _grid_range(q, last, n - 1)
         return F.when((q >= 0) & (lo <= hi), F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
 
     def entry(k: Column, up: bool) -> Column:
@@ -120,8 +143,10 @@ def resample_grid(n: int) -> Column:
 
     own = F.transform(steps(p), lambda k: entry(k, False))
     upper = F.transform(steps(p - 1), lambda k: entry(k, True))
-    const = F.transform(one, lambda k: F.struct(k.alias("k"), F.lit(1.0).alias("w")))
-    return F.when(last == 0, const).otherwise(F.filter(F.concat(own, upper), lambda e: e["w"] > 0))
+    alone = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), m), lambda k: F.struct(k.alias("k"), F.lit(1.0).alias("w"))
+    )
+    return F.when(last == 0, alone).otherwise(F.filter(F.concat(own, upper), lambda e: e["w"] > 0))
 
 
 def resample(shaped: DataFrame, features: list[str], n: int = 100) -> DataFrame:
@@ -130,7 +155,7 @@ def resample(shaped: DataFrame, features: list[str], n: int = 100) -> DataFrame:
     Only the rows next to a grid step leave their task (at most 2n per
     measurement), so the arrays built at the end have a fixed size.
     """
-    hit = shaped.withColumn("__e", F.explode(resample_grid(n)))
+    hit = shaped.filter(on_grid(n)).withColumn("__e", F.explode(resample_grid(n)))
     grid = hit.groupBy(ID, LABEL, F.col("__e.k").alias("k")).agg(
         *[F.sum(F.col("__e.w") * F.col(f)).alias(f"v{i}") for i, f in enumerate(features)]
     )
