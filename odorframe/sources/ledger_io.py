@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from odorframe.session import small_side
+from odorframe.sources.raw import source_path
 
 # Ledger columns and types, file suffix and the folder name left out of a merge.
 LEDGER_SCHEMA = T.StructType(
@@ -79,10 +80,9 @@ def merge_results(spark: SparkSession, root: str) -> DataFrame:
     """
     names = LEDGER_SCHEMA.names
     wide = ", ".join(f"c{i} STRING" for i in range(len(names)))
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     lines = (
         spark.read.option("recursiveFileLookup", True).text(root)
-        .select(path.alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value").alias("line"))
+        .select(source_path().alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value").alias("line"))
         .filter(F.col("file").rlike(r"_results\.csv(/part-[^/]*)?$") & ~F.col("file").contains(OLD_FOLDER))
         .filter(F.col("line") != "")
     )

@@ -42,21 +42,21 @@ MISSING = (
 )
 
 
-def _glob(root: str, levels: int) -> str:
+def glob_path(root: str, levels: int) -> str:
     return root.rstrip("/") + "/*" * (levels + 1)
 
 
-def _path(col: str = "_metadata.file_path") -> Column:
+def source_path(col: str = "_metadata.file_path") -> Column:
     """Decoded path; paths arrive percent-encoded, where a plus is a plus."""
     return F.url_decode(F.replace(F.col(col), F.lit("+"), F.lit("%2B")))
 
 
-def _relative(path: Column, levels: int) -> Column:
+def relative_path(path: Column, levels: int) -> Column:
     parts = F.split(path, "/")
     return F.array_join(F.slice(parts, -(levels + 1), levels + 1), "/")
 
 
-def _with_names(df: DataFrame) -> DataFrame:
+def with_names(df: DataFrame) -> DataFrame:
     """Label and base name from the relative path ``file``."""
     parts = F.split("file", "/")
     return df.withColumn(LABEL, F.get(parts, F.lit(0))).withColumn("name", F.element_at(parts, -1))
@@ -79,23 +79,22 @@ def list_files(spark: SparkSession, root: str, levels: int = 1) -> DataFrame:
     Names starting with ``.`` or ``_`` and files of zero bytes are already left out by
     Spark's file sources.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_glob(root, levels))
-    path = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
-    return _with_names(found.select(_relative(path, levels).alias("file")))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(glob_path(root, levels))
+    return with_names(found.select(relative_path(source_path("path"), levels).alias("file")))
 
 
 def scan_lines(spark: SparkSession, root: str, profile: DatasetProfile, levels: int = 1) -> DataFrame:
     """Non-blank lines ``file, Label, name, line, pos`` of the files the name filter lets through."""
     text = (
-        spark.read.option("recursiveFileLookup", True).text(_glob(root, levels))
+        spark.read.option("recursiveFileLookup", True).text(glob_path(root, levels))
         .select(
-            _relative(_path(), levels).alias("file"),
+            relative_path(source_path(), levels).alias("file"),
             F.col("_metadata.file_block_start").alias("__split"),
             F.col("value").alias("line"),
         )
         .filter(F.col("line") != "")
     )
-    text = _with_names(text).filter(name_problem(profile).isNull())
+    text = with_names(text).filter(name_problem(profile).isNull())
     before = Window.partitionBy("file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
     splits = text.groupBy("file", "__split").agg(F.count("*").alias("__n")).select(
         "file", "__split", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
@@ -222,8 +221,8 @@ def read_labelled_csv(
     scanned = (
         spark.read.schema(schema)
         .options(header=True, sep=profile.sep, enforceSchema=False, recursiveFileLookup=True)
-        .csv(_glob(root, levels))
-        .withColumn("file", _relative(_path(), levels))
+        .csv(glob_path(root, levels))
+        .withColumn("file", relative_path(source_path(), levels))
     )
     files = list_files(spark, root, levels).filter(name_problem(profile).isNull()).select("file", LABEL)
     out = scanned.join(small_side(number_files(files), 20), "file").select(MEASUREMENT, *schema.names, LABEL)

@@ -133,3 +133,23 @@ def test_merge_of_plain_files(spark, tmp_path):
     assert set(rows) == {"X", "Y"}
     assert rows["X"]["Hyperparameters"] == "{'a': 1, 'b': \"q\"}" and rows["X"]["SeedFoldSelection"] == 2
     assert rows["Y"]["SeedFoldSelection"] is None and rows["Y"]["ExecutionTime_Sec"] == 1.5
+
+
+def test_arriving_files_are_added_once(spark, tmp_path):
+    from odorframe.streaming.arrivals import append_to, arriving_csv
+
+    schema = T.StructType([T.StructField("Time [s]", T.IntegerType()), T.StructField("s", T.DoubleType())])
+    root, out, state = tmp_path / "raw", str(tmp_path / "out"), str(tmp_path / "state")
+    make = lambda l, f, r: "Time [s],s\n" if r == 0 else f"{r},{value(f, r, 0)}\n"
+    write(root, make)
+    run = lambda: append_to(arriving_csv(spark, str(root), schema, PROFILES["Plant_oil"]), out, state).awaitTermination()
+    run()
+    run()
+    assert spark.read.parquet(out).count() == 3 * 4 * 11
+    (root / "A" / "late.txt").write_text("Time [s],s\n1,2.5\n")
+    (root / "A" / "~$late.txt").write_text("Time [s],s\n1,2.5\n")
+    run()
+    got = spark.read.parquet(out)
+    assert got.count() == 3 * 4 * 11 + 1
+    assert {r["Label"] for r in got.select("Label").distinct().collect()} == set(LABELS)
+    assert set(got.columns) == {"file", "Time", "s", "Label"}
