@@ -9,7 +9,7 @@ from checks.splits import _SEQ_HEAD, seeds_sql
 from checks.synthetic import long
 from odorframe.operators import augment, evaluate, models, neighbors, oversample, split, tune
 from odorframe.plans import experiment
-from odorframe.session import fresh_path
+from odorframe.session import cut_lineage, fresh_path
 from odorframe.sources import ledger_io
 
 Q = {}
@@ -338,6 +338,16 @@ Q["augmented_runs_adasyn"] = _whole_runs("ADASYN", (10,))
 Q["augmented_runs_mixture"] = _whole_runs("GMM", (5,))
 
 
+def tuned_baseline_runs(spark, sf):
+    """Each run tuned on its seeds, scored with its own best setting."""
+    seeds, test = experiment.run_tables(tb.sequences(spark, sf), (5,), 1)
+    best = experiment.tune_knn_runs(seeds, "sequence")
+    return experiment.knn_runs(seeds.withColumn("copy", F.lit(0)), test, "sequence", cut_lineage(best))
+
+
+Q["tuned_baseline_runs"] = tuned_baseline_runs
+
+
 def experiment_ledger(spark, sf):
     """Baseline and two generators through the whole loop into a ledger, read back."""
     path = fresh_path(spark, "experiment")

@@ -1,0 +1,3 @@
+"""Importing any operator makes all generators available by name."""
+
+from odorframe.operators import mixture, oversample  # noqa: F401

@@ -7,7 +7,7 @@ import json
 import math
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from odorframe.functions.draws import key_hash
@@ -19,6 +19,7 @@ from odorframe.session import cut_lineage
 # Number of candidates and the share kept per rung.
 N_CANDIDATES = 20
 FACTOR = 3
+MOST_NEIGHBORS = max(models.SPACES["KNN"][0]["n_neighbors"])
 
 
 def combinations(space: list[dict[str, list]]) -> list[dict]:
@@ -79,10 +80,6 @@ def _log_floor(value: int, base: int) -> int:
     return n
 
 
-def _int(c: str) -> Column:
-    return F.col("params")[c].cast("int")
-
-
 def halving_knn(
     rows: DataFrame, run: list[str], space: DataFrame, seed: int = 42, factor: int = FACTOR
 ) -> DataFrame:
@@ -93,13 +90,15 @@ def halving_knn(
     joins (one per metric): the list for the largest k holds the lists for all smaller
     ones. Rung sizes follow :func:`rungs`, per run.
     """
-    settings = [c for c in combinations(models.SPACES["KNN"])]
-    most = max(c["n_neighbors"] for c in settings)
     ranked = cut_lineage(number_rows(rows, key_hash(seed, "rung", *run, "row_id"), tie="row_id", partition=run))
     sizes = ranked.groupBy(*run).agg(
         F.count("*").alias("__rows"), (2 * F.first("cv_k") * F.count_distinct("label")).alias("__first")
     )
-    alive = cut_lineage(space.select(*run, "candidate", "params").join(sizes, run).withColumn("accuracy", F.lit(None).cast("double")).withColumn("n_rows", F.lit(0).cast("bigint")))
+    alive = cut_lineage(
+        space.select(*run, "candidate", "params")
+        .join(sizes, run)
+        .withColumns({"accuracy": F.lit(None).cast("double"), "n_rows": F.lit(0).cast("bigint")})
+    )
     per_run = Window.partitionBy(*run)
     for i in range(1 + _log_floor(N_CANDIDATES, factor)):
         resources = F.least(F.col("__rows"), F.col("__first") * factor**i).cast("bigint")
@@ -107,8 +106,8 @@ def halving_knn(
         going = F.lit(i == 0) | (F.col("__first") * factor**i <= F.col("__rows"))
         now = alive.filter(going)
         wanted = now.groupBy(*run).agg(F.first(resources).alias("__take"))
-        part = ranked.join(wanted, run).filter(F.col("rank") <= F.col("__take")).drop("__take", "rank")
-        scored = _knn_rung(part, run, now.select(*run, "candidate", "params"), most)
+        part = cut_lineage(ranked.join(wanted, run).filter(F.col("rank") <= F.col("__take")).drop("__take", "rank"))
+        scored = _knn_rung(part, run, now.select(*run, "candidate", "params"))
         place = F.row_number().over(per_run.orderBy(F.desc("__acc"), "candidate"))
         total = F.count("*").over(per_run)
         kept = (
@@ -125,31 +124,43 @@ def halving_knn(
     return alive.withColumn("__b", best).filter(F.col("__b") == 1).select(*run, "candidate", "params", "accuracy", "n_rows")
 
 
-def _knn_rung(rows: DataFrame, run: list[str], space: DataFrame, most: int) -> DataFrame:
-    """``run..., candidate, __acc``: mean accuracy over the folds."""
-    key = [*run, "cv"]
-    probe = rows.withColumn("cv", F.col("cv_fold")).select(*key, F.col("row_id").alias("probe_id"), "v")
-    build = (
-        rows.withColumn("cv", F.explode(F.sequence(F.lit(1), F.col("cv_k")))).filter(F.col("cv") != F.col("cv_fold"))
-        .select(*key, F.col("row_id").alias("build_id"), "label", "v")
-    )
-    truth = rows.select(*run, F.col("cv_fold").alias("cv"), F.col("row_id").alias("probe_id"), F.col("label").alias("truth"))
+def predict_settings(
+    probe: DataFrame, build: DataFrame, key: list[str], run: list[str], settings: DataFrame, most: int = MOST_NEIGHBORS
+) -> DataFrame:
+    """``key..., probe_id, candidate, prediction`` for every setting of a run.
+
+    ``settings``: ``run..., candidate, params``, where ``run`` is part of ``key``, the
+    columns probe and build rows share. One neighbour join per metric serves all settings.
+    """
     votes = None
     for metric in ("euclidean", "manhattan"):
-        of_metric = space.filter((F.col("params")["metric"] == "manhattan") == F.lit(metric == "manhattan"))
+        wanted = settings.filter((F.col("params")["metric"] == "manhattan") == F.lit(metric == "manhattan"))
         nn = knn_join(probe, build, most, within=key, metric=metric)
+        # A neighbour at distance 0 outweighs all others.
         w = F.when(F.col("params")["weights"] == "uniform", F.lit(1.0)).otherwise(
             F.when(F.col("distance") > 0, 1.0 / F.col("distance")).otherwise(F.lit(1e300))
         )
         part = (
-            nn.join(of_metric, run)
-            .filter(F.col("ordinal") <= _int("n_neighbors"))
+            nn.join(wanted, run)
+            .filter(F.col("ordinal") <= F.col("params")["n_neighbors"].cast("int"))
             .groupBy(*key, "probe_id", "candidate", "label").agg(F.sum(w).alias("w"))
         )
         votes = part if votes is None else votes.unionByName(part)
-    predicted = votes.groupBy(*key, "probe_id", "candidate").agg(
+    return votes.groupBy(*key, "probe_id", "candidate").agg(
         F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("prediction")
     )
+
+
+def _knn_rung(rows: DataFrame, run: list[str], space: DataFrame) -> DataFrame:
+    """``run..., candidate, __acc``: mean accuracy over the folds."""
+    key = [*run, "cv"]
+    probe = rows.withColumn("cv", F.col("cv_fold")).select(*key, F.col("row_id").alias("probe_id"), "v")
+    build = (
+        rows.withColumn("cv", F.explode(F.sequence(F.lit(1), F.col("cv_k")))).filter(F.col("cv") != F.col("cv_fold"))
+        .select(*key, F.col("row_id").alias("build_id"), "label", "v")
+    )
+    truth = rows.select(*run, F.col("cv_fold").alias("cv"), F.col("row_id").alias("probe_id"), F.col("label").alias("truth"))
+    predicted = predict_settings(probe, build, key, run, space)
     hits = predicted.join(truth, [*key, "probe_id"]).groupBy(*key, "candidate").agg(
         F.avg((F.col("prediction") == F.col("truth")).cast("double")).alias("__a")
     )

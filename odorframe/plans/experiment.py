@@ -11,14 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odorframe.operators import augment, evaluate, models, scale, shape, split
-from odorframe.plans.grid import METHOD_MIN_SEEDS
+from odorframe.operators import augment, evaluate, models, scale, shape, split, tune
+from odorframe.plans.grid import BASELINES, METHOD_MIN_SEEDS
 from odorframe.session import cut_lineage
 from odorframe.sources.ledger_io import LEDGER_SCHEMA
 
 ID, LABEL = "measurement_id", "label"
 RUN = ["run_fold", "selection", "n_seeds"]
 UNITS = ("point", "sequence")
+DEFAULT_SETTING = '{"n_neighbors":"5","weights":"uniform","metric":"minkowski"}'
 
 
 def run_tables(
@@ -81,28 +82,55 @@ def knn_runs(
     train: DataFrame,
     test: DataFrame,
     unit: str,
-    k: int = 5,
-    weights: str = "uniform",
-    metric: str = "euclidean",
+    settings: DataFrame | None = None,
     cap: int = 100_000,
     seed: int = 42,
 ) -> DataFrame:
     """``run..., n_test, accuracy, f1`` of the neighbour vote for all runs in one plan.
 
     ``train`` has a ``copy`` column; beyond ``cap`` training rows a run is sampled.
+    ``settings`` (``run..., candidate, params``) holds each run's tuned parameters; without it
+    every run uses 5 Euclidean neighbours with equal votes.
     """
     rows = model_rows(train, unit, [ID, "copy"], "build_id")
     largest = rows.groupBy(*RUN).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     if largest and largest > cap:
         rows = split.cap_rows(rows, ["build_id"], cap, seed, RUN)
     probes = model_rows(test, unit, [ID], "probe_id")
-    return evaluate.scores(models.knn_classify(rows, probes, RUN, k, weights, metric), RUN)
+    if settings is None:
+        return evaluate.scores(models.knn_classify(rows, probes, RUN), RUN)
+    tuned = tune.predict_settings(probes.drop(LABEL), rows, RUN, RUN, settings)
+    truth = probes.select(*RUN, "probe_id", LABEL)
+    return evaluate.scores(tuned.join(truth, [*RUN, "probe_id"]), RUN)
+
+
+def tune_knn_runs(seeds: DataFrame, unit: str, seed: int = 42) -> DataFrame:
+    """``run..., candidate, params, accuracy, n_rows``: the best neighbour-vote setting of every run.
+
+    Searched on the seed set by cross-validation over whole measurements; with a single
+    seed per label, over single rows.
+    """
+    folds = split.cv_folds(seeds.select(*RUN, ID, LABEL), seed).select(*RUN, ID, "cv_k", "cv_fold", "grouped")
+    rows = model_rows(seeds, unit, [ID], "row_id")
+    source = F.get(F.split("row_id", r"\|"), F.lit(0))
+    joined = rows.withColumn(ID, source).join(folds.withColumn(ID, F.col(ID).cast("string")), [*RUN, ID])
+    single = F.pmod(F.xxhash64("row_id"), F.col("cv_k").cast("bigint")).cast("int") + 1
+    placed = joined.withColumn("cv_fold", F.when(F.col("grouped"), F.col("cv_fold")).otherwise(single))
+    space = tune.candidates(seeds.select(*RUN).distinct(), RUN, "KNN", seed=seed)
+    return tune.halving_knn(placed.select(*RUN, "row_id", "cv_k", "cv_fold", LABEL, "v"), RUN, space, seed)
 
 
 def ledger_rows(
-    scored: DataFrame, dataset: str, model: str, method: str, scale_factor: int, params: str, seconds: Column | float
+    scored: DataFrame,
+    dataset: str,
+    model: str,
+    method: str,
+    scale_factor: int,
+    params: Column | str,
+    seconds: Column | float,
 ) -> DataFrame:
     """Scores in ledger form."""
+    params = params if isinstance(params, Column) else F.lit(params)
     seconds = seconds if isinstance(seconds, Column) else F.lit(float(seconds))
     return scored.select(
         F.lit(dataset).alias("Dataset"),
@@ -114,7 +142,7 @@ def ledger_rows(
         F.lit(method).alias("Method"),
         F.col("accuracy").alias("Accuracy"),
         F.col("f1").alias("F1_Score"),
-        F.lit(params).alias("Hyperparameters"),
+        params.alias("Hyperparameters"),
         seconds.alias("ExecutionTime_Sec"),
     ).select(*LEDGER_SCHEMA.names)
 
@@ -131,28 +159,37 @@ def run_experiment(
     k: int = 10,
     seed: int = 42,
     method_params: dict[str, dict] | None = None,
+    tuned: bool = False,
 ) -> list[tuple[str, int, str]]:
-    """Neighbour-vote baseline and augmented runs, each method and scale one job.
+    """Neighbour-vote runs: baseline, tuned baseline, and every method and scale, each one job.
 
+    Tuning happens once per run, on its seeds; augmented runs use those settings.
     ``write`` receives the ledger rows of a finished job, with its wall-clock seconds
     shared over its runs. A method that fails is skipped and reported; the others go on.
     """
     seeds, test = run_tables(seqs, sizes, selections, k, seed)
-    jobs = [("Baseline", 1)] + [(m, s) for m in methods for s in scales]
+    original = seeds.withColumn("copy", F.lit(0))
+    settings = cut_lineage(tune_knn_runs(seeds, unit, seed)) if tuned else None
+    jobs = [("Baseline", 1)] + ([("Tuned_Baseline", 1)] if tuned else []) + [(m, s) for m in methods for s in scales]
     skipped = []
     for method, factor in jobs:
         try:
-            if method == "Baseline":
-                train = seeds.withColumn("copy", F.lit(0))
+            if method in BASELINES:
+                train = original
             else:
                 train = generate_runs(seeds, method, factor, seed, **(method_params or {}).get(method, {}))
-            rows, seconds = evaluate.timed(knn_runs(train, test, unit, seed=seed).collect)
+            used = None if method == "Baseline" else settings
+            rows, seconds = evaluate.timed(knn_runs(train, test, unit, used, seed=seed).collect)
         except Exception as problem:  # one method must not stop the others
             skipped.append((method, factor, str(problem).split("\n")[0]))
             continue
         if rows:
             scored = seqs.sparkSession.createDataFrame(rows)
-            write(ledger_rows(scored, dataset, "KNN", method, factor, '{"n_neighbors": 5}', seconds / len(rows)))
+            params: Column | str = DEFAULT_SETTING
+            if used is not None:
+                scored = scored.join(used.select(*RUN, F.to_json("params").alias("params")), RUN)
+                params = F.col("params")
+            write(ledger_rows(scored, dataset, "KNN", method, factor, params, seconds / len(rows)))
     return skipped
 
 

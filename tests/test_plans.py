@@ -143,6 +143,35 @@ def test_whole_experiment(spark, toy, tmp_path):
     assert grid.pending(grid.experiment_grid(got, grid.GridSpec(folds=3, selections=1, seed_sizes=(1, 4), scales=(2,), models=("KNN",))), got).count() > 0
 
 
+def test_tuned_experiment(spark, toy, tmp_path):
+    path = str(tmp_path / "ledger")
+    skipped = experiment.run_experiment(
+        toy, "toy", (1, 3), 1, ["Mixup"], [2], lambda rows: ledger_io.append_results(rows, path), unit="point", k=2, tuned=True
+    )
+    got = ledger_io.read_ledger(spark, path)
+    per = {(r["Method"], r["SeedsPerLabel"]): r["count"] for r in got.groupBy("Method", "SeedsPerLabel").count().collect()}
+    assert skipped == []
+    assert per == {
+        ("Baseline", 1): 2, ("Baseline", 3): 2, ("Tuned_Baseline", 1): 2, ("Tuned_Baseline", 3): 2, ("Mixup", 3): 2,
+    }
+    settings = {(r["Fold"], r["SeedsPerLabel"], r["Method"]): json.loads(r["Hyperparameters"]) for r in got.collect()}
+    for fold in (1, 2):
+        assert settings[(fold, 3, "Mixup")] == settings[(fold, 3, "Tuned_Baseline")]
+        assert set(settings[(fold, 1, "Tuned_Baseline")]) == {"n_neighbors", "weights", "metric"}
+
+
+def test_one_setting_agrees_with_the_plain_vote(spark, toy):
+    rows = points_of(toy)
+    train = rows.filter("cv_fold > 1").select("run", F.col("row_id").alias("build_id"), "label", "v")
+    test = rows.filter("cv_fold = 1").select("run", F.col("row_id").alias("probe_id"), "label", "v")
+    for weights, metric in (("uniform", "euclidean"), ("distance", "manhattan")):
+        params = F.create_map(*[F.lit(x) for x in ("n_neighbors", "4", "weights", weights, "metric", metric)])
+        one = spark.range(1).select(F.lit(1).alias("run"), F.lit(0).alias("candidate"), params.alias("params"))
+        a = tune.predict_settings(test.drop("label"), train, ["run"], ["run"], one).select("probe_id", "prediction")
+        b = models.knn_classify(train, test, ["run"], 4, weights, metric).select("probe_id", "prediction")
+        assert sorted(a.collect()) == sorted(b.collect())
+
+
 def test_seeds_are_scaled_on_themselves(spark):
     seeds, test = experiment.run_tables(tb.sequences(spark, SF), (2,), 1)
     cells = seeds.select("run_fold", F.posexplode("x").alias("c", "v")).select("run_fold", "c", F.explode("v").alias("v"))
