@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from odorframe.llm import common
 
-ORDER = 5
+ORDER = 4
 # Text bytes of one block: bounds a task's memory and the rows of a co-group.
 BLOCK_BYTES = 6 << 20
 # Share of trusted texts (in 1/16) kept from the model to set the thresholds.
@@ -31,6 +31,8 @@ QUANTILE = 0.99
 MARGIN = 1.25
 # Languages with fewer held-out texts use the thresholds over all languages.
 LEAST_TEXTS = 30
+# A text is judged as if so many more characters had its language's median perplexity.
+PRIOR_CHARS = 20
 PAD = "\x02"
 
 
@@ -111,7 +113,7 @@ def _score_block(order: int):
     def run(key: tuple, texts: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
         out = []
         table = pd.Index(grams["gram"])
-        logs = grams["log_p"].to_numpy()
+        logs = grams["log_p"].to_numpy(np.float64)
         for ids, lengths, body in zip(texts["ids"], texts["lengths"], texts["body"]):
             raw, ends = zlib.decompress(body), np.cumsum(lengths)
             parts = [raw[e - n : e].decode("utf-8", "replace") for e, n in zip(ends.tolist(), lengths)]
@@ -143,11 +145,12 @@ def model_tables(counts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame,
     """For k = 1..order: (gram, alpha) and (context, gamma) of interpolated modified Kneser-Ney.
 
     The highest order has plain counts; each lower one counts the distinct left neighbours.
-    Discounts by Chen and Goodman from the counts of counts of the order.
+    Discounts by Chen and Goodman from the counts of counts of the order. Every level is written
+    once, as the next one and both its tables read it.
     """
     levels = [counts]
     for k in range(order - 1, 0, -1):
-        levels.insert(0, levels[0].groupBy(_tail(k).alias("gram")).agg(F.count("*").alias("n")))
+        levels.insert(0, common.written(levels[0].groupBy(_tail(k).alias("gram")).agg(F.count("*").alias("n")), "kn-level"))
     out = []
     for k, level in enumerate(levels, 1):
         of = level.agg(*[F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
@@ -166,25 +169,25 @@ def model_tables(counts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame,
 
 def gram_log_probabilities(grams: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, log_p) for every distinct n-gram asked for, by one join per table and order."""
-    asked = [grams.select("gram").distinct()]
+    asked = [common.written(grams.select("gram").distinct(), "kn-distinct")]
     for k in range(order - 1, 0, -1):
-        asked.insert(0, asked[0].select(_tail(k).alias("gram")).distinct())
+        asked.insert(0, common.written(asked[0].select(_tail(k).alias("gram")).distinct(), "kn-distinct"))
     lower: DataFrame | None = None
     for k, (want, (alpha, gamma)) in enumerate(zip(asked, model_tables(counts, order)), 1):
         if k == 1:
-            stats = gamma.select(F.col("gamma").alias("g1"))
-            letters = alpha.agg((F.count("*") + 1).alias("letters"))
-            want = want.join(alpha, "gram", "left")
-            fixed = {**(stats.first() or {"g1": 1.0}).asDict(), **letters.first().asDict()} if not counts.isEmpty() else {"g1": 1.0, "letters": 1}
-                # An unseen character gets one share of the freed mass.
-            lower = want.select("gram", (F.coalesce("alpha", F.lit(0.0)) + fixed["g1"] / fixed["letters"]).alias("p"))
-            continue
-        own = want.select("gram", F.substring("gram", 1, k - 1).alias("context"), _tail(k - 1).alias("tail"))
-        below = lower.select(F.col("gram").alias("tail"), F.col("p").alias("below"))
-        own = own.join(alpha, "gram", "left").join(gamma, "context", "left").join(below, "tail")
-        p = F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("below")
-        lower = own.select("gram", p.alias("p"))
-    return lower.select("gram", F.log("p").alias("log_p"))
+            # An unseen character gets one share of the freed mass.
+            freed = gamma.first()
+            share = (freed["gamma"] if freed else 1.0) / (alpha.count() + 1)
+            p = F.coalesce("alpha", F.lit(0.0)) + share
+            lower = want.join(alpha, "gram", "left").select("gram", p.alias("p"))
+        else:
+            own = want.select("gram", F.substring("gram", 1, k - 1).alias("context"), _tail(k - 1).alias("tail"))
+            below = lower.select(F.col("gram").alias("tail"), F.col("p").alias("below"))
+            own = own.join(alpha, "gram", "left").join(gamma, "context", "left").join(below, "tail")
+            p = F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("below")
+            lower = own.select("gram", p.alias("p"))
+        lower = common.written(lower, "kn-p")
+    return lower.select("gram", F.log("p").cast("float").alias("log_p"))
 
 
 def score(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
@@ -204,10 +207,12 @@ def held_out(column: str = "doc_id"):
 
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """One row per document: doc_id, n_scored, perplexity, threshold, kept.
+    """One row per document: doc_id, n_scored, perplexity, adjusted, threshold, kept.
 
     Trusted text is every document labelled quality 1; 4 in 16 of them stay out of the model
-    and set, per language, the highest perplexity accepted. Languages (null is one) with under
+    and set, per language, the highest perplexity accepted. What is compared is the adjusted
+    perplexity, drawn to the language's median by PRIOR_CHARS characters, as a few characters
+    say little. Languages (null is one) with under
     LEAST_TEXTS of those use the threshold over all languages. Empty texts have no perplexity
     and are not kept. With no trusted text at all nothing can be judged: every text is kept.
     Rows that repeat a doc_id are scored each on its own text.
@@ -218,10 +223,21 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     langs = docs.groupBy("doc_id").agg(F.max(F.coalesce("lang", F.lit(""))).alias("lang"))
     rows = scored.join(langs, "doc_id")
     marked = rows.join(good, F.col("doc_id") == F.col("trusted_id"), "left_semi").filter(held_out()).filter("n_scored > 0")
-    cut = F.percentile_approx("perplexity", quantile, 10_000) * margin
-    by_lang = marked.groupBy("lang").agg(F.count("*").alias("n"), cut.alias("own")).filter(F.col("n") >= LEAST_TEXTS)
-    overall = marked.agg(cut.alias("all_cut")).first()[0]
-    threshold = F.coalesce("own", F.lit(overall).cast("double"))
-    judged = rows.join(by_lang.select("lang", "own"), "lang", "left").withColumn("threshold", threshold)
-    kept = (F.col("n_scored") > 0) & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
-    return judged.select("doc_id", "n_scored", "perplexity", "threshold", kept.alias("kept"))
+    marked = common.written(marked.withColumn("loss", F.log("perplexity")), "kn-held-out")
+
+    def cut(of: DataFrame, column: str, share: float, name: str) -> tuple[DataFrame, float | None]:
+        at = F.percentile_approx(column, share, 10_000)
+        own = of.groupBy("lang").agg(F.count("*").alias("n"), at.alias(name)).filter(F.col("n") >= LEAST_TEXTS)
+        return own.select("lang", name), of.agg(at).first()[0]
+
+    def shrunk(df: DataFrame) -> DataFrame:
+        typical = F.coalesce("median", F.lit(middle_all).cast("double"))
+        loss = (F.col("loss") * F.col("n_scored") + typical * PRIOR_CHARS) / (F.col("n_scored") + PRIOR_CHARS)
+        return df.join(medians, "lang", "left").withColumn("adjusted", F.exp(F.coalesce(loss, "loss")))
+
+    medians, middle_all = cut(marked, "loss", 0.5, "median")
+    tops, top_all = cut(shrunk(marked), "adjusted", quantile, "top")
+    judged = shrunk(rows.withColumn("loss", F.log("perplexity"))).join(tops, "lang", "left")
+    judged = judged.withColumn("threshold", F.coalesce("top", F.lit(top_all).cast("double")) * margin)
+    kept = (F.col("n_scored") > 0) & (F.col("threshold").isNull() | (F.col("adjusted") <= F.col("threshold")))
+    return judged.select("doc_id", "n_scored", "perplexity", "adjusted", "threshold", kept.alias("kept"))
