@@ -134,13 +134,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, document) of the runs of bytes other than white space, never across texts."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, document) of the runs of word bytes, never across texts.
+
+    Word bytes are those marked in ``word_byte``, by default all but white space.
+    """
     n = len(data)
     if n == 0:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
-    solid = ~_IS_SPACE[data]
+    solid = ~_IS_SPACE[data] if word_byte is None else word_byte[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     before = np.empty(n, bool)

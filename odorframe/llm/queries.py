@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odorframe.llm import exact, packing, perplexity
+from odorframe.llm import exact, near, packing, perplexity
 from odorframe.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near.classes(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of every document: the row that stays, the group's size, the digest."""
     verdicts = exact.deduplicate(table(spark, sf_dir, "documents"))
@@ -41,6 +46,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
+    "op5_near_dedup": op5_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
