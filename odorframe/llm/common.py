@@ -47,6 +47,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Keys (8 bytes each) sent to every executor at most; beyond it joins shuffle.
+BROADCAST_KEYS = 2_000_000
+
+
+def only(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is in the written table ``keys``.
+
+    The keys are broadcast where a count allows it; beyond that Spark joins by shuffle.
+    """
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_semi")
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -110,7 +122,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -130,7 +142,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     terms = (data.astype(np.uint64) + np.uint64(1)) * powers(BASE, n)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(terms, out=prefix[1:])
-    back = powers(_INVERSE, n + 1)
+    back = powers(INVERSE, n + 1)
     return mix((prefix[ends] - prefix[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 

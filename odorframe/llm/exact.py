@@ -18,8 +18,6 @@ from odorframe.llm import common
 
 # Deleted before comparing: the ASCII white-space bytes.
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
-# Row numbers sent to every executor at most (8 bytes each); beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -119,10 +117,8 @@ def deduplicate(docs: DataFrame, row: str | None = None, digest=sha256) -> DataF
     rows = spark.read.parquet(path)
     state = common.written(keep_state(spark, path, common.new_path(spark, "dedup-state")), "dedup-kept")
     hits = common.written(state.filter("n > 1").select("digest"), "dedup-hits")
-    if hits.count() <= BROADCAST_ROWS:
-        hits = F.broadcast(hits)
     # Grouping by the whole normalised text is the byte comparison; copies meet map-side first.
-    bodies = docs.select(normalised().alias("body")).withColumn("digest", digest(F.col("body"))).join(hits, "digest", "left_semi")
+    bodies = common.only(docs.select(normalised().alias("body")).withColumn("digest", digest(F.col("body"))), hits, "digest")
     texts = bodies.groupBy("digest", "body").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("texts"))
     mixed = common.written(texts.filter("texts > 1").select("digest"), "dedup-mixed")
     if mixed.isEmpty():
@@ -139,5 +135,5 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     row = common.fresh_name(docs, "row")
     numbered = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-docs")
-    kept = deduplicate(numbered, row).filter("kept").select(F.col("row").alias(row))
-    return numbered.join(kept, row, "left_semi").drop(row)
+    kept = common.written(deduplicate(numbered, row).filter("kept").select(F.col("row").alias(row)), "dedup-stay")
+    return common.only(numbered, kept, row).drop(row)

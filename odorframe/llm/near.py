@@ -42,8 +42,6 @@ RARITY = 0.25
 # Draws per sample: a shingle's random numbers are one of so many entries, picked by its hash.
 ENTRIES = 1 << 16
 SEED = 20_240
-# Row numbers (8 bytes each) sent to every executor at most; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
 
 _WORD_BYTE = np.ones(256, bool)
 _WORD_BYTE[:128] = [chr(i).isalnum() for i in range(128)]
@@ -254,11 +252,6 @@ def _links(pairs: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame
     return pairs.join(one, "a").join(two, "b").select("a", "b", "h1", "w1", "h2", "w2").mapInArrow(_verify(similarity), "a long, b long")
 
 
-def _some_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``docs`` whose row is in ``rows``: by broadcast where a count allows it, else by shuffle."""
-    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "row", "left_semi")
-
-
 def classes(
     docs: DataFrame, size: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, row: str | None = None
 ) -> DataFrame:
@@ -289,7 +282,7 @@ def classes(
     buckets = keys.groupBy("band", "key").agg(lead, F.count("*").alias("n")).filter("n > 1")
     shared = common.written(keys.join(buckets.drop("n"), ["band", "key"]), "near-shared")
     some = common.written(shared.select("row").distinct(), "near-candidates")
-    vectors = common.written(_some_rows(source.select("row", "text"), some).mapInArrow(_vectors(size, sketch, n_docs), "row long, hashes binary, weights binary"), "near-vectors")
+    vectors = common.written(common.only(source.select("row", "text"), some, "row").mapInArrow(_vectors(size, sketch, n_docs), "row long, hashes binary, weights binary"), "near-vectors")
 
     def pair(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
@@ -324,5 +317,5 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """One document of each class, with all columns of ``docs``."""
     row = common.fresh_name(docs, "row")
     numbered = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "near-docs")
-    kept = classes(numbered, row=row).filter("kept").select(F.col("row").alias(row))
-    return numbered.join(kept, row, "left_semi").drop(row)
+    kept = common.written(classes(numbered, row=row).filter("kept").select(F.col("row").alias(row)), "near-stay")
+    return common.only(numbered, kept, row).drop(row)

@@ -241,3 +241,9 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     judged = judged.withColumn("threshold", F.coalesce("top", F.lit(top_all).cast("double")) * margin)
     kept = (F.col("n_scored") > 0) & (F.col("threshold").isNull() | (F.col("adjusted") <= F.col("threshold")))
     return judged.select("doc_id", "n_scored", "perplexity", "adjusted", "threshold", kept.alias("kept"))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without those rejected, with all their columns (a doc_id stays if a row of it does)."""
+    kept = common.written(classify(docs, labels).filter("kept").select("doc_id").distinct(), "kn-kept")
+    return common.only(docs, kept, "doc_id")

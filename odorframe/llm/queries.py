@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odorframe.llm import exact, near, packing, perplexity
+import corpus_pipeline
+from odorframe.llm import exact, near, packing, perplexity, suffixes
 from odorframe.llm.common import table
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the bytes of repeated 200-byte strings."""
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document under the model of all trusted text, and the verdict."""
     return perplexity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -45,9 +52,11 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": corpus_pipeline.run,
     "op4_packing": op4_packing,
     "op5_near_dedup": op5_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
