@@ -59,6 +59,12 @@ def only(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_semi")
 
 
+def beside(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written, and broadcast to joins if a count of its rows allows it."""
+    out = written(df, name)
+    return F.broadcast(out) if out.count() <= BROADCAST_KEYS else out
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, in any case."""
     taken = {c.lower() for c in df.columns}

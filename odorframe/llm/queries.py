@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from odorframe.llm import exact, near, packing, perplexity, suffixes
+from odorframe.llm import exact, licences, lines, near, packing, perplexity, suffixes
 from odorframe.llm.common import table
 
 
@@ -23,6 +23,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document and the notices in it."""
+    return licences.scan(table(spark, sf_dir, "documents")).drop("row")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without repeated multi-line chunks."""
+    found = lines.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_chunks_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in windows of 4096 tokens."""
     pieces = packing.pack(table(spark, sf_dir, "documents"))
@@ -53,6 +64,8 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
+    "op1_license_scan": op1_license_scan,
+    "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op5_near_dedup": op5_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
@@ -60,4 +73,4 @@ Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-SQL: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
+SQL: dict[str, str] = {"op1_license_scan": licences.oracle_sql(), "op3_line_dedup": lines.SQL, "op8_exact_dedup": OP8_SQL}
