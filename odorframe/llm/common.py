@@ -9,9 +9,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -177,3 +179,39 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray | No
 
 def sums_by(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc, weights=values, minlength=n)
+
+
+# Count arrays of a fixed size, summed over all tasks: pieces of CHUNK cells travel compressed.
+CHUNK = 1 << 16
+
+
+def cell_chunks(cells: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(number, bytes) of the pieces of a task's counts that aren't all zero."""
+    for k in range(-(-len(cells) // CHUNK)):
+        part = cells[k * CHUNK : (k + 1) * CHUNK]
+        if part.any():
+            yield k, zlib.compress(part.astype("<u8").tobytes(), 1)
+
+
+def _unpack(cells: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(cells), "<u8")
+
+
+def _add_chunks(group: pd.DataFrame) -> pd.DataFrame:
+    total = _unpack(group["cells"].iloc[0]).copy()
+    for cells in group["cells"].iloc[1:]:
+        total += _unpack(cells)
+    return pd.DataFrame({"chunk": group["chunk"].iloc[:1], "cells": [zlib.compress(total.tobytes(), 1)]})
+
+
+def sum_cells(parts: DataFrame, size: int) -> np.ndarray:
+    """The sums of all tasks' counts; ``parts`` has chunk and cells. ``size`` is fixed by the caller."""
+    salted = parts.select("chunk", "cells", F.pmod(F.xxhash64("cells"), F.lit(64)).alias("salt"))
+    # Two steps, so that a group stays small however many tasks there were.
+    some = salted.groupBy("chunk", "salt").applyInPandas(_add_chunks, "chunk int, cells binary")
+    whole = some.groupBy("chunk").applyInPandas(_add_chunks, "chunk int, cells binary")
+    out = np.zeros(size, np.uint64)
+    for r in whole.collect():
+        part = _unpack(r["cells"])
+        out[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(part)] = part
+    return out

@@ -15,7 +15,6 @@ bucket is either linked through its component or was compared.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,6 @@ ROWS = 3
 SLICE_BYTES = 4 << 20
 # Cells of each of the sketch's two rows: 8 MB in all, whatever the input.
 CELLS = 1 << 20
-CHUNK = 1 << 16
 # How much more a shingle of one text weighs than a shingle of all texts.
 RARITY = 0.25
 # Draws per sample: a shingle's random numbers are one of so many entries, picked by its hash.
@@ -115,37 +113,17 @@ def _first_pass(size: int):
                 0, s.n, part.column("row").to_pylist(), part.column("doc_id").to_pylist(),
                 [pair[i].tobytes() for i in range(s.n)], s.n_words.tolist(),
             )
-        flat = sketch.reshape(-1)
-        for chunk in range(len(flat) // CHUNK):
-            part = flat[chunk * CHUNK : (chunk + 1) * CHUNK]
-            if part.any():
-                yield rows(1, 1, chunk=[chunk], cells=[zlib.compress(part.astype("<u8").tobytes(), 1)])
+        for chunk, cells in common.cell_chunks(sketch.reshape(-1)):
+            yield rows(1, 1, chunk=[chunk], cells=[cells])
 
     return run
 
 
-def _unpack(cells: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(cells), "<u8")
-
-
-def _add_chunks(group: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(CHUNK, np.uint64)
-    for cells in group["cells"]:
-        total += _unpack(cells)
-    return pd.DataFrame({"chunk": group["chunk"].iloc[:1], "cells": [zlib.compress(total.tobytes(), 1)]})
-
-
 def frequencies(first: DataFrame) -> Broadcast:
     """The sketch of document frequencies: (2, CELLS) counts, the same size for any input."""
-    parts = first.filter("kind = 1").select("chunk", "cells", F.pmod(F.xxhash64("cells"), F.lit(64)).alias("salt"))
-    add = "chunk int, cells binary"
-    # Two steps, so that a group stays small however many tasks there were.
-    some = parts.groupBy("chunk", "salt").applyInPandas(lambda g: _add_chunks(g), add)
-    whole = some.groupBy("chunk").applyInPandas(lambda g: _add_chunks(g), add)
-    sketch = np.zeros(2 * CELLS, np.uint32)
-    for r in whole.collect():
-        sketch[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.minimum(_unpack(r["cells"]), 0xFFFFFFFF)
-    return first.sparkSession.sparkContext.broadcast(sketch.reshape(2, CELLS))
+    total = common.sum_cells(first.filter("kind = 1").select("chunk", "cells"), 2 * CELLS)
+    sketch = np.minimum(total, 0xFFFFFFFF).astype(np.uint32).reshape(2, CELLS)
+    return first.sparkSession.sparkContext.broadcast(sketch)
 
 
 def weights(s: Shingles, sketch: np.ndarray, n_docs: int) -> np.ndarray:

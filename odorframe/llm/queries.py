@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from odorframe.llm import exact, licences, lines, near, packing, perplexity, suffixes
+from odorframe.llm import exact, licences, lines, near, packing, perplexity, suffixes, toxicity
 from odorframe.llm.common import table
 
 
@@ -45,6 +45,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of every document: the row that stays, the group's size, the digest."""
     verdicts = exact.deduplicate(table(spark, sf_dir, "documents"))
@@ -68,6 +73,7 @@ Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op5_near_dedup": op5_near_dedup,
+    "op6_toxicity": op6_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_classifier": op10_quality_classifier,
