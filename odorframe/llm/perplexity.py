@@ -217,18 +217,19 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     and are not kept. With no trusted text at all nothing can be judged: every text is kept.
     Rows that repeat a doc_id are scored each on its own text.
     """
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias("trusted_id")).distinct()
-    trusted = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("trusted_id"), "left_semi")
-    scored = common.written(score(docs, trusted.filter(~held_out()), order), "kn-scores")
+    good = common.written(labels.filter("quality = 1").select("doc_id").distinct(), "kn-trusted")
+    # Without a count Spark would shuffle every text to find the trusted ones.
+    trusted = common.only(docs.select("doc_id", "text"), good, "doc_id")
+    scored = score(docs, trusted.filter(~held_out()), order)
     langs = docs.groupBy("doc_id").agg(F.max(F.coalesce("lang", F.lit(""))).alias("lang"))
-    rows = scored.join(langs, "doc_id")
-    marked = rows.join(good, F.col("doc_id") == F.col("trusted_id"), "left_semi").filter(held_out()).filter("n_scored > 0")
+    rows = common.written(scored.join(langs, "doc_id"), "kn-rows")
+    marked = common.only(rows, good, "doc_id").filter(held_out()).filter("n_scored > 0")
     marked = common.written(marked.withColumn("loss", F.log("perplexity")), "kn-held-out")
 
     def cut(of: DataFrame, column: str, share: float, name: str) -> tuple[DataFrame, float | None]:
         at = F.percentile_approx(column, share, 10_000)
         own = of.groupBy("lang").agg(F.count("*").alias("n"), at.alias(name)).filter(F.col("n") >= LEAST_TEXTS)
-        return own.select("lang", name), of.agg(at).first()[0]
+        return common.beside(own.select("lang", name), "kn-by-lang"), of.agg(at).first()[0]
 
     def shrunk(df: DataFrame) -> DataFrame:
         typical = F.coalesce("median", F.lit(middle_all).cast("double"))
