@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 # The six ASCII white-space bytes: space, tab, newline, vertical tab, form feed, return.
 SPACES = r"[\x20\x09-\x0D]"
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -163,7 +163,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray | No
     if n == 0:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
-    solid = ~_IS_SPACE[data] if word_byte is None else word_byte[data]
+    solid = ~IS_SPACE[data] if word_byte is None else word_byte[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     before = np.empty(n, bool)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from odorframe.llm import exact, licences, lines, near, packing, perplexity, suffixes, toxicity
+from odorframe.llm import exact, licences, lines, near, packing, perplexity, rules, suffixes, toxicity
 from odorframe.llm.common import table
 
 
@@ -50,6 +50,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics and the quality verdict of every document."""
+    found = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *rules.COUNTS, "base_failed", "kept", "score")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of every document: the row that stays, the group's size, the digest."""
     verdicts = exact.deduplicate(table(spark, sf_dir, "documents"))
@@ -74,6 +80,7 @@ Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_near_dedup": op5_near_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_quality_rules": op7_quality_rules,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_classifier": op10_quality_classifier,
