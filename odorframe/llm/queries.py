@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from odorframe.llm import exact, licences, lines, near, packing, perplexity, rules, suffixes, toxicity
+from odorframe.llm import exact, licences, lines, near, packing, perplexity, pieces, rules, suffixes, toxicity
 from odorframe.llm.common import table
 
 
@@ -28,6 +28,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document, and the digest of the text decoded from them."""
+    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without repeated multi-line chunks."""
     found = lines.deduplicate(table(spark, sf_dir, "documents"))
@@ -76,6 +82,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_license_scan": op1_license_scan,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op5_near_dedup": op5_near_dedup,
