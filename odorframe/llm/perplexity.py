@@ -101,7 +101,7 @@ def _block_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([block], pa.int64()),
-                pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                pa.array([part.column("row").to_pylist()], pa.list_(pa.int64())),
                 pa.array([lengths.tolist()], pa.list_(pa.int32())),
                 pa.array([zlib.compress(data.tobytes(), 1)], pa.binary()),
             ],
@@ -125,8 +125,8 @@ def _score_block(order: int):
             if len(codes):
                 sums = np.concatenate([[0.0], np.cumsum(logs[at][codes])])
                 total = sums[offsets[1:]] - sums[offsets[:-1]]
-            out.append(pd.DataFrame({"doc_id": ids, "n_scored": np.diff(offsets), "log_p": total}))
-        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n_scored": [], "log_p": []})
+            out.append(pd.DataFrame({"row": ids, "n_scored": np.diff(offsets), "log_p": total}))
+        return pd.concat(out) if out else pd.DataFrame({"row": [], "n_scored": [], "log_p": []})
 
     return run
 
@@ -191,38 +191,44 @@ def gram_log_probabilities(grams: DataFrame, counts: DataFrame, order: int = ORD
 
 
 def score(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
-    """doc_id, n_scored, perplexity (per character; null for an empty text) under the model of ``trusted``."""
+    """row, n_scored, perplexity (per character; null for an empty text) under the model of ``trusted``.
+
+    ``docs`` (row, text) must read alike each time it is read, as a table of files does.
+    """
     counts = common.written(count_grams(trusted, order), "kn-counts")
-    source = docs.select("doc_id", "text")
+    source = docs.select("row", "text")
     asked = common.written(source.select("text").mapInArrow(_block_grams(order), "block long, gram string"), "kn-asked")
     known = gram_log_probabilities(asked, counts, order)
     back = asked.join(known, "gram")
     texts = source.mapInArrow(_block_texts, "block long, ids array<long>, lengths array<int>, body binary")
-    sums = texts.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(_score_block(order), "doc_id long, n_scored long, log_p double")
-    return sums.select("doc_id", "n_scored", F.when(F.col("n_scored") > 0, F.exp(-F.col("log_p") / F.col("n_scored"))).alias("perplexity"))
+    sums = texts.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(_score_block(order), "row long, n_scored long, log_p double")
+    return sums.select("row", "n_scored", F.when(F.col("n_scored") > 0, F.exp(-F.col("log_p") / F.col("n_scored"))).alias("perplexity"))
 
 
 def held_out(column: str = "doc_id"):
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(16)) < HELD_OUT
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """One row per document: doc_id, n_scored, perplexity, adjusted, threshold, kept.
+def classify(
+    docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, row: str | None = None
+) -> DataFrame:
+    """One row per row of ``docs``: row, doc_id, n_scored, perplexity, adjusted, threshold, kept.
 
     Trusted text is every document labelled quality 1; 4 in 16 of them stay out of the model
     and set, per language, the highest perplexity accepted. What is compared is the adjusted
     perplexity, drawn to the language's median by PRIOR_CHARS characters, as a few characters
-    say little. Languages (null is one) with under
-    LEAST_TEXTS of those use the threshold over all languages. Empty texts have no perplexity
-    and are not kept. With no trusted text at all nothing can be judged: every text is kept.
-    Rows that repeat a doc_id are scored each on its own text.
+    say little. Languages (null is one) with under LEAST_TEXTS of those use the threshold over
+    all languages. Empty and null texts have no perplexity and are not kept. With no trusted text
+    at all nothing can be judged: every text is kept. ``docs`` must read alike each time it is
+    read (a table of files does); ``row`` names a column that numbers its rows, if it has one.
     """
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    numbered = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang"))
     good = common.written(labels.filter("quality = 1").select("doc_id").distinct(), "kn-trusted")
     # Without a count Spark would shuffle every text to find the trusted ones.
-    trusted = common.only(docs.select("doc_id", "text"), good, "doc_id")
-    scored = score(docs, trusted.filter(~held_out()), order)
-    langs = docs.groupBy("doc_id").agg(F.max(F.coalesce("lang", F.lit(""))).alias("lang"))
-    rows = common.written(scored.join(langs, "doc_id"), "kn-rows")
+    trusted = common.only(numbered.select("doc_id", "text"), good, "doc_id")
+    scored = score(numbered.select("row", "text"), trusted.filter(~held_out()), order)
+    rows = common.written(scored.join(numbered.drop("text"), "row"), "kn-rows")
     marked = common.only(rows, good, "doc_id").filter(held_out()).filter("n_scored > 0")
     marked = common.written(marked.withColumn("loss", F.log("perplexity")), "kn-held-out")
 
@@ -241,10 +247,12 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     judged = shrunk(rows.withColumn("loss", F.log("perplexity"))).join(tops, "lang", "left")
     judged = judged.withColumn("threshold", F.coalesce("top", F.lit(top_all).cast("double")) * margin)
     kept = (F.col("n_scored") > 0) & (F.col("threshold").isNull() | (F.col("adjusted") <= F.col("threshold")))
-    return judged.select("doc_id", "n_scored", "perplexity", "adjusted", "threshold", kept.alias("kept"))
+    return judged.select("row", "doc_id", "n_scored", "perplexity", "adjusted", "threshold", kept.alias("kept"))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those rejected, with all their columns (a doc_id stays if a row of it does)."""
-    kept = common.written(classify(docs, labels).filter("kept").select("doc_id").distinct(), "kn-kept")
-    return common.only(docs, kept, "doc_id")
+    """``docs`` without those rejected, with all their columns."""
+    row = common.fresh_name(docs, "row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    kept = common.written(classify(numbered, labels, row=row).filter("kept").select(F.col("row").alias(row)), "kn-kept")
+    return common.only(numbered, kept, row).drop(row)

@@ -20,7 +20,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document under the model of all trusted text, and the verdict."""
-    return perplexity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return perplexity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -382,9 +382,11 @@ def _remove(as_text: bool):
             rest = data[~gone].tobytes()
             cut = offsets - total[offsets]
             for i, doc_id in enumerate(ids):
+                doc_id = None if doc_id != doc_id or doc_id is None else int(doc_id)
                 a, b, own = offsets[i], offsets[i + 1], rest[cut[i] : cut[i + 1]]
                 out.append((doc_id, b - a, total[b] - total[a], runs[b] - runs[a], own.decode("utf-8", "ignore") if as_text else own))
-        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        made = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        return made.astype({"doc_id": "Int64"})
 
     return run
 
