@@ -21,6 +21,8 @@ WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # A store would otherwise claim megabytes of disk for logs before it holds a row.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
