@@ -12,10 +12,13 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
@@ -30,58 +33,117 @@ POOL = 2048
 # A window short of more than this many tokens gets the front of another remainder.
 TOLERANCE = 16
 SLICE_BYTES = 4 << 20
-# Words whose ids a worker remembers.
-CACHE_WORDS = 500_000
+# Words (and parts of words) whose ids a worker remembers, give or take a slice's.
+CACHE_WORDS = 700_000
+# New ones are encoded by so many as one text, between them a sign with an id of its own.
+GROUP = 4096
+MARK = "\x01"
+# Words for which lower case and Unicode normal form are the same everywhere (special tokens
+# aside), and their parts.
+PLAIN = regex.compile("[!-~À-ÖØ-öø-ÿ]+")
+SPECIAL = "<|"
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 Piece = tuple[int, int, int, np.ndarray]  # doc_id, start, doc_tokens, ids
 
 
+class Table:
+    """Strings and their ids, in flat arrays."""
+
+    def __init__(self):
+        self.index: dict[bytes | str, int] = {}
+        self.first = self.count = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def add(self, keys: list, count: np.ndarray, flat: np.ndarray) -> None:
+        at = len(self.index)
+        self.index.update(zip(keys, range(at, at + len(keys))))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def places(self, keys: list) -> np.ndarray:
+        return np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all places in a row, number of ids of each)."""
+        count = self.count[places]
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.first[places] - ends + count, count) + np.arange(total)], count
+
+
 class WordIds:
     """Ids of texts by way of their words between ASCII white space.
 
-    For vocabularies that drop white space and split at it (as ``word_bpe_49k`` does), a text's
-    ids are its words' ids in a row, so each distinct word is encoded once per worker.
+    For a vocabulary that drops white space, lowers case and splits at letters, digits and other
+    signs (as ``word_bpe_49k`` does) a text's ids are its words' ids in a row, and a word of plain
+    Latin characters has those of its parts. Each distinct part is encoded once per worker; other
+    words are encoded whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.words, self.parts = Table(), Table()
+
+    def _encode(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids, ids) of strings without white space or MARK: many as one text, marks between."""
+        groups = [f" {MARK} ".join(strings[i : i + GROUP]) + f" {MARK}" for i in range(0, len(strings), GROUP)]
+        counts, flats = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False):
+            ids = np.array(e.ids, np.uint32)
+            marks = np.flatnonzero(ids == self.mark)
+            counts.append(np.diff(marks, prepend=-1) - 1)
+            flats.append(np.delete(ids, marks))
+        return np.concatenate(counts), np.concatenate(flats)
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        if len(self.parts.index) > CACHE_WORDS:
+            self.parts = Table()
+        new = list(set(parts).difference(self.parts.index, [MARK]))
+        if MARK not in self.parts.index:
+            self.parts.add([MARK], np.array([1]), np.array([self.mark], np.uint32))
+        if new:
+            self.parts.add(new, *self._encode(new))
 
     def _learn(self, words: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        count = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(count.sum()))
-        at = len(self.index)
-        self.index.update(zip(words, range(at, at + len(words))))
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.flat = np.concatenate([self.flat, flat])
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        words = [w for ws in split for w in ws]
-        distinct = set(words)
-        new = [w for w in distinct if w not in self.index]
-        if len(self.index) + len(new) > CACHE_WORDS and self.index:
-            self.forget()
-            new = list(distinct)
+        plain, whole, odd = [], [], []
+        for t in [w.decode() for w in words]:
+            (odd if MARK in t else plain if PLAIN.fullmatch(t) and SPECIAL not in t else whole).append(t)
+        # The parts of all plain words in one go, a mark behind each word.
+        parts = PARTS.findall((f" {MARK} ".join(plain) + f" {MARK}").lower()) if plain else []
+        self._learn_parts(parts)
+        places = self.parts.places(parts)
+        flat, count = self.parts.ids(places)
+        ends = np.concatenate([[0], np.cumsum(count)])
+        behind = np.flatnonzero(places == self.parts.index[MARK]) if plain else np.zeros(0, np.int64)
+        # A mark has one id, left out here.
+        self.words.add([t.encode() for t in plain], np.diff(ends[behind], prepend=-1) - 1, np.delete(flat, ends[behind]))
+        self.words.add([t.encode() for t in whole], *self._encode(whole))
+        for t in odd:
+            ids = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+            self.words.add([t.encode()], np.array([len(ids)]), ids)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text of a row of texts (bytes and offsets)."""
+        starts, ends, doc = common.word_spans(data, offsets)
+        codes, distinct = pd.factorize(common.span_hashes(data, starts, ends))
+        first = np.zeros(len(distinct), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        raw = data.tobytes()
+        words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        if len(self.words.index) > CACHE_WORDS:
+            self.words = Table()
+        places = self.words.places(words)
+        new = [words[i] for i in np.flatnonzero(places < 0).tolist()]
         if new:
             self._learn(new)
-        codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        count = self.count[codes]
-        ends = np.cumsum(count)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.first[codes] - ends + count, count) + np.arange(total)]
-        by_text = np.cumsum([len(ws) for ws in split])
-        cuts = np.concatenate([[0], ends])[by_text]
-        return np.split(ids, cuts[:-1]) if len(texts) else []
+            places = self.words.places(words)
+        ids, count = self.words.ids(places[codes])
+        by_text = np.bincount(doc, weights=count, minlength=len(offsets) - 1).astype(np.int64)
+        return np.split(ids, np.cumsum(by_text)[:-1])
 
 
 _WORKER: dict[str, WordIds] = {}
@@ -189,10 +251,7 @@ def _pack(encoder: Callable[[], WordIds], capacity: int, end: int, pool_size: in
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         words = encoder()
         for part in common.slices(batches, "text", SLICE_BYTES):
-            data, offsets = common.utf8(part.column("text"))
-            raw = data.tobytes()
-            texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.encode(texts)):
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.encode(*common.utf8(part.column("text")))):
                 yield doc_id, np.append(ids, np.uint32(end))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
