@@ -276,3 +276,35 @@ def merged(spark, sf):
 Q["merge_result_files"] = merged
 SQL["merge_result_files"] = f"""WITH {tb.LEDGER_SQL} SELECT * REPLACE ('{{''id'': ''' || "Hyperparameters" || ''', ''k'': 5}}' AS "Hyperparameters",
   CASE WHEN "Fold" % 2 = 0 THEN "SeedFoldSelection" END AS "SeedFoldSelection") FROM led"""
+
+
+def merged_odd(spark, sf):
+    """Result tables whose first column is another one, with quoted headers, and wider than a ledger."""
+    root = fresh_path(spark, "results")
+    led = tb.ledger(spark, sf)
+    part = lambda i: led.filter(F.col("Fold") % 3 == i)
+    ledger_io.save_table(part(0).select(*reversed(led.columns)), f"{root}/back_results.csv")
+    part(1).write.options(header=True, escape='"', quoteAll=True).csv(f"{root}/quoted_results.csv")
+    wide = part(2).select(F.lit("n, 1").alias("Note"), F.lit(1).alias("Host"), *led.columns)
+    wide.write.options(header=True, escape='"').csv(f"{root}/deep/wide_results.csv")
+    return ledger_io.merge_results(spark, root)
+
+
+Q["merge_odd_headers"] = merged_odd
+SQL["merge_odd_headers"] = SQL["ledger_append"]
+
+
+def headers(spark, sf):
+    """How many ledger columns each result table names."""
+    root = fresh_path(spark, "results")
+    led = tb.ledger(spark, sf)
+    ledger_io.save_table(led.coalesce(1), f"{root}/whole_results.csv")
+    ledger_io.save_table(led.select("Dataset", F.lit(0).alias("Other")).coalesce(1), f"{root}/one_results.csv")
+    ledger_io.save_table(led.select(F.lit(0).alias("Other")).coalesce(1), f"{root}/none_results.csv")
+    found = ledger_io.result_headers(spark, root)
+    return found.select(F.regexp_extract("file", "([a-z]+)_results", 1).alias("name"), F.size(F.filter("columns", lambda c: c.isNotNull())).alias("columns"), "known")
+
+
+Q["result_headers"] = headers
+SQL["result_headers"] = """SELECT n AS name, CAST(c AS INTEGER) AS columns, CAST(k AS INTEGER) AS known
+FROM (VALUES ('whole', 11, 11), ('one', 2, 1), ('none', 1, 0)) v(n, c, k) WHERE EXISTS (SELECT 1 FROM lineitem)"""

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import tables as tb
 from checks.splits import _SEQ_HEAD, seeds_sql
 from checks.synthetic import long
 from odorframe.operators import augment, evaluate, models, neighbors, oversample, split, tune
-from odorframe.plans import experiment
+from odorframe.plans import experiment, grid
 from odorframe.session import cut_lineage, fresh_path
 from odorframe.sources import ledger_io
 
@@ -84,7 +88,7 @@ qt AS (SELECT id, label, CAST(hard AS BIGINT) AS hard, CAST(round_even(hard * (c
 
 
 def adasyn_quota(spark, sf):
-    return oversample.adasyn_quota(tb.sequences(spark, sf), 3, 5)
+    return oversample.adasyn_quota(tb.sequences(spark, sf), 3).drop("k")
 
 
 Q["adasyn_quota"] = adasyn_quota
@@ -184,26 +188,35 @@ Q["label_codes"] = label_codes
 SQL["label_codes"] = f"WITH {FLAT} SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT label FROM flat)"
 
 
-def _one_fold(spark, sf):
-    v = vectors(spark, sf)
-    f = split.assign_folds(split.measurements(v)).join(v.drop("label"), "measurement_id")
-    return f.filter(F.col("fold") != 1), f.filter(F.col("fold") == 1)
-
-
 def _ml(name, params):
+    """Predictions for every fold by a model fitted on the others: whose label, and whether it is a known one."""
+
     def query(spark, sf):
-        train, test = _one_fold(spark, sf)
-        model = models.fit(name, train, params)
-        return models.predict(model, test).select("measurement_id", "label", "prediction")
+        v = vectors(spark, sf)
+        f = cut_lineage(split.assign_folds(split.measurements(v)).join(v.drop("label"), "measurement_id"))
+
+        def fold(i):
+            model = models.fit(name, f.filter(F.col("fold") != i), params)
+            return models.predict(model, f.filter(F.col("fold") == i)).select("measurement_id", "label", "prediction")
+
+        with ThreadPoolExecutor(4) as pool:
+            parts = list(pool.map(fold, range(1, 11)))
+        every = functools.reduce(DataFrame.unionByName, parts)
+        known = every.select(F.col("label").alias("__l")).distinct()
+        return every.join(F.broadcast(known), F.col("prediction") == F.col("__l"), "left").select("measurement_id", "label", F.col("__l").isNotNull().alias("known"))
 
     return query
 
 
-# Iterative fits: rows only.
-Q["random_forest"] = _ml("RandomForest", {"n_estimators": 50, "max_depth": 10})
-Q["linear_svc"] = _ml("LinearSVC", {"C": 1.0})
-Q["logistic_regression"] = _ml("LogisticRegression", {"C": 1.0})
-Q["sequence_perceptron"] = _ml("RNN", {"hidden_size": 64, "epochs": 10})
+# Iterative fits: which rows are predicted, each with a label of the training set.
+for _name, _model, _params in (
+    ("random_forest", "RandomForest", {"n_estimators": 50, "max_depth": 10}),
+    ("linear_svc", "LinearSVC", {"C": 1.0, "max_iter": 10}),
+    ("logistic_regression", "LogisticRegression", {"C": 1.0}),
+    ("sequence_perceptron", "RNN", {"hidden_size": 64, "epochs": 10}),
+):
+    Q[_name] = _ml(_model, _params)
+    SQL[_name] = "SELECT vec_id AS measurement_id, CAST(label AS VARCHAR) AS label, true AS known FROM embeddings"
 
 
 def _run_keys(spark, sf):
@@ -257,15 +270,22 @@ def halving(spark, sf):
     rows = cv.join(v.drop("label"), "measurement_id").withColumn("cv_k", F.lit(5)).withColumnRenamed("measurement_id", "row_id")
     space = tune.candidates(train.select("run_fold").distinct(), ["run_fold"], "KNN")
     best = tune.halving_knn(rows, ["run_fold"], space)
-    return best.select("run_fold", "candidate", "accuracy", "n_rows")
+    drawn = space.select("run_fold", "candidate", F.lit(True).alias("drawn"))
+    sane = F.col("accuracy").between(0.0, 1.0).alias("sane")
+    return best.join(drawn, ["run_fold", "candidate"], "left").select("run_fold", F.coalesce("drawn", F.lit(False)).alias("drawn"), sane, "n_rows")
 
 
+# Which setting wins depends on three rungs of votes; the fold, the rows of the last rung and that it was drawn do not.
 Q["halving_search"] = halving
+SQL["halving_search"] = f"""{_SEQ_HEAD},
+tr AS (SELECT r AS run_fold, count(*) AS n, count(DISTINCT label) AS classes FROM fld, (SELECT unnest(range(1, 11)) AS r) WHERE fold <> r GROUP BY 1)
+SELECT CAST(run_fold AS INTEGER) AS run_fold, true AS drawn, true AS sane,
+  CAST(least(n, 10 * classes * CASE WHEN 90 * classes <= n THEN 9 WHEN 30 * classes <= n THEN 3 ELSE 1 END) AS BIGINT) AS n_rows FROM tr"""
 
 
 def baseline_runs(spark, sf):
-    """Neighbour vote on flat sequences for every fold, three selections and all seed sizes."""
-    seeds, test = experiment.run_tables(tb.sequences(spark, sf), (1, 2, 5, 10, 20), 3)
+    """Neighbour vote on flat sequences for every fold, selection and seed size."""
+    seeds, test = experiment.run_tables(tb.sequences(spark, sf), (1, 2, 5, 10, 20), 10)
     out = experiment.knn_runs(seeds.withColumn("copy", F.lit(0)), test, "sequence")
     return out.withColumns({"accuracy": tb.r6("accuracy"), "f1": tb.r6("f1")})
 
@@ -291,7 +311,7 @@ _VEC = lambda src, key, order: f"SELECT run_fold, selection, n_seeds, {key} AS i
 _ID0 = "CAST(id AS VARCHAR) || '|0'"
 
 Q["baseline_runs"] = baseline_runs
-SQL["baseline_runs"] = f"""{_RUNS('[1, 2, 5, 10, 20]', 3)},
+SQL["baseline_runs"] = f"""{_RUNS('[1, 2, 5, 10, 20]', 10)},
 bp AS ({_VEC('tr0', _ID0, 'c, t')}), tp AS ({_VEC('te', 'CAST(id AS VARCHAR)', 'c, t')}),
 {_RUN_SCORE}"""
 
@@ -325,38 +345,147 @@ bp AS ({_VEC('tr', "CAST(id AS VARCHAR) || '|' || copy", 'c, t')}), tp AS ({_VEC
 {_RUN_SCORE}"""
 
 
-def _whole_runs(method, sizes):
+def _whole_runs(method, sizes, factor=3, selections=2):
     def query(spark, sf):
-        seeds, test = experiment.run_tables(tb.sequences(spark, sf), sizes, 1)
-        return experiment.knn_runs(experiment.generate_runs(seeds, method, 2), test, "sequence")
+        seeds, test = experiment.run_tables(tb.sequences(spark, sf), sizes, selections)
+        out = experiment.knn_runs(experiment.generate_runs(seeds, method, factor), test, "sequence")
+        return out.withColumns({"accuracy": tb.r6("accuracy"), "f1": tb.r6("f1")})
 
     return query
 
 
-Q["augmented_runs_smote"] = _whole_runs("SMOTE", (5,))
-Q["augmented_runs_adasyn"] = _whole_runs("ADASYN", (10,))
-Q["augmented_runs_mixture"] = _whole_runs("GMM", (5,))
+_R = "run_fold, selection, n_seeds"
+_RUN_VECTORS = f"""vk AS (SELECT {_R}, id, label, kid, list(v ORDER BY c, t) AS v FROM (SELECT *, {_KEYED} AS kid FROM tr0) GROUP BY ALL),
+sz AS (SELECT *, least(5, min(n) OVER (PARTITION BY {_R}) - 1) AS k FROM (SELECT {_R}, label, count(*) AS n FROM vk GROUP BY ALL)),
+nn AS (SELECT * FROM (SELECT p.kid, b.kid AS other, row_number() OVER (PARTITION BY p.kid ORDER BY list_distance(p.v, b.v), b.kid) AS o
+  FROM vk p JOIN vk b USING ({_R}, label) WHERE p.kid <> b.kid) WHERE o <= 5)"""
+_RUN_MADE = f"""made AS (SELECT {_R}, pk.id, pk.label, pk.copy, list_transform(list_zip(pk.sv, y.v), lambda z: z[1] + pk.gap * (z[2] - z[1])) AS v
+  FROM pk JOIN nn ON nn.kid = pk.skid AND nn.o = pk.o JOIN (SELECT kid, v FROM vk) y ON y.kid = nn.other)"""
+_RUN_TRAIN = f"""bp AS (SELECT {_R}, CAST(id AS VARCHAR) || '|0' AS id, label, v FROM vk {{only}}
+  UNION ALL SELECT {_R}, CAST(id AS VARCHAR) || '|' || copy, label, v FROM made),
+tp AS ({_VEC('te', 'CAST(id AS VARCHAR)', 'c, t')})"""
+
+
+def _smote_runs_sql(sizes, factor=3, selections=2):
+    return f"""{_RUNS(sizes, selections)}, {_RUN_VECTORS},
+rk AS (SELECT vk.*, n, k, row_number() OVER (PARTITION BY {_R}, label ORDER BY {tb.md5_sql('rank', 'kid')}) AS r FROM vk JOIN sz USING ({_R}, label)),
+dr AS (SELECT *, CAST(floor({tb.uniform_sql('h')} * (n * k)) AS BIGINT) AS pick, {tb.uniform_sql('h', 1)} AS gap
+  FROM (SELECT *, {tb.md5_sql('smote', 'kid', 'copy')} AS h FROM (SELECT *, CAST(unnest(range(1, {factor})) AS INTEGER) AS copy FROM rk WHERE k > 0))),
+pk AS (SELECT {_R}, dr.id, label, dr.copy, s.kid AS skid, s.v AS sv, dr.pick % dr.k + 1 AS o, dr.gap
+  FROM dr JOIN (SELECT {_R}, label, kid, v, r FROM rk) s USING ({_R}, label) WHERE s.r = dr.pick // dr.k + 1),
+{_RUN_MADE}, {_RUN_TRAIN.format(only='')}, {_RUN_SCORE}"""
+
+
+def _hard_sql(factor):
+    return f"""na AS (SELECT * FROM (SELECT p.kid, b.label AS lb, row_number() OVER (PARTITION BY p.kid ORDER BY list_distance(p.v, b.v), b.kid) AS o
+  FROM vk p JOIN vk b USING ({_R}) WHERE p.kid <> b.kid) WHERE o <= 5),
+hd AS (SELECT vk.*, sz.n, greatest(sz.k, 1) AS k, sz.k AS k0, coalesce((SELECT sum(CASE WHEN na.lb <> vk.label THEN 1 ELSE 0 END) FROM na WHERE na.kid = vk.kid AND na.o <= greatest(sz.k, 1)), 0) AS hard
+  FROM vk JOIN sz USING ({_R}, label)),
+qt AS (SELECT *, sum(hard) OVER (PARTITION BY {_R}, label) AS total,
+  CAST(round_even(hard * n * {factor - 1} / nullif(sum(hard) OVER (PARTITION BY {_R}, label), 0), 0) AS BIGINT) AS quota FROM hd),
+easy AS (SELECT DISTINCT {_R} FROM qt WHERE total = 0 AND k0 > 0)"""
+
+
+def _adasyn_runs_sql(sizes, factor=3, selections=2):
+    return f"""{_RUNS(sizes, selections)}, {_RUN_VECTORS}, {_hard_sql(factor)},
+pk AS (SELECT *, kid AS skid, v AS sv, CAST(floor({tb.uniform_sql('h')} * k) AS BIGINT) + 1 AS o, {tb.uniform_sql('h', 1)} AS gap
+  FROM (SELECT *, {tb.md5_sql('adasyn', 'kid', 'copy')} AS h FROM (
+    SELECT *, CAST(unnest(range(1, quota + 1)) AS INTEGER) AS copy FROM qt WHERE k0 > 0 AND quota > 0 AND ({_R}) NOT IN (SELECT ({_R}) FROM easy)))),
+{_RUN_MADE}, {_RUN_TRAIN.format(only=f'WHERE ({_R}) NOT IN (SELECT ({_R}) FROM easy)')}, {_RUN_SCORE}"""
+
+
+Q["augmented_runs_smote"] = _whole_runs("SMOTE", (5, 10, 20))
+SQL["augmented_runs_smote"] = _smote_runs_sql("[5, 10, 20]")
+Q["augmented_runs_adasyn"] = _whole_runs("ADASYN", (10, 20))
+SQL["augmented_runs_adasyn"] = _adasyn_runs_sql("[10, 20]")
+
+
+def adasyn_outcomes(spark, sf):
+    """Why runs of the smallest and larger seed sizes are grown or not."""
+    seeds, _ = experiment.run_tables(tb.sequences(spark, sf), (1, 10, 20), 2)
+    return experiment.run_outcomes(seeds, "ADASYN", 3)
+
+
+Q["adasyn_run_outcomes"] = adasyn_outcomes
+SQL["adasyn_run_outcomes"] = f"""{_RUNS('[1, 10, 20]', 2)}, {_RUN_VECTORS}, {_hard_sql(3)}
+SELECT {_R}, CASE WHEN n_seeds < 10 THEN 'seed size below gate' WHEN min(k0) < 1 THEN 'a class has one member'
+  WHEN min(total) = 0 THEN 'no hard samples' ELSE 'ok' END AS outcome FROM qt GROUP BY {_R}"""
+
+
+def mixture_runs(spark, sf):
+    """Runs trained on a fitted mixture's samples: every run is scored on its whole test fold."""
+    out = _whole_runs("GMM", (5, 10), 2, 1)(spark, sf)
+    return out.select("run_fold", "selection", "n_seeds", "n_test", (F.col("accuracy").between(0, 1) & F.col("f1").between(0, 1)).alias("sane"))
+
+
+_RUN_FACTS = lambda sizes, sel: f"""{_SEQ_HEAD} SELECT CAST(fold AS INTEGER) AS run_fold, CAST(selection AS INTEGER) AS selection, CAST(n_seeds AS INTEGER) AS n_seeds,
+  count(*) AS n_test, true AS sane FROM fld, (SELECT unnest({sizes}) AS n_seeds), (SELECT unnest(range(1, {sel + 1})) AS selection) GROUP BY ALL"""
+Q["augmented_runs_mixture"] = mixture_runs
+SQL["augmented_runs_mixture"] = _RUN_FACTS("[5, 10]", 1)
 
 
 def tuned_baseline_runs(spark, sf):
-    """Each run tuned on its seeds, scored with its own best setting."""
-    seeds, test = experiment.run_tables(tb.sequences(spark, sf), (5,), 1)
-    best = experiment.tune_knn_runs(seeds, "sequence")
-    return experiment.knn_runs(seeds.withColumn("copy", F.lit(0)), test, "sequence", cut_lineage(best))
+    """Each run tuned on its seeds, single ones too, and scored with its own best setting."""
+    seeds, test = experiment.run_tables(tb.sequences(spark, sf), (1, 5), 1)
+    best = cut_lineage(experiment.tune_knn_runs(seeds, "sequence"))
+    out = experiment.knn_runs(seeds.withColumn("copy", F.lit(0)), test, "sequence", best)
+    joined = out.join(best.select(*experiment.RUN, F.col("accuracy").alias("cv")), experiment.RUN, "left")
+    sane = F.coalesce(F.col("cv").between(0, 1) & F.col("accuracy").between(0, 1), F.lit(False))
+    return joined.select(*experiment.RUN, "n_test", sane.alias("sane"))
 
 
 Q["tuned_baseline_runs"] = tuned_baseline_runs
+SQL["tuned_baseline_runs"] = _RUN_FACTS("[1, 5]", 1)
 
 
-def experiment_ledger(spark, sf):
-    """Baseline and two generators through the whole loop into a ledger, read back."""
-    path = fresh_path(spark, "experiment")
+def single_seed_folds(spark, sf):
+    """Where the only sequence per label of single-seed runs falls in their two folds."""
+    seeds, _ = experiment.run_tables(tb.sequences(spark, sf), (1,), 10)
+    return experiment.cv_rows(seeds, "sequence").select("run_fold", "selection", "row_id", "label", "cv_k", "cv_fold")
+
+
+Q["single_seed_folds"] = single_seed_folds
+SQL["single_seed_folds"] = f"""{_SEQ_HEAD}, {seeds_sql('[1]', 10)},
+rw AS (SELECT run_fold, selection, n_seeds, CAST(id AS VARCHAR) AS row_id, label FROM seeds)
+SELECT run_fold, selection, row_id, label, 2 AS cv_k, CAST((row_number() OVER (PARTITION BY run_fold, selection, n_seeds
+  ORDER BY label, {tb.md5_sql('fold', 'run_fold', 'selection', 'n_seeds', 'row_id')}, row_id) - 1) % 2 + 1 AS INTEGER) AS cv_fold FROM rw"""
+
+
+LOOP_MODELS = tuple(m for m in grid.MODELS if m != "LinearSVC")
+
+
+def _loop(spark, sf):
+    """The whole loop with four models over two folds: the ledger's path and the outcomes' path.
+
+    One-against-the-rest vector machines go through the same loop, but take minutes a run.
+    """
+    path, told = fresh_path(spark, "experiment"), fresh_path(spark, "outcomes")
     skipped = experiment.run_experiment(
-        tb.sequences(spark, sf), "embeddings", (2, 5), 1, ["Jittering", "Mixup"], [2], lambda rows: ledger_io.append_results(rows, path), "sequence"
+        tb.sequences(spark, sf), "embeddings", (5,), 1, ["SMOTE"], [2], lambda rows: ledger_io.append_results(rows, path), "sequence",
+        k=2, tuned=True, model_names=LOOP_MODELS, candidates=1, write_outcomes=lambda rows: rows.write.mode("append").parquet(told),
     )
     if skipped:
         raise RuntimeError(f"skipped: {skipped}")
-    return ledger_io.read_ledger(spark, path).drop("ExecutionTime_Sec")
+    return path, told
+
+
+_LOOP_SPEC = grid.GridSpec(
+    folds=2, selections=1, seed_sizes=(5,), scales=(2,), min_seeds=(("SMOTE", 3),), models=LOOP_MODELS
+)
+
+
+def experiment_ledger(spark, sf):
+    """Every run of four models in the ledger, whether its scores are sane, what is pending of the same grid."""
+    path, _ = _loop(spark, sf)
+    led = ledger_io.read_ledger(spark, path)
+    left = grid.pending(grid.experiment_grid(led.select("Dataset").distinct(), _LOOP_SPEC), led).count()
+    sane = F.col("Accuracy").between(0, 1) & F.col("F1_Score").between(0, 1) & (F.col("ExecutionTime_Sec") > 0) & F.col("Hyperparameters").isNotNull()
+    return led.select("Fold", "SeedsPerLabel", "ScaleFactor", "Model", "Method", sane.alias("sane"), F.lit(left).cast("bigint").alias("pending"))
 
 
 Q["experiment_ledger"] = experiment_ledger
+_MODEL_ROWS = ", ".join(f"('{m}')" for m in LOOP_MODELS)
+SQL["experiment_ledger"] = f"""SELECT CAST(f AS INTEGER) AS "Fold", CAST(s AS INTEGER) AS "SeedsPerLabel", CAST(x AS INTEGER) AS "ScaleFactor", m AS "Model", g AS "Method",
+  true AS sane, CAST(0 AS BIGINT) AS pending FROM (SELECT unnest([1, 2]) AS f), (SELECT unnest([5]) AS s), (VALUES {_MODEL_ROWS}) v(m),
+  (VALUES ('Baseline', 1, 1), ('Tuned_Baseline', 1, 1), ('SMOTE', 2, 3)) w(g, x, least_seeds)
+  WHERE s >= least_seeds AND EXISTS (SELECT 1 FROM embeddings)"""

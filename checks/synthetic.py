@@ -9,6 +9,7 @@ from checks import tables as tb
 from checks.splits import _SEQ_HEAD, seeds_sql
 from odorframe.functions.arrays import spline_basis
 from odorframe.operators import augment, shape, split
+from odorframe.operators.mixture import LATENT_MIN_ROWS
 from odorframe.plans.grid import METHOD_MIN_SEEDS
 
 Q = {}
@@ -67,12 +68,12 @@ def _knots_sql(purpose: str) -> str:
   FROM (SELECT DISTINCT id, copy, c FROM cp WHERE copy > 0), (SELECT unnest(range(6)) AS j)))"""
 
 
-Q["magnitude_warping"] = lambda s, sf: long(augment.generate(one(s, sf), "Magnitude_Warping", 2, steps=T8))
+Q["magnitude_warping"] = lambda s, sf: long(augment.generate(one(s, sf), "Magnitude_Warping", 2))
 SQL["magnitude_warping"] = f"""{_CELL1}, {_copies_sql(2)}, {_basis_sql(T8, spline_basis(T8, 6))}, {_knots_sql('magnitude')},
 cv AS (SELECT id, copy, c, t, sum(b * w) AS f FROM kn JOIN basis USING (j) GROUP BY 1, 2, 3, 4)
 SELECT id AS measurement_id, {_OUT}, round(v * coalesce(f, 1), 6) + 0 AS value FROM cp LEFT JOIN cv USING (id, copy, c, t)"""
 
-Q["time_warping"] = lambda s, sf: long(augment.generate(one(s, sf), "Time_Warping", 2, steps=T8))
+Q["time_warping"] = lambda s, sf: long(augment.generate(one(s, sf), "Time_Warping", 2))
 SQL["time_warping"] = f"""{_CELL1}, {_copies_sql(2)}, {_basis_sql(T8, spline_basis(T8, 6))}, {_knots_sql('time')},
 tw AS (SELECT id, copy, c, t, sum(b * w * j * {(T8 - 1) / 5}::DOUBLE) AS p FROM kn JOIN basis USING (j) GROUP BY 1, 2, 3, 4),
 wp AS (SELECT a.id, a.copy, a.c, a.t AS s,
@@ -89,7 +90,7 @@ SELECT cp.id AS measurement_id, CAST(cp.copy AS INTEGER) AS copy, cp.c AS channe
   round(CASE WHEN cp.copy = 0 THEN v WHEN p1 IS NULL THEN v0 ELSE v0 + (cp.t - p0) / (p1 - p0) * (v1 - v0) END, 6) + 0 AS value
 FROM cp LEFT JOIN iv USING (id, copy, c, t)"""
 
-Q["permutation"] = lambda s, sf: long(augment.generate(one(s, sf), "Permutation", 2, steps=T8))
+Q["permutation"] = lambda s, sf: long(augment.generate(one(s, sf), "Permutation", 2))
 _SPARE = T8 - 4 * 10 - 1
 _dr = lambda i: f"CAST(floor({tb.uniform_sql(tb.md5_sql('cut', 'id', 'copy', str(i)))} * {_SPARE + 3 - i}) AS INTEGER)"
 SQL["permutation"] = f"""{_CELL1},
@@ -105,7 +106,7 @@ pos AS (SELECT *, coalesce(sum(hi - lo) OVER (PARTITION BY id, copy ORDER BY o R
 SELECT id AS measurement_id, 0 AS copy, c AS channel, t, round(v, 6) + 0 AS value FROM cell
 UNION ALL SELECT p.id, 1, c, CAST(base + t - lo AS INTEGER), round(v, 6) + 0 FROM pos p JOIN cell ON cell.id = p.id AND t >= lo AND t < hi"""
 
-Q["window_slicing"] = lambda s, sf: long(augment.generate(one(s, sf), "Window_Slicing", 3, steps=T8))
+Q["window_slicing"] = lambda s, sf: long(augment.generate(one(s, sf), "Window_Slicing", 3))
 _L = 58  # ceil(0.9 * 64)
 SQL["window_slicing"] = f"""{_CELL1}, {_copies_sql(3)},
 st AS (SELECT id, copy, CAST(floor({tb.uniform_sql(tb.md5_sql('window', 'id', 'copy'))} * {T8 - _L}) AS INTEGER) AS s
@@ -150,17 +151,69 @@ SELECT run_fold, selection, n_seeds, label, n, min(n) OVER (PARTITION BY run_fol
        ELSE 'ok' END AS outcome FROM sz, g"""
 
 
-# Fitted generators: iterative, so rows only; tests check their properties.
+# Fitted generators are iterative: who is grown, by how much, and values near the source's.
 def _fitted(method, channels=8):
     def query(spark, sf):
         out = augment.generate(tb.sequences(spark, sf, channels), method, 2)
-        return long(out, ["label"]).groupBy("label", "copy", "channel").agg(
-            F.count("*").alias("n"), tb.r6(F.avg("value"), "mean"), tb.r6(F.stddev_pop("value"), "std")
+        cells = long(out, ["label"]).groupBy("label", "copy", "channel").agg(
+            F.count("*").alias("n"), F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.max(F.isnan("value")).alias("bad")
         )
+        source = cells.filter("copy = 0").select("label", "channel", F.col("m").alias("m0"), F.col("s").alias("s0"))
+        near = ~F.col("bad") & (F.abs(F.col("m") - F.col("m0")) <= F.col("s0")) & F.col("s").between(F.col("s0") / 3, F.col("s0") * 3)
+        return cells.join(source, ["label", "channel"]).select("label", "copy", "channel", "n", near.alias("near"))
 
     return query
 
 
+def _fitted_sql(least=1):
+    return f"""{_CELL} SELECT label, CAST(copy AS INTEGER) AS copy, c AS channel, count(*) AS n, true AS near
+FROM cell, (SELECT unnest([0, 1]) AS copy) GROUP BY ALL HAVING copy = 0 OR count(DISTINCT id) >= {least}"""
+
+
 Q["gaussian_mixture"] = _fitted("GMM")
 Q["hidden_markov"] = _fitted("HMM_GMM")
 Q["latent_gaussian"] = _fitted("TimeVAE")
+SQL["gaussian_mixture"] = SQL["hidden_markov"] = _fitted_sql()
+SQL["latent_gaussian"] = _fitted_sql(LATENT_MIN_ROWS)
+
+# Cross-channel behaviour at the data's own length, and other mixing weights.
+Q["magnitude_warping_channels"] = lambda s, sf: long(augment.generate(tb.sequences(s, sf), "Magnitude_Warping", 2))
+SQL["magnitude_warping_channels"] = f"""{_CELL}, {_copies_sql(2)}, {_basis_sql(8, spline_basis(8, 6))}, {_knots_sql('magnitude')},
+cv AS (SELECT id, copy, c, t, sum(b * w) AS f FROM kn JOIN basis USING (j) GROUP BY 1, 2, 3, 4)
+SELECT id AS measurement_id, {_OUT}, round(v * coalesce(f, 1), 6) + 0 AS value FROM cp LEFT JOIN cv USING (id, copy, c, t)"""
+
+Q["window_slicing_channels"] = lambda s, sf: long(augment.generate(tb.sequences(s, sf), "Window_Slicing", 2, ratio=0.6))
+SQL["window_slicing_channels"] = (
+    SQL["window_slicing"].replace(_CELL1, _CELL).replace(_copies_sql(3), _copies_sql(2)).replace(f"* {T8 - _L})", "* 3)")
+    .replace(f"t * {_L} / {T8 - 1}.0", "t * 5 / 7.0").replace(f"{_L - 1}", "4")
+)
+
+_MIX = f"""{_CELL},
+rk AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {tb.md5_sql('rank', 'id')}) AS r,
+  count(*) OVER (PARTITION BY label) AS n FROM seq),
+b AS (SELECT *, 1 + CAST(floor({tb.uniform_sql(tb.md5_sql('partner', 'id', 'copy'))} * n) AS BIGINT) AS pr FROM (SELECT *, unnest([1]) AS copy FROM rk)),
+{{lam}},
+p AS (SELECT l.id, l.copy, k.id AS partner, lam FROM l JOIN rk k ON k.label = l.label AND k.r = l.pr)
+SELECT id AS measurement_id, 0 AS copy, c AS channel, t, round(v, 6) + 0 AS value FROM cell
+UNION ALL SELECT p.id, p.copy, x.c, x.t, round(y.v + lam * (x.v - y.v), 6) + 0
+FROM p JOIN cell x ON x.id = p.id JOIN cell y ON y.id = p.partner AND y.c = x.c AND y.t = x.t"""
+
+Q["mixup_even"] = lambda s, sf: long(augment.generate(tb.sequences(s, sf), "Mixup", 2, alpha=1.0))
+_pair = f"[{tb.open_uniform_sql('h', 0)}, {tb.open_uniform_sql('h', 1)}]"
+SQL["mixup_even"] = _MIX.format(
+    lam=f"""tr AS (SELECT id, copy, i, {_pair} AS pq FROM (SELECT id, copy, i, {tb.md5_sql('lambda', 'id', 'copy', 'i')} AS h FROM b, (SELECT unnest(range(64)) AS i))),
+l AS (SELECT b.*, pq[1] / (pq[1] + pq[2]) AS lam FROM b JOIN (SELECT id, copy, arg_min(pq, i) AS pq FROM tr WHERE pq[1] + pq[2] <= 1 GROUP BY 1, 2) USING (id, copy))"""
+)
+
+Q["mixup_centred"] = lambda s, sf: long(augment.generate(tb.sequences(s, sf), "Mixup", 2, alpha=2.0))
+_D, _C = f"({2.0 - 1.0 / 3.0!r}::DOUBLE)", f"({1.0 / (9.0 * (2.0 - 1.0 / 3.0)) ** 0.5!r}::DOUBLE)"
+
+
+def _gamma_sql(side):
+    return f"""t{side} AS (SELECT id, copy, i, x, u, pow(1 + {_C} * x, 3) AS v FROM (SELECT id, copy, i, {tb.normal_sql('h', '0')} AS x, {tb.open_uniform_sql('h', 2)} AS u
+  FROM (SELECT id, copy, i, {tb.md5_sql(f'lambda|{side}', 'id', 'copy', 'i')} AS h FROM b, (SELECT unnest(range(16)) AS i)))),
+g{side} AS (SELECT id, copy, arg_min(v, i) AS v{side} FROM t{side}
+  WHERE CASE WHEN v > 0 THEN ln(u) < 0.5::DOUBLE * x * x + {_D} - {_D} * v + {_D} * ln(v) ELSE false END GROUP BY 1, 2)"""
+
+
+SQL["mixup_centred"] = _MIX.format(lam=f"{_gamma_sql('a')}, {_gamma_sql('b')}, l AS (SELECT b.*, va / (va + vb) AS lam FROM b JOIN ga USING (id, copy) JOIN gb USING (id, copy))")

@@ -13,6 +13,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TWO32 = float(2**32)
+# Tries of the rejection samplers.
+JOHNK_TRIES = 64
+GAMMA_TRIES = 16
 
 
 def key_hash(seed: int, purpose: str, *key: Column | str) -> Column:
@@ -75,20 +78,45 @@ def normals(n: int, seed: int, purpose: str, *key: Column | str) -> Column:
     return F.slice(both, 1, n)
 
 
-def beta_symmetric(alpha: float, seed: int, purpose: str, *key: Column | str, tries: int = 8) -> Column:
-    """Beta(alpha, alpha) by Johnk's rejection: first accepted of ``tries`` keyed pairs.
+def beta_symmetric(alpha: float, seed: int, purpose: str, *key: Column | str) -> Column:
+    """Beta(alpha, alpha), alpha > 0.
 
-    At alpha = 0.2 a pair is accepted with probability 0.95, so eight pairs fail
-    once in 2.5e10 draws; such a draw falls back to 0.5, the mean.
+    Up to 1 by Johnk's rejection, which accepts a keyed pair with probability 1/2 at least;
+    above by two gamma draws. Both take the first accepted of so many tries that none is
+    once in 1e19 draws; such a draw is 0.5, the mean.
     """
-    hashes = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda i: key_hash(seed, purpose, *key, i))
-    pairs = F.transform(
-        hashes,
-        lambda h: F.struct(
-            F.pow(open_uniform(h, 0), F.lit(1.0 / alpha)).alias("p"),
-            F.pow(open_uniform(h, 1), F.lit(1.0 / alpha)).alias("q"),
-        ),
+    if not alpha > 0:
+        raise ValueError("alpha must be positive")
+    if alpha > 1:
+        a, b = (_gamma(alpha, seed, f"{purpose}|{side}", *key) for side in ("a", "b"))
+        return F.coalesce(a / (a + b), F.lit(0.5))
+
+    def accepted(start: int, stop: int) -> Column:
+        hashes = F.transform(F.sequence(F.lit(start), F.lit(stop - 1)), lambda i: key_hash(seed, purpose, *key, i))
+        pairs = F.transform(
+            hashes,
+            lambda h: F.struct(
+                F.pow(open_uniform(h, 0), F.lit(1.0 / alpha)).alias("p"),
+                F.pow(open_uniform(h, 1), F.lit(1.0 / alpha)).alias("q"),
+            ),
+        )
+        # Both powers may underflow where alpha is tiny.
+        first = F.get(F.filter(pairs, lambda s: (s["p"] + s["q"] <= 1.0) & (s["p"] + s["q"] > 0.0)), F.lit(0))
+        return first["p"] / (first["p"] + first["q"])
+
+    # The second lot is only drawn where the first eight fail.
+    return F.coalesce(accepted(0, 8), accepted(8, JOHNK_TRIES), F.lit(0.5))
+
+
+def _gamma(alpha: float, seed: int, purpose: str, *key: Column | str) -> Column:
+    """Gamma(alpha) for alpha >= 1 by Marsaglia and Tsang; a try is accepted with probability 0.95 at least."""
+    d = alpha - 1.0 / 3.0
+    c = 1.0 / math.sqrt(9.0 * d)
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(GAMMA_TRIES - 1)), lambda i: key_hash(seed, purpose, *key, i))
+    tries = F.transform(hashes, lambda h: F.struct(normal(h, 0).alias("x"), open_uniform(h, 2).alias("u")))
+    cubes = F.transform(tries, lambda s: F.struct(s["x"].alias("x"), s["u"].alias("u"), F.pow(F.lit(1.0) + F.lit(c) * s["x"], F.lit(3.0)).alias("v")))
+    ok = F.filter(
+        cubes,
+        lambda s: (s["v"] > 0) & (F.log(s["u"]) < F.lit(0.5) * s["x"] * s["x"] + F.lit(d) - F.lit(d) * s["v"] + F.lit(d) * F.log(s["v"])),
     )
-    ok = F.filter(pairs, lambda s: s["p"] + s["q"] <= 1.0)
-    first = F.get(ok, F.lit(0))
-    return F.coalesce(first["p"] / (first["p"] + first["q"]), F.lit(0.5))
+    return F.lit(d) * F.get(ok, F.lit(0))["v"]

@@ -54,6 +54,17 @@ def _per_channel(fn: Callable[[Column, Column], Column]) -> Column:
     return F.transform(F.col("x"), fn)
 
 
+def steps_of(seqs: DataFrame, steps: int | None = None) -> int:
+    """The number of steps that all channels of all sequences have (0 for an empty table).
+
+    Raises where lengths differ, or differ from the ``steps`` asked for.
+    """
+    found = {n for r in seqs.select(F.array_distinct(F.transform("x", lambda c: F.size(c)))).distinct().limit(3).collect() for n in r[0]}
+    if len(found) > 1 or (steps is not None and found - {steps}):
+        raise ValueError(f"sequences of one length{f', {steps},' if steps else ''} are needed, not {sorted(found)}")
+    return found.pop() if found else 0
+
+
 def jitter(seqs: DataFrame, scale_factor: int = 2, seed: int = 42, sigma: float = JITTER_SIGMA) -> DataFrame:
     """Adds N(0, sigma) to every cell; one hash gives the noise of four steps."""
 
@@ -110,13 +121,16 @@ def magnitude_warping(
     seed: int = 42,
     sigma: float = WARP_SIGMA,
     knot: int = WARP_KNOTS,
-    steps: int = 100,
+    steps: int | None = None,
 ) -> DataFrame:
     """Multiplies each channel by a smooth random curve around 1.
 
     The curve is a spline through ``knot + 2`` N(1, sigma) values, which is a fixed
     (steps x knots) matrix times the values.
     """
+    steps = steps_of(seqs, steps)
+    if steps < 2:
+        return _augmented(seqs, scale_factor, "Magnitude_Warping", F.col("x"))
     basis = double_array(spline_basis(steps, knot + 2))
 
     def warped(c: Column, i: Column) -> Column:
@@ -136,7 +150,7 @@ def time_warping(
     seed: int = 42,
     sigma: float = WARP_SIGMA,
     knot: int = WARP_KNOTS,
-    steps: int = 100,
+    steps: int | None = None,
 ) -> DataFrame:
     """Stretches and squeezes time along a smooth random curve, per channel.
 
@@ -145,22 +159,38 @@ def time_warping(
     read off the bent time axis by linear interpolation. The bracket search of that
     last step has no array function, so it runs as one vectorised Arrow function.
     """
-    knots = np.linspace(0.0, steps - 1.0, knot + 2)
-    basis = spline_basis(steps, knot + 2) * knots
+    steps = steps_of(seqs, steps)
+    if steps < 2:
+        return _augmented(seqs, scale_factor, "Time_Warping", F.col("x"))
+    basis = spline_basis(steps, knot + 2) * np.linspace(0.0, steps - 1.0, knot + 2)
 
     @F.pandas_udf(XTYPE)
     def bend(xs: pd.Series, knot_values: pd.Series) -> pd.Series:
-        grid = np.arange(steps, dtype=float)
-
-        def one(x, w):
-            if w is None:
-                return x
-            curve = np.stack(w) @ basis.T
-            curve = np.clip(curve * ((steps - 1) / curve[:, -1:]), 0.0, steps - 1.0)
-            curve = np.maximum.accumulate(curve, axis=1)
-            return [np.interp(grid, axis, c) for axis, c in zip(curve, x)]
-
-        return pd.Series([one(x, w) for x, w in zip(xs, knot_values)])
+        out = xs.copy()
+        bent = np.flatnonzero(knot_values.notna().to_numpy())
+        if len(bent) == 0:
+            return out
+        # All channels of the batch at once: (rows x channels, steps).
+        x = np.array([np.stack(xs.iloc[i]) for i in bent])
+        w = np.array([np.stack(knot_values.iloc[i]) for i in bent])
+        rows, channels = x.shape[:2]
+        curve = w.reshape(rows * channels, -1) @ basis.T
+        curve = np.clip(curve * ((steps - 1) / curve[:, -1:]), 0.0, steps - 1.0)
+        curve = np.maximum.accumulate(curve, axis=1)
+        # The last place of each curve that is not beyond a step: one search over shifted curves.
+        shift = np.arange(rows * channels)[:, None] * float(2 * steps)
+        grid = np.arange(steps, dtype=float) + shift
+        at = np.searchsorted((curve + shift).ravel(), grid.ravel(), side="right") - 1
+        first = np.repeat(np.arange(rows * channels) * steps, steps)
+        low = np.clip(at, first, first + steps - 1)
+        high = np.minimum(low + 1, first + steps - 1)
+        flat, y = curve.ravel(), x.reshape(rows * channels, steps).ravel()
+        gap = flat[high] - flat[low]
+        share = np.where(gap > 0, (np.tile(np.arange(steps, dtype=float), rows * channels) - flat[low]) / np.where(gap > 0, gap, 1.0), 0.0)
+        made = (y[low] + np.clip(share, 0.0, 1.0) * (y[high] - y[low])).reshape(rows, channels, steps)
+        for i, m in zip(bent, made):
+            out.iat[i] = list(m)
+        return out
 
     def with_knots(copy: Column) -> Column:
         values = _per_channel(lambda c, i: _knot_values(seed, "time", knot + 2, sigma, copy, i))
@@ -185,7 +215,7 @@ def permutation(
     seed: int = 42,
     segments: int = SEGMENTS,
     min_segment: int = MIN_SEGMENT,
-    steps: int = 100,
+    steps: int | None = None,
 ) -> DataFrame:
     """Cuts the sequence at random steps and shuffles the segments, all channels alike.
 
@@ -193,6 +223,7 @@ def permutation(
     longer than it) is equally likely: distinct draws from the spare steps, sorted,
     then spread by the minimum. Too short sequences get equal segments.
     """
+    steps = steps_of(seqs, steps)
     if steps // segments < 1:
         return _augmented(seqs, scale_factor, "Permutation", F.col("x"))
     least = min(min_segment, steps // segments)
@@ -257,9 +288,10 @@ def _insert_draw(u: Column) -> Callable[[Column], Column]:
 
 
 def window_slicing(
-    seqs: DataFrame, scale_factor: int = 2, seed: int = 42, ratio: float = WINDOW_RATIO, steps: int = 100
+    seqs: DataFrame, scale_factor: int = 2, seed: int = 42, ratio: float = WINDOW_RATIO, steps: int | None = None
 ) -> DataFrame:
     """A random window of ``ratio`` of the length, stretched back to full length."""
+    steps = steps_of(seqs, steps)
     length = math.ceil(ratio * steps)
     if length >= steps:
         return _augmented(seqs, scale_factor, "Window_Slicing", F.col("x"))

@@ -49,6 +49,7 @@ SPACES: dict[str, list[dict[str, list]]] = {
 SEED = 42
 MAX_ITER = 100
 MAX_DEPTH = 30
+FEW_VALUES = 1_000_000
 
 
 # --- neighbour vote -------------------------------------------------------------------
@@ -134,7 +135,7 @@ def _forest(params: dict, n: int, dim: int, classes: int):
 
 def _svc(params: dict, n: int, dim: int, classes: int):
     reg = 1.0 / (params.get("C", 1.0) * n)
-    inner = LinearSVC(regParam=reg, maxIter=MAX_ITER, standardization=False)
+    inner = LinearSVC(regParam=reg, maxIter=params.get("max_iter", MAX_ITER), standardization=False)
     return OneVsRest(classifier=inner, labelCol="target", parallelism=4)
 
 
@@ -179,6 +180,9 @@ def fit(name: str, train: DataFrame, params: dict | None = None, indexer: String
     indexer = indexer or label_index(rows)
     n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     classes = len(indexer.labels)
+    if n * dim <= FEW_VALUES:
+        # An iteration over few rows costs its tasks, not its rows.
+        rows = rows.coalesce(1)
     model = _FACTORIES[name](params or {}, n, dim, classes)
     back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=indexer.labels)
     return Pipeline(stages=[indexer, model, back]).fit(rows)

@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from odorframe.functions.draws import key_hash
-from odorframe.session import cut_lineage, small_side
+from odorframe.session import BROADCAST_VALUES, cut_lineage, small_side
 
 CELL_ROWS = 50_000
 MAX_PIVOTS = 256
+TILE_ROWS = 2048
 SUMMARY_VALUES = 2_000_000
 SLACK = 1e-9
 
@@ -81,8 +82,8 @@ def nearest_in_tile(
 
 
 def _group_key(df: DataFrame, within: list[str]) -> DataFrame:
-    """One string key for the columns neighbours must share."""
-    return df.withColumn("__g", F.concat_ws("|", F.lit(""), *[F.col(c).cast("string") for c in within]))
+    """One string key for the columns neighbours must share: JSON, so no two keys look alike and NULL is a key."""
+    return df.withColumn("__g", F.to_json(F.struct(F.lit(0).alias("_"), *within), {"ignoreNullFields": "false"}))
 
 
 def _pivots(build: DataFrame, n: int) -> np.ndarray:
@@ -160,6 +161,43 @@ def _route(probe: DataFrame, pivots: np.ndarray, summary: dict, k: int, metric:
     return probe.withColumn("cells", cells_of("__g", "v"))
 
 
+def _join_small(probe: DataFrame, build: DataFrame, k: int, within: list[str], metric: str, skip_self: bool, labels: list[str], id_type) -> DataFrame:
+    """The join against a build side that was counted to fit into every task."""
+    rows = build.toPandas()
+    groups = {}
+    for g, part in rows.groupby("__g", sort=False):
+        ids = part["build_id"].to_numpy()
+        groups[g] = (np.array(part["v"].to_list(), dtype=float), ids, ids.astype(str) if ids.dtype == object else ids, {c: part[c].to_numpy() for c in labels})
+    sent = probe.sparkSession.sparkContext.broadcast(groups)
+    schema = T.StructType(
+        [
+            *[probe.schema[c] for c in within],
+            T.StructField("probe_id", probe.schema["probe_id"].dataType),
+            T.StructField("ordinal", T.IntegerType()),
+            T.StructField("build_id", id_type),
+            T.StructField("distance", T.DoubleType()),
+            *[build.schema[c] for c in labels],
+        ]
+    )
+
+    def nearest(batches):
+        for batch in batches:
+            for g, part in batch.groupby("__g", sort=False):
+                if g not in sent.value:
+                    continue
+                matrix, ids, ordered, extra = sent.value[g]
+                pid = part["probe_id"].to_numpy()
+                p, q, d = nearest_in_tile(
+                    np.stack(part["v"].to_list()), pid.astype(str) if pid.dtype == object else pid, matrix, ordered, k, metric, skip_self
+                )
+                out = {c: part[c].to_numpy()[p] for c in within}
+                out["probe_id"], out["ordinal"] = pid[p], np.arange(len(p)) - np.searchsorted(p, p) + 1
+                out["build_id"], out["distance"] = ids[q], d
+                yield pd.DataFrame(out | {c: v[q] for c, v in extra.items()})
+
+    return probe.mapInPandas(nearest, schema)
+
+
 def knn_join(
     probe: DataFrame,
     build: DataFrame,
@@ -167,7 +205,7 @@ def knn_join(
     within: list[str] = (),
     metric: str = "euclidean",
     skip_self: bool = False,
-    tile_rows: int = 2048,
+    tile_rows: int | None = None,
     pivots: int | None = None,
 ) -> DataFrame:
     """The k nearest build rows of every probe row.
@@ -176,6 +214,8 @@ def knn_join(
     optionally ``label``. Ids are of one type; neighbours share the ``within`` columns;
     ``skip_self`` leaves out the build row with the probe's own id. Returns
     ``within..., probe_id, ordinal (1..k), build_id, distance[, label]``, ties by build id.
+    A build side of a few million values, by count, goes to every task and the probes stay where
+    they are; beyond that, or with ``tile_rows`` or ``pivots`` given, tiles meet by shuffle.
     """
     if metric not in ("euclidean", "minkowski", "manhattan"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -186,7 +226,9 @@ def knn_join(
     reach = k + int(skip_self)
 
     if pivots is None:
-        rows, groups = keyed_build.agg(F.count("*"), F.approx_count_distinct("__g")).first()
+        rows, groups, dim = keyed_build.agg(F.count("*"), F.approx_count_distinct("__g"), F.max(F.size("v"))).first()
+        if tile_rows is None and rows * (dim or 1) <= BROADCAST_VALUES:
+            return _join_small(probe, keyed_build, k, within, metric, skip_self, labels, build.schema["build_id"].dataType)
         pivots = min(MAX_PIVOTS, math.ceil(rows / CELL_ROWS), SUMMARY_VALUES // max(1, groups * (reach + 3)))
     if pivots > 1:
         centre = _pivots(keyed_build, pivots)
@@ -199,6 +241,7 @@ def knn_join(
         celled = keyed_build.withColumn("cell", F.lit(0))
         sources = probe.withColumn("cell", F.lit(0))
 
+    tile_rows = tile_rows or TILE_ROWS
     tiles_of = lambda n: F.ceil(F.col(n) / tile_rows).cast("int")
     tiles = (
         celled.groupBy("__g", "cell").agg(F.count("*").alias("__nb"))

@@ -111,7 +111,9 @@ def halving_knn(
         place = F.row_number().over(per_run.orderBy(F.desc("__acc"), "candidate"))
         total = F.count("*").over(per_run)
         kept = (
-            now.join(scored, [*run, "candidate"])
+            # A run whose folds leave nothing to vote with scores 0 and stays.
+            now.join(scored, [*run, "candidate"], "left")
+            .withColumn("__acc", F.coalesce("__acc", F.lit(0.0)))
             .withColumn("accuracy", F.col("__acc"))
             .withColumn("n_rows", resources)
             .withColumn("__place", place)
@@ -173,8 +175,10 @@ def halving_ml(
     """Successive halving for one run of a Spark ML model: best setting and every score.
 
     ``rows``: ``row_id, cv_fold, label, v``. Each fit is a distributed job; a few run
-    side by side.
+    side by side. A single setting is the best one without a fit.
     """
+    if len(space) == 1:
+        return space[0], []
     n, classes = rows.agg(F.count("*"), F.count_distinct("label")).first()
     ranked = cut_lineage(number_rows(rows, key_hash(seed, "rung", "row_id"), tie="row_id"))
     indexer = models.label_index(ranked)

@@ -6,14 +6,17 @@ carry the key, and every step works per key in one plan.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odorframe.operators import augment, evaluate, models, scale, shape, split, tune
+from odorframe.operators import augment, evaluate, models, oversample, scale, shape, split, tune
+from odorframe.operators.mixture import LATENT_MIN_ROWS
 from odorframe.plans.grid import BASELINES, METHOD_MIN_SEEDS
-from odorframe.session import cut_lineage
+from odorframe.session import cut_lineage, small_side
 from odorframe.sources.ledger_io import LEDGER_SCHEMA
 
 ID, LABEL = "measurement_id", "label"
@@ -27,29 +30,31 @@ def run_tables(
 ) -> tuple[DataFrame, DataFrame]:
     """(seeds, test): scaled sequences of every run, scaler fitted on the run's seeds.
 
-    Folds and seed sets are chosen on keys; sequences join once the choice is made. Both
-    tables are written once, since every method, scale and model reads them again.
+    Folds and seed sets are chosen on keys; sequences join once the choice is made. The few
+    seeds are written, as every method, scale and model reads them again. The held-out
+    sequences are written once per fold and scaled as they are read, so that what is stored
+    does not grow with selections and seed sizes.
     """
     folds = cut_lineage(split.assign_folds(split.measurements(seqs), k, seed))
     sets = split.seed_sets(folds, sizes, selections, k, seed).select(*RUN, ID)
     seeds = cut_lineage(sets.join(seqs, ID))
     scaler = cut_lineage(scale.fit_scaler(seeds, RUN))
-    held_out = folds.select(ID, F.col("fold").alias("run_fold")).join(seqs, ID)
-    scaled_test = scale.apply_scaler(held_out.join(scaler.select(*RUN), "run_fold"), scaler, RUN)
-    return cut_lineage(scale.apply_scaler(seeds, scaler, RUN)), cut_lineage(scaled_test)
+    held_out = cut_lineage(folds.select(ID, F.col("fold").alias("run_fold")).join(seqs, ID))
+    scaled_test = scale.apply_scaler(held_out.join(small_side(scaler.select(*RUN), 3), "run_fold"), scaler, RUN)
+    return cut_lineage(scale.apply_scaler(seeds, scaler, RUN)), scaled_test
 
 
-def model_rows(seqs: DataFrame, unit: str, key: list[str], name: str) -> DataFrame:
-    """``run..., <name>, label, v``: one row per point, or the flat sequence.
+def model_rows(seqs: DataFrame, unit: str, key: list[str], name: str, also: list[str] = ()) -> DataFrame:
+    """``run..., <name>, label, v`` and the columns ``also``: one row per point, or the flat sequence.
 
     The row id is a string of the key columns, and of the step for points.
     """
     if unit not in UNITS:
         raise ValueError(f"unit is one of {UNITS}")
     if unit == "sequence":
-        return seqs.select(*RUN, F.concat_ws("|", *key).alias(name), LABEL, F.flatten("x").alias("v"))
-    points = shape.as_points(seqs, [*RUN, *key, LABEL])
-    return points.select(*RUN, F.concat_ws("|", *key, "t").alias(name), LABEL, "v")
+        return seqs.select(*RUN, F.concat_ws("|", *key).alias(name), LABEL, F.flatten("x").alias("v"), *also)
+    points = shape.as_points(seqs, list(dict.fromkeys([*RUN, *key, LABEL, *also])))
+    return points.select(*RUN, F.concat_ws("|", *key, "t").alias(name), LABEL, "v", *also)
 
 
 def _keyed(seqs: DataFrame) -> DataFrame:
@@ -67,10 +72,11 @@ def _unkeyed(synthetic: DataFrame) -> DataFrame:
 def generate_runs(seeds: DataFrame, method: str, scale_factor: int, seed: int = 42, **params) -> DataFrame:
     """``run..., measurement_id, label, copy, x``: the synthetic training set of every run.
 
-    Runs below the seed size gate of the method are left out.
+    Left out are runs below the seed size gate of the method and those it cannot grow;
+    :func:`run_outcomes` says why. What a run gets does not depend on the other runs.
     """
     allowed = seeds.filter(F.col("n_seeds") >= METHOD_MIN_SEEDS.get(method, 1))
-    if method == "ADASYN":
+    if method in ("SMOTE", "ADASYN"):
         params = {**params, "run": RUN}
         keyed = _keyed(allowed)
     else:
@@ -78,6 +84,28 @@ def generate_runs(seeds: DataFrame, method: str, scale_factor: int, seed: int =
     return _unkeyed(augment.generate(keyed, method, scale_factor, seed, **params))
 
 
+def run_outcomes(seeds: DataFrame, method: str, scale_factor: int) -> DataFrame:
+    """``run..., outcome``: ``ok``, or why a run has no or only partly grown training sets of a method."""
+    keys = seeds.select(*RUN).distinct()
+    below = F.col("n_seeds") < METHOD_MIN_SEEDS.get(method, 1)
+    gate = F.when(below, F.lit("seed size below gate"))
+    if method in ("SMOTE", "ADASYN"):
+        allowed = _keyed(seeds.filter(~below))
+        if method == "SMOTE":
+            alone = F.when(F.col("k") < 1, F.lit(oversample.ALONE)).otherwise(F.lit("ok"))
+            classes = oversample.run_sizes(allowed, RUN).withColumn("outcome", alone)
+        else:
+            classes = oversample.adasyn_outcome(allowed, scale_factor, RUN)
+        worst = F.max(F.when(F.col("outcome") != "ok", F.col("outcome"))).alias("__why")
+    elif method == "TimeVAE":
+        classes = seeds.filter(~below).groupBy(*RUN, LABEL).agg(F.count("*").alias("n"))
+        worst = F.when(F.min("n") < LATENT_MIN_ROWS, F.lit(f"a class has under {LATENT_MIN_ROWS} members")).alias("__why")
+    else:
+        return keys.withColumn("outcome", F.coalesce(gate, F.lit("ok")))
+    found = keys.join(classes.groupBy(*RUN).agg(worst), RUN, "left")
+    return found.select(*RUN, F.coalesce(gate, "__why", F.lit("ok")).alias("outcome"))
+
+
 def knn_runs(
     train: DataFrame,
     test: DataFrame,
@@ -104,20 +132,91 @@ def knn_runs(
     return evaluate.scores(tuned.join(truth, [*RUN, "probe_id"]), RUN)
 
 
-def tune_knn_runs(seeds: DataFrame, unit: str, seed: int = 42) -> DataFrame:
-    """``run..., candidate, params, accuracy, n_rows``: the best neighbour-vote setting of every run.
+def cv_rows(seeds: DataFrame, unit: str, seed: int = 42) -> DataFrame:
+    """``run..., row_id, cv_k, cv_fold, label, v``: training rows of every run with their fold.
 
-    Searched on the seed set by cross-validation over whole measurements; with a single
-    seed per label, over single rows.
+    Whole measurements go to a fold; with a single seed per label, where that would leave a
+    label out of training, single rows do, stratified by label. Every run has rows in every fold
+    that its number of rows allows.
     """
-    folds = split.cv_folds(seeds.select(*RUN, ID, LABEL), seed).select(*RUN, ID, "cv_k", "cv_fold", "grouped")
-    rows = model_rows(seeds, unit, [ID], "row_id")
-    source = F.get(F.split("row_id", r"\|"), F.lit(0))
-    joined = rows.withColumn(ID, source).join(folds.withColumn(ID, F.col(ID).cast("string")), [*RUN, ID])
-    single = F.pmod(F.xxhash64("row_id"), F.col("cv_k").cast("bigint")).cast("int") + 1
-    placed = joined.withColumn("cv_fold", F.when(F.col("grouped"), F.col("cv_fold")).otherwise(single))
+    rows = cut_lineage(model_rows(seeds, unit, [ID], "row_id", [ID]))
+    grouped = split.cv_folds(seeds.select(*RUN, ID, LABEL), seed).filter("grouped")
+    whole = rows.join(grouped.select(*RUN, ID, "cv_k", "cv_fold"), [*RUN, ID])
+    single = rows.filter(F.col("n_seeds") < 2)
+    dealt = split.assign_folds(single.select(*RUN, F.col("row_id").alias(ID), LABEL), 2, seed, RUN)
+    dealt = dealt.select(*RUN, F.col(ID).alias("row_id"), F.lit(2).alias("cv_k"), F.col("fold").alias("cv_fold"))
+    columns = [*RUN, "row_id", "cv_k", "cv_fold", LABEL, "v"]
+    return whole.select(*columns).unionByName(single.join(dealt, [*RUN, "row_id"]).select(*columns))
+
+
+def tune_knn_runs(seeds: DataFrame, unit: str, seed: int = 42) -> DataFrame:
+    """``run..., candidate, params, accuracy, n_rows``: the best neighbour-vote setting of every run."""
     space = tune.candidates(seeds.select(*RUN).distinct(), RUN, "KNN", seed=seed)
-    return tune.halving_knn(placed.select(*RUN, "row_id", "cv_k", "cv_fold", LABEL, "v"), RUN, space, seed)
+    return tune.halving_knn(cv_rows(seeds, unit, seed), RUN, space, seed)
+
+
+def run_keys(table: DataFrame) -> list[dict]:
+    """The runs of a table: at most folds x selections x seed sizes."""
+    return [r.asDict() for r in table.select(*RUN).distinct().orderBy(*RUN).collect()]
+
+
+def _only(rows: DataFrame, key: dict) -> DataFrame:
+    for c, v in key.items():
+        rows = rows.filter(F.col(c) == v)
+    return rows.drop(*key)
+
+
+def tune_ml_runs(name: str, seeds: DataFrame, unit: str, seed: int = 42, candidates: int = tune.N_CANDIDATES, parallelism: int = 4) -> dict[tuple, dict]:
+    """The best setting of a Spark ML model for every run, by successive halving on its seeds."""
+    rows = cut_lineage(cv_rows(seeds, unit, seed))
+    folds = {tuple(r[:-1]): r[-1] for r in rows.groupBy(*RUN).agg(F.max("cv_k")).collect()}
+    keys = run_keys(seeds)
+    drawn = tune.candidates(seeds.select(*RUN).distinct(), RUN, name, candidates, seed).collect()
+    space: dict[tuple, list[dict]] = {}
+    settings = tune.combinations(models.SPACES[name])
+    for r in sorted(drawn, key=lambda r: r["place"]):
+        space.setdefault(tuple(r[c] for c in RUN), []).append(settings[r["candidate"]])
+
+    def best(key: dict) -> dict:
+        run = tuple(key.values())
+        if folds[run] < 2:
+            return {}
+        return tune.halving_ml(name, _only(rows, key).drop("cv_k"), space[run], folds[run], seed, 1)[0]
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return dict(zip((tuple(k.values()) for k in keys), pool.map(best, keys)))
+
+
+def ml_runs(
+    name: str,
+    train: DataFrame,
+    test: DataFrame,
+    unit: str,
+    settings: dict[tuple, dict] | None = None,
+    cap: int = 100_000,
+    seed: int = 42,
+    parallelism: int = 4,
+) -> list[dict]:
+    """One row per run of a Spark ML model: run..., accuracy, f1, params, fit_seconds, predict_seconds.
+
+    Every fit is a distributed job over the rows of its run; a few run side by side. Beyond
+    ``cap`` training rows a run is sampled.
+    """
+    rows = model_rows(train, unit, [ID, "copy"], "build_id")
+    if (rows.groupBy(*RUN).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > cap:
+        rows = split.cap_rows(rows, ["build_id"], cap, seed, RUN)
+    rows = cut_lineage(rows)
+    probes = model_rows(test, unit, [ID], "probe_id")
+
+    def one(key: dict) -> dict:
+        params = (settings or {}).get(tuple(key.values()), {})
+        model, fit_seconds = evaluate.timed(lambda: models.fit(name, _only(rows, key), params))
+        predicted = models.predict(model, _only(probes, key)).select(LABEL, "prediction")
+        found, predict_seconds = evaluate.timed(evaluate.scores(predicted, []).collect)
+        return {**key, **found[0].asDict(), "params": json.dumps(params), "fit_seconds": fit_seconds, "predict_seconds": predict_seconds}
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(one, run_keys(rows)))
 
 
 def ledger_rows(
@@ -147,6 +246,9 @@ def ledger_rows(
     ).select(*LEDGER_SCHEMA.names)
 
 
+OUTCOME = "run_fold int, selection int, n_seeds int, model string, method string, scale_factor int, outcome string, fit_seconds double, predict_seconds double"
+
+
 def run_experiment(
     seqs: DataFrame,
     dataset: str,
@@ -160,36 +262,81 @@ def run_experiment(
     seed: int = 42,
     method_params: dict[str, dict] | None = None,
     tuned: bool = False,
+    model_names: tuple[str, ...] = ("KNN",),
+    candidates: int = tune.N_CANDIDATES,
+    write_outcomes: Callable[[DataFrame], None] | None = None,
+    parallelism: int = 4,
 ) -> list[tuple[str, int, str]]:
-    """Neighbour-vote runs: baseline, tuned baseline, and every method and scale, each one job.
-
-    Tuning happens once per run, on its seeds; augmented runs use those settings.
-    ``write`` receives the ledger rows of a finished job, with its wall-clock seconds
-    shared over its runs. A method that fails is skipped and reported; the others go on.
+    """Runs of every model: baseline, tuned baseline, and every method and scale.
+
+    Tuning happens once per run and model, on the run's seeds; augmented runs use those
+    settings. A generator is fitted once per run and sampled for the largest scale; smaller
+    scales are its first copies (the quotas of ADASYN depend on the scale, so it is run for
+    each). ``write`` receives the ledger rows of a finished job: the seconds of a neighbour vote
+    are its job's, shared over its runs, those of other models are a run's own fit and predict.
+    ``write_outcomes`` receives one row per run, model, method and scale (see OUTCOME): ``ok``, or
+    why it has no ledger row, or was grown only in part. Returns the methods a generator refused
+    for all runs; the others go on.
     """
+    spark = seqs.sparkSession
     seeds, test = run_tables(seqs, sizes, selections, k, seed)
     original = seeds.withColumn("copy", F.lit(0))
-    settings = cut_lineage(tune_knn_runs(seeds, unit, seed)) if tuned else None
-    jobs = [("Baseline", 1)] + ([("Tuned_Baseline", 1)] if tuned else []) + [(m, s) for m in methods for s in scales]
+    knn_settings = cut_lineage(tune_knn_runs(seeds, unit, seed)) if tuned and "KNN" in model_names else None
+    ml_settings = {m: tune_ml_runs(m, seeds, unit, seed, candidates, parallelism) for m in model_names if tuned and m != "KNN"}
     skipped = []
-    for method, factor in jobs:
-        try:
-            if method in BASELINES:
-                train = original
+
+    def sets(method: str) -> Iterator[tuple[int, DataFrame]]:
+        params = (method_params or {}).get(method, {})
+        if method == "ADASYN":
+            for factor in scales:
+                yield factor, cut_lineage(generate_runs(seeds, method, factor, seed, **params))
+            return
+        most = cut_lineage(generate_runs(seeds, method, max(scales), seed, **params))
+        for factor in scales:
+            yield factor, most.filter(F.col("copy") < factor)
+
+    def report(method: str, factor: int, model: str, done: DataFrame | None) -> None:
+        if write_outcomes is None:
+            return
+        out = run_outcomes(seeds, method, factor)
+        seconds = done.select(*RUN, "fit_seconds", "predict_seconds") if done is not None else spark.createDataFrame([], ", ".join(OUTCOME.split(", ")[:3] + OUTCOME.split(", ")[-2:]))
+        named = out.join(seconds, RUN, "left").withColumns({"model": F.lit(model), "method": F.lit(method), "scale_factor": F.lit(factor)})
+        write_outcomes(named.select(*[c.split()[0] for c in OUTCOME.split(", ")]))
+
+    def score(method: str, factor: int, train: DataFrame) -> None:
+        for model in model_names:
+            plain = method == "Baseline" or not tuned
+            if model == "KNN":
+                used = None if plain else knn_settings
+                rows, seconds = evaluate.timed(knn_runs(train, test, unit, used, seed=seed).collect)
+                if not rows:
+                    report(method, factor, model, None)
+                    continue
+                each = seconds / len(rows)
+                scored = spark.createDataFrame([{**r.asDict(), "fit_seconds": 0.0, "predict_seconds": each} for r in rows])
+                params: Column = F.lit(DEFAULT_SETTING)
+                if used is not None:
+                    scored = scored.join(used.select(*RUN, F.to_json("params").alias("params")), RUN, "left")
+                    params = F.col("params")
             else:
-                train = generate_runs(seeds, method, factor, seed, **(method_params or {}).get(method, {}))
-            used = None if method == "Baseline" else settings
-            rows, seconds = evaluate.timed(knn_runs(train, test, unit, used, seed=seed).collect)
-        except Exception as problem:  # one method must not stop the others
-            skipped.append((method, factor, str(problem).split("\n")[0]))
-            continue
-        if rows:
-            scored = seqs.sparkSession.createDataFrame(rows)
-            params: Column | str = DEFAULT_SETTING
-            if used is not None:
-                scored = scored.join(used.select(*RUN, F.to_json("params").alias("params")), RUN)
-                params = F.col("params")
-            write(ledger_rows(scored, dataset, "KNN", method, factor, params, seconds / len(rows)))
+                found = ml_runs(model, train, test, unit, None if plain else ml_settings[model], seed=seed, parallelism=parallelism)
+                if not found:
+                    report(method, factor, model, None)
+                    continue
+                scored, params = spark.createDataFrame(found), F.col("params")
+            scored = scored.withColumns({c: F.col(c).cast("int") for c in RUN})
+            write(ledger_rows(scored, dataset, model, method, factor, params, F.col("fit_seconds") + F.col("predict_seconds")))
+            report(method, factor, model, scored)
+
+    score("Baseline", 1, original)
+    if tuned:
+        score("Tuned_Baseline", 1, original)
+    for method in methods:
+        try:
+            for factor, train in sets(method):
+                score(method, factor, train)
+        except ValueError as problem:  # a generator's documented refusal
+            skipped += [(method, factor, str(problem).split("\n")[0]) for factor in scales]
     return skipped
 
 

@@ -71,29 +71,63 @@ def save_table(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").options(header=True, escape='"').csv(path)
 
 
-def merge_results(spark: SparkSession, root: str) -> DataFrame:
-    """All result tables below ``root`` as one ledger.
+def _result_lines(spark: SparkSession, root: str) -> DataFrame:
+    """``file, first, line``: the lines of all result tables below ``root``; the first of each file is marked.
 
-    Takes files, or folders written by Spark, whose name ends in ``_results.csv``, not
-    below a folder named ``Old result``. Each file's own header decides which of its
-    fields is which column, so older tables with fewer columns come out with NULLs.
+    Lines of a split come in order, so the first line of a file is the one with the smallest
+    row number among those of its first split.
     """
-    names = LEDGER_SCHEMA.names
-    wide = ", ".join(f"c{i} STRING" for i in range(len(names)))
     lines = (
         spark.read.option("recursiveFileLookup", True).text(root)
         .select(source_path().alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value").alias("line"))
+        .withColumn("row", F.monotonically_increasing_id())
         .filter(F.col("file").rlike(r"_results\.csv(/part-[^/]*)?$") & ~F.col("file").contains(OLD_FOLDER))
         .filter(F.col("line") != "")
     )
-    is_header = F.col("line").startswith("Dataset,")
-    fields = F.from_csv("line", F.lit(wide), {"escape": '"'})
-    cells = lines.withColumn("__f", fields).select(
-        "file", is_header.alias("header"), F.array(*[F.col(f"__f.c{i}") for i in range(len(names))]).alias("c")
+    firsts = lines.groupBy("file").agg(F.min(F.struct("at", "row")).alias("__f"))
+    firsts = small_side(firsts.select("file", F.col("__f.row").alias("__row")), 10)
+    return lines.join(firsts, "file").select("file", (F.col("row") == F.col("__row")).alias("first"), "line")
+
+
+def result_headers(spark: SparkSession, root: str) -> DataFrame:
+    """``file, columns, known``: the header of every result table and how many ledger columns it names.
+
+    A table that names none gives rows without a value; this is where to see which ones.
+    """
+    first = _result_lines(spark, root).filter("first")
+    return _split(first, "line", _width(first)).select(
+        "file", F.col("c").alias("columns"), F.size(F.array_intersect("c", F.lit(LEDGER_SCHEMA.names))).alias("known")
     )
-    # Every file has one header row, found by its first column; one small row per file.
-    headers = cells.filter("header").groupBy("file").agg(F.min("c").alias("h"))
-    rows = cells.filter("NOT header").join(small_side(headers, 2 * len(names) + 10), "file")
+
+
+def _width(headers: DataFrame) -> int:
+    """Fields of the widest header, at most."""
+    commas = F.length("line") - F.length(F.replace(F.col("line"), F.lit(","), F.lit("")))
+    return int(headers.agg(F.max(commas)).first()[0] or 0) + 1
+
+
+def _split(lines: DataFrame, column: str, width: int) -> DataFrame:
+    """Adds ``c``: the fields of a CSV line, as many as the widest header has."""
+    wide = ", ".join(f"c{i} STRING" for i in range(width))
+    fields = lines.withColumn("__f", F.from_csv(column, F.lit(wide), {"escape": '"'}))
+    trimmed = [F.trim(F.col(f"__f.c{i}")) for i in range(width)]
+    return fields.withColumn("c", F.array(*trimmed)).drop("__f")
+
+
+def merge_results(spark: SparkSession, root: str) -> DataFrame:
+    """All result tables below ``root`` as one ledger.
+
+    Takes files, or folders written by Spark, whose name ends in ``_results.csv``, not
+    below a folder named ``Old result``. Each file's first line is its header, in any order, of
+    any width, quoted or not: it decides which field is which column. Other columns are left out
+    and missing ones come out NULL.
+    """
+    lines = _result_lines(spark, root)
+    first = lines.filter("first")
+    width = _width(first)
+    names = LEDGER_SCHEMA.names
+    headers = _split(first, "line", width).select("file", F.col("c").alias("h"))
+    rows = _split(lines.filter("NOT first"), "line", width).join(small_side(headers, 2 * width + 10), "file")
     return rows.select(
         *[
             F.get(F.col("c"), F.nullif(F.array_position(F.col("h"), f.name), F.lit(0)).cast("int") - 1)

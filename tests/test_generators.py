@@ -108,7 +108,7 @@ def test_adasyn_one_member_may_owe_the_whole_class(spark, monkeypatch):
     monkeypatch.setattr(oversample, "CHUNK", 7)
     rows = [(i, "a", [[float(i), 0.0]]) for i in range(12)] + [(100 + i, "b", [[11.6 + 1000.0 * i, 0.0]]) for i in range(12)]
     df = spark.createDataFrame(rows, "measurement_id bigint, label string, x array<array<double>>")
-    quota = {r["measurement_id"]: r["quota"] for r in oversample.adasyn_quota(df, 4, 5).collect()}
+    quota = {r["measurement_id"]: r["quota"] for r in oversample.adasyn_quota(df, 4).collect()}
     out = made(oversample.adasyn(df, 4))
     per = {}
     for r in out:
