@@ -17,6 +17,7 @@ def spark(tmp_path_factory):
         "local[8]",
         spark__sql__shuffle__partitions="4",
         spark__driver__memory="8g",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
     )
