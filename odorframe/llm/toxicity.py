@@ -25,11 +25,13 @@ FEATURES = 1 << 20
 SAMPLE_PER_CLASS = 4000
 # Features whose counts by class could be chance (likelihood ratio below this) carry no weight.
 LEAST_EVIDENCE = 16.0
+# Of the others the model has the strongest ones, so that its size doesn't grow with the corpus.
+MOST_FEATURES = 8192
 SMOOTHING = 1.0
 PENALTY = 1.0
 STEPS = 300
 THRESHOLD = 0.7
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def held_out(column: str = "doc_id") -> Column:
@@ -97,8 +99,8 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, weight: np
     bias = float(np.log(max(prior, 1e-4) / max(1 - prior, 1e-4)))
     if len(used) == 0:
         return out, bias
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    column = np.searchsorted(used, np.concatenate(rows))
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    column = np.searchsorted(used, np.concatenate(rows)).astype(np.int32)
     value = ratio[used][column]
     # Start from naive Bayes shrunk, then accelerated gradient steps with per-feature scaling.
     w = np.zeros(len(used))
@@ -136,19 +138,22 @@ def train(docs: DataFrame, labels: DataFrame, orders: tuple[int, ...] = ORDERS,
     known = common.beside(known, "toxic-labels")
     marked = docs.select("doc_id", "text").join(known, "doc_id")
     counts = common.sum_cells(marked.select("text", "toxic").mapInArrow(_count(orders), "chunk int, cells binary"), 2 * FEATURES)
-    counts = counts.reshape(2, FEATURES).astype(np.float64)
+    counts = counts.reshape(2, FEATURES).astype(np.float32)
     # Probabilities of presence among the texts of a class.
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     p = [(counts[k] + SMOOTHING) / (sizes.get(k, 0) + 2 * SMOOTHING) for k in (0, 1)]
     ratio = np.log(p[1] / p[0])
-    used = evidence(counts, np.array([sizes.get(k, 0) for k in (0, 1)], np.float64)) >= LEAST_EVIDENCE
+    strength = evidence(counts, np.array([sizes.get(k, 0) for k in (0, 1)], np.float64))
+    least = max(LEAST_EVIDENCE, float(np.partition(strength, -MOST_FEATURES)[-MOST_FEATURES]))
+    used = strength >= least
+    del strength
     send = spark.sparkContext.broadcast(used)
     # A bounded sample of each class: the smallest hashes of the ids.
     some = [marked.select("doc_id", "toxic").filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     some = common.beside(some[0].unionByName(some[1]).select("doc_id").distinct(), "toxic-sample")
     sample = marked.join(some, "doc_id", "left_semi").select("text", "toxic").mapInArrow(_sample_rows(orders, send), "toxic int, features binary").collect()
     toxic = np.array([r["toxic"] for r in sample], np.float64)
-    rows = [np.frombuffer(r["features"], "<i4").astype(np.int64) for r in sample]
+    rows = [np.frombuffer(r["features"], "<i4") for r in sample]
     # Both classes count as often as they do among all training rows.
     share = {k: sizes.get(k, 0) / max(1, int((toxic == k).sum())) for k in (0, 1)}
     weight = np.array([share[int(t)] for t in toxic])
