@@ -8,13 +8,15 @@ consistent weighted sampling draws, per sample, one shingle of a text with proba
 proportional to its weight, alike in all texts; equal samples in all rows of a band make
 candidates. Candidates are verified by exact weighted Jaccard similarity.
 
-No bucket is expanded into all pairs: its rows are first compared with one leader per band, and
-only rows that different components still hold are compared crosswise, until every pair of a
-bucket is either linked through its component or was compared.
+No bucket is expanded into all pairs. In a few rounds its rows are compared with one leader each,
+and those that a link has joined to the leader's component are done with. What a bucket's
+components then still leave apart is compared tile by tile inside tasks, which return links
+only. In the end every pair of a bucket is joined through its component or was compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,12 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 12
 ROWS = 3
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+# Bands whose leaders are compared in one round, members compared with a leader in one group, rows
+# of a tile of a bucket.
+BANDS_AT_ONCE = 4
+GROUP = 512
+TILE = 512
 # Cells of each of the sketch's two rows: 8 MB in all, whatever the input.
 CELLS = 1 << 20
 # How much more a shingle of one text weighs than a shingle of all texts.
@@ -165,6 +172,9 @@ def signatures(s: Shingles, w: np.ndarray, samples: int) -> tuple[np.ndarray, np
     return have, out
 
 
+_SIGNED = "row long, keys array<long>, samples array<int>"
+
+
 def _sign(size: int, bands: int, rows: int, sketch: Broadcast, n_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, "text", SLICE_BYTES):
@@ -177,7 +187,9 @@ def _sign(size: int, bands: int, rows: int, sketch: Broadcast, n_docs: int):
             ids = part.column("row").to_numpy(zero_copy_only=False)[have]
             flat = pa.array(keys.reshape(-1).view(np.int64))
             offsets = pa.array(np.arange(0, len(have) * bands + 1, bands, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["row", "keys"])
+            places = pa.array(np.arange(0, len(have) * bands * rows + 1, bands * rows, dtype=np.int32))
+            samples = pa.ListArray.from_arrays(places, pa.array(drawn.reshape(-1).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, flat), samples], ["row", "keys", "samples"])
 
     return run
 
@@ -193,8 +205,11 @@ def _vectors(size: int, sketch: Broadcast, n_docs: int):
             out_h, out_w = [], []
             for a, b in zip(bounds[:-1], bounds[1:]):
                 order = np.argsort(high[a:b])
-                out_h.append(high[a:b][order].astype("<u4").tobytes())
-                out_w.append(w[a:b][order].astype("<f4").tobytes())
+                own, weight = high[a:b][order], w[a:b][order]
+                # Shingles that share their half of the hash count as one.
+                first = np.flatnonzero(np.diff(own, prepend=own[:1] + 1)) if len(own) else order
+                out_h.append(own[first].astype("<u4").tobytes())
+                out_w.append(np.add.reduceat(weight, first).astype("<f4").tobytes() if len(own) else b"")
             yield pa.RecordBatch.from_arrays(
                 [part.column("row"), pa.array(out_h, pa.binary()), pa.array(out_w, pa.binary())], ["row", "hashes", "weights"]
             )
@@ -209,25 +224,158 @@ def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndar
     return low / total if total else 0.0
 
 
+def _similar(h1: bytes, w1: bytes, h2: bytes, w2: bytes, similarity: float) -> bool:
+    one, two = (np.frombuffer(x, "<f4") for x in (w1, w2))
+    a, b = float(one.sum(dtype=np.float64)), float(two.sum(dtype=np.float64))
+    # No pair of so different weights can be similar enough.
+    if min(a, b) < similarity * max(a, b) * (1 - 1e-6):
+        return False
+    return weighted_jaccard(np.frombuffer(h1, "<u4"), one, np.frombuffer(h2, "<u4"), two) >= similarity
+
+
 def _verify(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("h1", "w1", "h2", "w2")]
-            keep = []
-            for i, (h1, w1, h2, w2) in enumerate(zip(*columns)):
-                u, v = np.frombuffer(h1, "<u4"), np.frombuffer(h2, "<u4")
-                if weighted_jaccard(u, np.frombuffer(w1, "<f4"), v, np.frombuffer(w2, "<f4")) >= similarity:
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+    def run(key: tuple, leader: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        if not len(leader) or not len(members):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        h, w, lead = leader["hashes_"].iloc[0], leader["weights_"].iloc[0], int(leader["leader_"].iloc[0])
+        keep = [int(r) for r, u, v in zip(members["row"], members["hashes"], members["weights"]) if _similar(h, w, u, v, similarity)]
+        return pd.DataFrame({"a": [min(r, lead) for r in keep], "b": [max(r, lead) for r in keep]}, dtype="int64")
 
     return run
 
 
-def _links(pairs: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity is high enough."""
-    one = vectors.select(F.col("row").alias("a"), F.col("hashes").alias("h1"), F.col("weights").alias("w1"))
-    two = vectors.select(F.col("row").alias("b"), F.col("hashes").alias("h2"), F.col("weights").alias("w2"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "h1", "w1", "h2", "w2").mapInArrow(_verify(similarity), "a long, b long")
+def _star_links(pairs: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (row, leader) that are similar enough, as links (a, b).
+
+    Members travel once to their leader, in groups of about GROUP, to each of which the leader goes.
+    """
+    sizes = pairs.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("parts"))
+    dealt = pairs.join(sizes, "leader").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
+    members = dealt.join(vectors, "row").select("leader", "part", "row", "hashes", "weights")
+    heads = sizes.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    heads = heads.join(vectors.withColumnRenamed("row", "leader"), "leader").select(*[F.col(c).alias(f"{c}_") for c in ("leader", "part", "hashes", "weights")])
+    return heads.groupBy("leader_", "part_").cogroup(members.groupBy("leader", "part")).applyInPandas(_verify(similarity), "a long, b long")
+
+
+def _askable(i: int, band: int, rows: int, least: int, left: dict, right: dict) -> np.ndarray:
+    """Which rows of the right tile row ``i`` of the left one is to be compared with, in this band.
+
+    Those of another component that agree in enough samples. A pair that meets in several bands
+    is looked at in the first; of two rows outside the largest component the smaller one asks.
+    """
+    ok = (right["component"] != left["component"][i]) & ~(right["rest"] & (right["row"] < left["row"][i]))
+    at = np.flatnonzero(ok)
+    same = right["samples"][at] == left["samples"][i]
+    first = same.reshape(len(at), -1, rows).all(axis=2)[:, :band].any(axis=1)
+    ok[at] = (same.sum(axis=1) >= least) & ~first
+    return ok
+
+
+def _columns(tile: pd.DataFrame) -> dict[str, np.ndarray]:
+    tile = tile.rename(columns=lambda c: c.removesuffix("_"))
+    return {c: np.array(tile[c].to_list()) for c in ("row", "component", "rest", "samples")}
+
+
+def _tile_rows(rows: int, least: int):
+    """The rows of two tiles that have someone to be compared with (no vectors needed)."""
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        seen: set[int] = set()
+        if len(left) and len(right):
+            one, two = _columns(left), _columns(right)
+            for i in range(len(left)):
+                ok = _askable(i, int(key[0]), rows, least, one, two)
+                if ok.any():
+                    seen.add(int(one["row"][i]))
+                    seen.update(two["row"][ok].tolist())
+        return pd.DataFrame({"band": int(key[0]), "key": int(key[1]), "row": sorted(seen)})
+
+    return run
+
+
+def _verify_tiles(rows: int, least: int, similarity: float):
+    """Links between the rows of two tiles of a bucket that different components hold."""
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            one, two = _columns(left), _columns(right)
+            h_l, w_l, h_r, w_r = left["hashes"].to_list(), left["weights"].to_list(), right["hashes_"].to_list(), right["weights_"].to_list()
+            total = np.array([np.frombuffer(x, "<f4").sum(dtype=np.float64) for x in w_r])
+            # All shingles of the right tile in one sorted list: a left row meets them all at once.
+            owner = np.repeat(np.arange(len(right)), [len(x) // 4 for x in h_r])
+            shingles, weights = np.frombuffer(b"".join(h_r), "<u4"), np.frombuffer(b"".join(w_r), "<f4")
+            order = np.argsort(shingles, kind="stable")
+            owner, shingles, weights = owner[order], shingles[order], weights[order]
+            for i in range(len(left)):
+                weight = np.frombuffer(w_l[i], "<f4")
+                own = float(weight.sum(dtype=np.float64))
+                ok = _askable(i, int(key[0]), rows, least, one, two)
+                ok &= np.minimum(total, own) >= similarity * np.maximum(total, own) * (1 - 1e-6)
+                if not ok.any():
+                    continue
+                h = np.frombuffer(h_l[i], "<u4")
+                lo, hi = np.searchsorted(shingles, h, "left"), np.searchsorted(shingles, h, "right")
+                n = hi - lo
+                ends = np.cumsum(n)
+                at = np.repeat(lo - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+                low = np.bincount(owner[at], weights=np.minimum(weights[at], np.repeat(weight, n)), minlength=len(right))
+                close = ok & (low >= similarity * (total + own - low))
+                found += [(min(int(one["row"][i]), r), max(int(one["row"][i]), r)) for r in two["row"][close].tolist()]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+_AT = ("band", "key", "row", "component", "samples")
+
+
+def _tiled(at: DataFrame, vectors: DataFrame | None):
+    """Pairs of tiles of each bucket of ``at`` that several components hold, as a co-group.
+
+    Rows outside a bucket's largest component (left) meet all its rows (right).
+    """
+    sizes = at.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+    best = F.max(F.struct("n", "component")).alias("top")
+    mixed = sizes.groupBy("band", "key").agg(best, F.count("*").alias("parts"), F.sum("n").alias("rows")).filter("parts > 1")
+    tiles = lambda n: F.ceil(n / TILE).cast("long")
+    mixed = mixed.select(
+        "band", "key", F.col("top.component").alias("largest"), tiles(F.col("rows") - F.col("top.n")).alias("tl"), tiles(F.col("rows")).alias("tr")
+    )
+    full = at.join(mixed, ["band", "key"]).withColumn("rest", F.col("component") != F.col("largest"))
+    full = full if vectors is None else full.join(vectors, "row")
+    columns = ["l", "r", *_AT, "rest"] + ([] if vectors is None else ["hashes", "weights"])
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = full.filter("rest").withColumn("l", F.pmod(F.xxhash64("row"), F.col("tl"))).withColumn("r", every("tr")).select(*columns)
+    right = full.withColumn("r", F.pmod(F.xxhash64("row"), F.col("tr"))).withColumn("l", every("tl"))
+    key = ["band", "key", "l", "r"]
+    # Fresh names: both sides come from one table.
+    right = right.select(*[F.col(c).alias(f"{c}_") for c in columns])
+    return left.groupBy(*key).cogroup(right.groupBy(*[f"{c}_" for c in key]))
+
+
+def _tile_links(at: DataFrame, vectors: DataFrame, rows: int, least: int, similarity: float) -> DataFrame:
+    """Links inside buckets that several components hold: all pairs of rows of different ones.
+
+    ``at``: band, key, row, component, samples. Pairs exist inside tasks only. Samples alone say
+    which rows have someone to be compared with; only these bring their shingles.
+    """
+    busy = _tiled(at, None).applyInPandas(_tile_rows(rows, least), "band int, key long, row long").distinct()
+    busy = common.written(busy, "near-busy")
+    again = common.written(at.join(busy, ["band", "key", "row"], "left_semi"), "near-again")
+    return _tiled(again, vectors).applyInPandas(_verify_tiles(rows, least, similarity), "a long, b long").distinct()
+
+
+def _relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (row, component) after the links (a, b) between rows have joined components."""
+    if links.isEmpty():
+        return label
+    one = label.select(F.col("row").alias("a"), F.col("component").alias("ca"))
+    two = label.select(F.col("row").alias("b"), F.col("component").alias("cb"))
+    joined = links.join(one, "a").join(two, "b").filter("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    new = components(joined).select(F.col("node").alias("component"), F.col("component").alias("__new"))
+    out = label.join(new, "component", "left").select("row", F.coalesce("__new", "component").alias("component"))
+    return common.written(out, "near-label")
 
 
 def classes(
@@ -252,7 +400,7 @@ def classes(
     copies = known.groupBy("digest", "own").agg(F.min("row").alias("rep"))
     member = common.written(known.join(copies, known.digest.eqNullSafe(copies.digest) & known.own.eqNullSafe(copies.own)).select("row", "doc_id", "rep"), "near-member")
     reps = member.filter("row = rep").select("row")
-    signed = source.select("row", "text").mapInArrow(_sign(size, bands, rows, sketch, n_docs), "row long, keys array<long>")
+    signed = common.written(source.select("row", "text").mapInArrow(_sign(size, bands, rows, sketch, n_docs), _SIGNED), "near-signed")
     keys = signed.join(reps, "row", "left_semi").select("row", F.posexplode("keys").alias("band", "key"))
     keys = common.written(keys, "near-keys")
     # A leader per bucket, another one in each band.
@@ -261,27 +409,26 @@ def classes(
     shared = common.written(keys.join(buckets.drop("n"), ["band", "key"]), "near-shared")
     some = common.written(shared.select("row").distinct(), "near-candidates")
     vectors = common.written(common.only(source.select("row", "text"), some, "row").mapInArrow(_vectors(size, sketch, n_docs), "row long, hashes binary, weights binary"), "near-vectors")
-
-    def pair(x: str, y: str) -> list:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    pairs = shared.filter("row <> leader").select(*pair("row", "leader")).distinct()
-    links = common.written(_links(pairs, vectors, similarity), "near-links")
-    label = components(links)
-    # Rows of one bucket that different components hold: compared crosswise, component by component.
-    at = shared.join(label, shared.row == label.node, "left").select("band", "key", "row", F.coalesce("component", "row").alias("component"))
-    at = common.written(at, "near-at")
-    parts = at.select("band", "key", "component").distinct()
-    mixed = parts.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key")
-    parts = parts.join(mixed, ["band", "key"], "left_semi")
-    left = at.select("band", "key", F.col("component").alias("c1"), F.col("row").alias("x"))
-    right = at.select("band", "key", F.col("component").alias("c2"), F.col("row").alias("y"))
-    facing = parts.select("band", "key", F.col("component").alias("c1")).join(parts.select("band", "key", F.col("component").alias("c2")), ["band", "key"]).filter("c1 < c2")
-    cross = facing.join(left, ["band", "key", "c1"]).join(right, ["band", "key", "c2"]).select(*pair("x", "y")).distinct()
-    cross = cross.join(pairs, ["a", "b"], "left_anti")
-    more = common.written(_links(cross, vectors, similarity), "near-more")
-    if not more.isEmpty():
-        label = components(links.unionByName(more))
+    samples = common.written(common.only(signed.select("row", "samples"), some, "row"), "near-samples")
+    # Of so many samples a pair similar enough agrees in fewer than this once in thousands of pairs.
+    total = bands * rows
+    least = math.floor(total * similarity - 3.5 * math.sqrt(total * similarity * (1 - similarity)))
+    leaders = samples.select(F.col("row").alias("leader"), F.col("samples").alias("theirs"))
+    agree = F.aggregate(F.zip_with("samples", "theirs", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    # Rounds of some bands each; rows that a link has joined to the leader's component are done with.
+    label = common.written(some.select("row", F.col("row").alias("component")), "near-label")
+    for start in range(0, bands, BANDS_AT_ONCE):
+        pairs = shared.filter((F.col("band") >= start) & (F.col("band") < start + BANDS_AT_ONCE)).select("row", "leader").filter("row <> leader").distinct()
+        theirs = label.select(F.col("row").alias("leader"), F.col("component").alias("__c"))
+        pairs = pairs.join(label, "row").join(theirs, "leader").filter(F.col("component") != F.col("__c")).select("row", "leader")
+        pairs = pairs.join(samples, "row").join(leaders, "leader").filter(agree >= least).select("row", "leader")
+        links = common.written(_star_links(common.written(pairs, "near-pairs"), vectors, similarity), "near-links")
+        label = _relabelled(label, links)
+    # Leaders have met all rows of their buckets; the others have not met each other.
+    at = shared.filter("row <> leader").drop("leader").join(label, "row").join(samples, "row").select(*_AT)
+    links = common.written(_tile_links(common.written(at, "near-at"), vectors, rows, least, similarity), "near-more")
+    label = _relabelled(label, links)
+    label = label.select(F.col("row").alias("node"), "component")
     # Classes of representatives, then of all rows.
     joined = member.join(label, member.rep == label.node, "left").select("row", "doc_id", F.coalesce("component", "rep").alias("class_row"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")

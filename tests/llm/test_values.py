@@ -173,6 +173,21 @@ def test_weighted_jaccard_and_samples_agree():
         assert abs((drawn[i] == drawn[j]).mean() - exactly) < 0.08
 
 
+def test_shingles_that_share_half_a_hash(monkeypatch):
+    class Sent:
+        value = np.ones((2, near.CELLS), np.int64)
+
+    monkeypatch.setattr(common, "mix", lambda h, mix=common.mix: mix(h) & np.uint64(0x7FF00000000 | 0xFFFFFFFF))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([" ".join(f"w{i}" for i in range(3000)), ""])], ["row", "text"])
+    (out,) = near._vectors(5, Sent, 2)(iter([batch]))
+    hashes, weights = np.frombuffer(out.column("hashes")[0].as_py(), "<u4"), np.frombuffer(out.column("weights")[0].as_py(), "<f4")
+    assert (np.diff(hashes.astype(np.int64)) > 0).all() and len(hashes) == len(weights) < 2996
+    s = near.Shingles(batch.column("text"), 5)
+    assert abs(weights.sum() / near.weights(s, Sent.value, 2).sum() - 1) < 1e-5
+    assert near.weighted_jaccard(hashes, weights, hashes, weights) == 1.0
+    assert out.column("hashes")[1].as_py() == b""
+
+
 def test_components_against_union(spark):
     r = random.Random(2)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)]
