@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from odorframe.llm import common
 
 SPAN = 200
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 # Text bytes per bucket.
 BUCKET_BYTES = 2 << 20
 # A seed in more slices than this is split by a further SPAN/4 bytes on either side.
