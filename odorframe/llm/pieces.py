@@ -36,7 +36,7 @@ LONGEST_WORD = 512
 WORD = f"{SPACE}?[^{SPACE}]{{1,{LONGEST_WORD}}}|{SPACE}"
 # What a byte of a character without a piece costs below the lowest score of a piece.
 BYTE_PENALTY = 10.0
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 4 << 20
 
 
 @dataclass
@@ -91,19 +91,23 @@ def best_paths(words: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     cuts = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), size - F.col("start")))).alias("n"))
     cuts = cuts.withColumn("piece", F.expr("substring(word, start + 1, n)"))
     joined = cuts.join(table, "piece", "left").filter("id is not null or n = 1")
-    worst = model.lowest - BYTE_PENALTY
-    # A character without a piece is one edge of all its bytes, id -1.
-    score = F.coalesce("score", F.lit(worst) * F.octet_length("piece"))
-    edge = F.struct((F.col("start") + F.col("n")).alias("end"), "start", score.alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
+    # An edge is one number: end, start and id + 1; a character without a piece is one edge of all
+    # its bytes, with 0 for the id. The scores stand in a constant, as long as the model's table.
+    edge = (F.col("start") + F.col("n")).cast("long") * 2**42 + F.col("start").cast("long") * 2**32 + F.coalesce(F.col("id") + 1, F.lit(0))
     # w comes first: edges are sorted by a number, and only equal numbers compare words.
-    lattice = joined.groupBy("w", *keys, "word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    lattice = joined.select("w", *keys, "word", edge.alias("edge")).groupBy("w", *keys, "word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    scores = F.lit([float(s) for s in model.scores])
+    worst = model.lowest - BYTE_PENALTY
 
     def step(best: Column, e: Column) -> Column:
-        total = F.element_at(best, e["start"] + 1)["score"] + e["score"]
-        found = F.struct(total.alias("score"), e["start"].alias("start"), e["id"].alias("id"))
+        end, start = F.shiftright(e, 42).cast("int"), F.shiftright(e, 32).bitwiseAND(F.lit(1023).cast("long")).cast("int")
+        id_ = e.bitwiseAND(F.lit(2**32 - 1)).cast("int") - 1
+        own = F.when(id_ >= 0, F.element_at(scores, id_ + 1)).otherwise(F.lit(worst) * F.octet_length(F.substring(F.col("word"), start + 1, F.lit(1))))
+        total = F.element_at(best, start + 1)["score"] + own
+        found = F.struct(total.alias("score"), start.alias("start"), id_.alias("id"))
         # Edges come by end: one more end, or another edge to the last one.
         return (
-            F.when(e["end"] == F.size(best), F.concat(best, F.array(found)))
+            F.when(end == F.size(best), F.concat(best, F.array(found)))
             .when(total > F.element_at(best, -1)["score"], F.concat(F.slice(best, 1, F.size(best) - 1), F.array(found)))
             .otherwise(best)
         )
