@@ -6,6 +6,8 @@ they need by name, so extra columns never clash with their own.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -61,10 +63,10 @@ def only(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_semi")
 
 
-def beside(df: DataFrame, name: str) -> DataFrame:
+def beside(df: DataFrame, name: str, most: int = BROADCAST_KEYS) -> DataFrame:
     """``df`` written, and broadcast to joins if a count of its rows allows it."""
     out = written(df, name)
-    return F.broadcast(out) if out.count() <= BROADCAST_KEYS else out
+    return F.broadcast(out) if out.count() <= most else out
 
 
 def fresh_name(df: DataFrame, stem: str) -> str:
@@ -119,6 +121,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
+    release()
+
+
+def release() -> None:
+    """Gives memory that is free again back to the system: a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -40,6 +40,8 @@ SLICE_BYTES = 1 << 20
 BANDS_AT_ONCE = 4
 GROUP = 512
 TILE = 512
+# Rows with samples that are sent to every executor at most.
+BROADCAST_WIDE = 100_000
 # Cells of each of the sketch's two rows: 8 MB in all, whatever the input.
 CELLS = 1 << 20
 # How much more a shingle of one text weighs than a shingle of all texts.
@@ -250,10 +252,11 @@ def _star_links(pairs: DataFrame, vectors: DataFrame, similarity: float) -> Data
     Members travel once to their leader, in groups of about GROUP, to each of which the leader goes.
     """
     sizes = pairs.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("parts"))
-    dealt = pairs.join(sizes, "leader").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
-    members = dealt.join(vectors, "row").select("leader", "part", "row", "hashes", "weights")
+    dealt = pairs.join(sizes, "leader").select("leader", "row", F.pmod(F.xxhash64("row"), F.col("parts")).alias("part"))
+    # Slim sides are broadcast where a count allows it, or all vectors would be shuffled to find a few.
+    members = vectors.join(common.beside(dealt, "near-dealt"), "row").select("leader", "part", "row", "hashes", "weights")
     heads = sizes.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    heads = heads.join(vectors.withColumnRenamed("row", "leader"), "leader").select(*[F.col(c).alias(f"{c}_") for c in ("leader", "part", "hashes", "weights")])
+    heads = vectors.withColumnRenamed("row", "leader").join(common.beside(heads, "near-heads"), "leader").select(*[F.col(c).alias(f"{c}_") for c in ("leader", "part", "hashes", "weights")])
     return heads.groupBy("leader_", "part_").cogroup(members.groupBy("leader", "part")).applyInPandas(_verify(similarity), "a long, b long")
 
 
@@ -343,7 +346,9 @@ def _tiled(at: DataFrame, vectors: DataFrame | None):
         "band", "key", F.col("top.component").alias("largest"), tiles(F.col("rows") - F.col("top.n")).alias("tl"), tiles(F.col("rows")).alias("tr")
     )
     full = at.join(mixed, ["band", "key"]).withColumn("rest", F.col("component") != F.col("largest"))
-    full = full if vectors is None else full.join(vectors, "row")
+    if vectors is not None:
+        # Rows here carry their samples, hence the lower bound.
+        full = vectors.join(common.beside(full, "near-tiled", BROADCAST_WIDE), "row")
     columns = ["l", "r", *_AT, "rest"] + ([] if vectors is None else ["hashes", "weights"])
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = full.filter("rest").withColumn("l", F.pmod(F.xxhash64("row"), F.col("tl"))).withColumn("r", every("tr")).select(*columns)
@@ -363,7 +368,8 @@ def _tile_links(at: DataFrame, vectors: DataFrame, rows: int, least: int, simila
     busy = _tiled(at, None).applyInPandas(_tile_rows(rows, least), "band int, key long, row long").distinct()
     busy = common.written(busy, "near-busy")
     again = common.written(at.join(busy, ["band", "key", "row"], "left_semi"), "near-again")
-    return _tiled(again, vectors).applyInPandas(_verify_tiles(rows, least, similarity), "a long, b long").distinct()
+    needed = common.written(again.select("row").distinct(), "near-needed")
+    return _tiled(again, common.only(vectors, needed, "row")).applyInPandas(_verify_tiles(rows, least, similarity), "a long, b long").distinct()
 
 
 def _relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
