@@ -34,7 +34,7 @@ POOL = 2048
 TOLERANCE = 16
 SLICE_BYTES = 1 << 20
 # Words (and parts of words) whose ids a worker remembers, give or take a slice's.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 # New ones are encoded by so many as one text, between them a sign with an id of its own.
 GROUP = 4096
 MARK = "\x01"

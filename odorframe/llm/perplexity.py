@@ -24,6 +24,8 @@ from odorframe.llm import common
 ORDER = 4
 # Text bytes of one block: bounds a task's memory and the rows of a co-group.
 BLOCK_BYTES = 6 << 20
+# Characters whose n-grams are hashed at once.
+AT_ONCE = 1 << 19
 # Share of trusted texts (in 1/16) kept from the model to set the thresholds.
 HELD_OUT = 4
 # A document is rejected above this quantile of its language's held-out perplexities, times MARGIN.
@@ -36,8 +38,8 @@ PRIOR_CHARS = 20
 PAD = "\x02"
 
 
-def _grams(texts: list[str], order: int) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """(code of the n-gram ending at each character, distinct n-grams, character offsets by text)."""
+def _few_grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(code of the n-gram ending at each character, hashes and texts of the distinct n-grams)."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     pad = PAD * (order - 1)
     joined = pad + pad.join(texts) + pad
@@ -47,18 +49,42 @@ def _grams(texts: list[str], order: int) -> tuple[np.ndarray, list[str], np.ndar
     for j in range(order):
         h *= common.BASE
         h += points[j : j + n]
-    offsets = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(lengths, out=offsets[1:])
-    # Window i ends at character i + order - 1; text t's characters start after t + 1 paddings.
+    ends = np.cumsum(lengths)
     own = np.ones(n, bool)
     for j in range(order - 1):
         # windows that end inside the padding behind a text
-        own[offsets[1:] + np.arange(len(texts)) * (order - 1) + j] = False
+        own[ends + np.arange(len(texts)) * (order - 1) + j] = False
     where = np.flatnonzero(own)
     codes, found = pd.factorize(common.mix(h[where]))
     first = np.zeros(len(found), np.int64)
     first[codes[::-1]] = where[::-1]
-    return codes, [joined[i : i + order] for i in first.tolist()], offsets
+    return codes.astype(np.int32), found, [joined[i : i + order] for i in first.tolist()]
+
+
+def _grams(texts: list[str], order: int) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(code of the n-gram ending at each character, distinct n-grams, character offsets by text).
+
+    Works on some texts at a time, which bounds what it holds besides the result.
+    """
+    offsets = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)), out=offsets[1:])
+    codes, hashes, grams, start = [], [], [], 0
+    while start < len(texts):
+        stop = int(np.searchsorted(offsets, offsets[start] + AT_ONCE, side="right")) - 1
+        stop = min(max(stop, start + 1), len(texts))
+        c, h, g = _few_grams(texts[start:stop], order)
+        codes.append(c)
+        hashes.append(h)
+        grams += g
+        start = stop
+    if not codes:
+        return np.zeros(0, np.int32), [], offsets
+    same, found = pd.factorize(np.concatenate(hashes))
+    first = np.zeros(len(found), np.int64)
+    first[same[::-1]] = np.arange(len(same))[::-1]
+    bounds = np.cumsum([0] + [len(h) for h in hashes])
+    whole = [same[b : b + len(h)].astype(np.int32)[c] for c, h, b in zip(codes, hashes, bounds)]
+    return np.concatenate(whole), [grams[i] for i in first.tolist()], offsets
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:
@@ -123,7 +149,8 @@ def _score_block(order: int):
                 raise RuntimeError("a block changed between two scans; give a table that reads alike each time")
             total = np.zeros(len(offsets[:-1]))
             if len(codes):
-                sums = np.concatenate([[0.0], np.cumsum(logs[at][codes])])
+                sums = np.zeros(len(codes) + 1)
+                np.cumsum(logs[at][codes], out=sums[1:])
                 total = sums[offsets[1:]] - sums[offsets[:-1]]
             out.append(pd.DataFrame({"row": ids, "n_scored": np.diff(offsets), "log_p": total}))
         return pd.concat(out) if out else pd.DataFrame({"row": [], "n_scored": [], "log_p": []})
