@@ -32,9 +32,9 @@ VOCABULARY = "word_bpe_49k.json"
 POOL = 2048
 # A window short of more than this many tokens gets the front of another remainder.
 TOLERANCE = 16
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
 # Words (and parts of words) whose ids a worker remembers, give or take a slice's.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 # New ones are encoded by so many as one text, between them a sign with an id of its own.
 GROUP = 4096
 MARK = "\x01"
