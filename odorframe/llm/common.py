@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +45,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and outlives executors."""
+def written(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage and outlives executors.
+
+    ``row_group`` bounds the bytes of a row group where rows are large.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write if row_group is None else df.write.option("parquet.block.size", row_group)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -124,6 +128,24 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
     release()
 
 
+def numbered_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(number, rows) of slices of a task: a row's number comes from the text bytes before it.
+
+    Hence numbers are alike in every scan of the same files, whichever other columns it reads and
+    wherever its batches end; a slice may come in several parts, one per batch.
+    """
+    task, before = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        offsets = utf8(batch.column(text))[1]
+        number = (before + offsets[:-1]) // limit
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [batch.num_rows]]).tolist()
+        for start, stop in zip(cuts, cuts[1:]):
+            if stop > start:
+                yield (task << 32) + int(number[start]), batch.slice(start, stop - start)
+        before += int(offsets[-1])
+    release()
+
+
 def release() -> None:
     """Gives memory that is free again back to the system: a worker lives on after its task."""
     pa.default_memory_pool().release_unused()

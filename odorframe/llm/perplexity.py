@@ -15,7 +15,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,16 +101,9 @@ def _count_grams(order: int):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Blocks of a task's rows, numbered alike in every scan of the same files."""
-    task = TaskContext.get().partitionId()
-    for k, part in enumerate(common.slices(batches, "text", BLOCK_BYTES)):
-        yield (task << 32) + k, part
-
-
 def _block_grams(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, part in _blocks(batches):
+        for block, part in common.numbered_slices(batches, "text", BLOCK_BYTES):
             grams = _grams(_texts(part), order)[1]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(grams), block), pa.int64()), pa.array(grams, pa.string())], ["block", "gram"]
@@ -121,7 +113,7 @@ def _block_grams(order: int):
 
 
 def _block_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, part in _blocks(batches):
+    for block, part in common.numbered_slices(batches, "text", BLOCK_BYTES):
         data, offsets = common.utf8(part.column("text"))
         lengths = np.diff(offsets).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
@@ -138,6 +130,8 @@ def _block_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _score_block(order: int):
     def run(key: tuple, texts: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
         out = []
+        # A block whose rows came in several batches asked for some n-grams several times.
+        grams = grams.drop_duplicates("gram")
         table = pd.Index(grams["gram"])
         logs = grams["log_p"].to_numpy(np.float64)
         for ids, lengths, body in zip(texts["ids"], texts["lengths"], texts["body"]):

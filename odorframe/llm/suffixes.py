@@ -31,6 +31,8 @@ SPAN = 200
 SLICE_BYTES = 2 << 20
 # Text bytes per bucket.
 BUCKET_BYTES = 2 << 20
+# Row groups of the written slices: the Parquet reader holds up to one of them at once.
+ROW_GROUP = 8 << 20
 # A seed in more slices than this is split by a further SPAN/4 bytes on either side.
 HOT_SLICES = 1024
 # Groups of more strings than this are resolved column by column instead of pair by pair.
@@ -81,13 +83,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarra
     return found, h[found]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Slices of a task's rows, numbered alike in every scan of the same files."""
-    task = TaskContext.get().partitionId()
-    for k, part in enumerate(common.slices(batches, "text", limit)):
-        yield (task << 32) + k, part
-
-
 def _by_bucket(h: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     of = (h % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(of, kind="stable")
@@ -100,15 +95,23 @@ def _by_bucket(h: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
 _SEEDS = "bucket long, run long, hashes binary, twice binary"
 
 
-def _send_seeds(span: int, buckets: int, limit: int):
+def _unpacked(lengths, body: bytes) -> tuple[bytes, np.ndarray]:
+    """(bytes of a slice, n+1 offsets of its texts)."""
+    return zlib.decompress(body), np.concatenate([[0], np.cumsum(np.asarray(lengths, np.int64))])
+
+
+def _send_seeds(span: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, part in _slices(batches, limit):
-            _, h = anchors(*common.utf8(part.column("text")), span)
-            h, n = np.unique(h, return_counts=True)
-            rows = [(b, number, h[i].tobytes(), (n[i] > 1).tobytes()) for b, i in _by_bucket(h, buckets)]
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "run", "hashes", "twice"])
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        for batch in batches:
+            for number, lengths, body in zip(*(batch.column(c) for c in ("run", "lengths", "body"))):
+                raw, offsets = _unpacked(lengths.values.to_numpy(), body.as_py())
+                _, h = anchors(np.frombuffer(raw, np.uint8), offsets, span)
+                h, n = np.unique(h, return_counts=True)
+                rows = [(b, number.as_py(), h[i].tobytes(), (n[i] > 1).tobytes()) for b, i in _by_bucket(h, buckets)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "run", "hashes", "twice"])
+        common.release()
 
     return run
 
@@ -139,11 +142,12 @@ _TEXTS = "run long, ids array<long>, lengths array<int>, body binary"
 
 def _send_texts(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, part in _slices(batches, limit):
+        task = TaskContext.get().partitionId()
+        for k, part in enumerate(common.slices(batches, "text", limit)):
             data, offsets = common.utf8(part.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([number], pa.int64()),
+                    pa.array([(task << 32) + k], pa.int64()),
                     pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                     pa.array([np.diff(offsets).tolist()], pa.list_(pa.int32())),
                     pa.array([zlib.compress(data.tobytes(), 1)], pa.binary()),
@@ -191,9 +195,8 @@ def _make_runs(span: int, buckets: int):
     def run(key: tuple, texts: pd.DataFrame, live: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(texts) and len(live):
-            raw = zlib.decompress(texts["body"].iloc[0])
+            raw, offsets = _unpacked(texts["lengths"].iloc[0], texts["body"].iloc[0])
             data = np.frombuffer(raw, np.uint8)
-            offsets = np.concatenate([[0], np.cumsum(np.asarray(texts["lengths"].iloc[0], np.int64))])
             hashes = np.concatenate([np.frombuffer(b, np.uint64) for b in live["hashes"]])
             hot = np.concatenate([np.frombuffer(b, bool) for b in live["hot"]])
             order = np.argsort(hashes)
@@ -365,8 +368,8 @@ def _remove(as_text: bool):
     def run(key: tuple, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out = []
         for ids, lengths, body in zip(texts["ids"], texts["lengths"], texts["body"]):
-            data = np.frombuffer(zlib.decompress(body), np.uint8)
-            offsets = np.concatenate([[0], np.cumsum(np.asarray(lengths, np.int64))])
+            raw, offsets = _unpacked(lengths, body)
+            data = np.frombuffer(raw, np.uint8)
             depth = np.zeros(len(data) + 1, np.int64)
             if len(found):
                 pairs = np.concatenate([np.frombuffer(b, "<i4") for b in found["spans"]])
@@ -405,16 +408,17 @@ def remove_repeats(
     A byte goes if a string of ``span`` bytes that covers it also starts anywhere else, in this
     text or another one; with ``as_text`` what is left of a cut character goes too. n_spans counts the maximal runs of such bytes. Matches never cross
     documents. A null text is empty; texts shorter than ``span`` bytes stay whole. Rows that
-    repeat a doc_id are documents of their own. ``docs`` must read alike each time it is read
-    (a table of files does).
+    repeat a doc_id are documents of their own. Slices of the texts are written once and every
+    later step reads those.
     """
     if span < 8 or span % 4:
         raise ValueError("span must be a multiple of 4, 8 at least")
     buckets = common.blocks_for(docs, bucket_bytes)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seeds = source.select("text").mapInArrow(_send_seeds(span, buckets, slice_bytes), _SEEDS)
+    # Slices are cut at Arrow batches, whose borders differ from scan to scan: numbered and written once.
+    texts = common.written(source.mapInArrow(_send_texts(slice_bytes), _TEXTS), "suffix-texts", ROW_GROUP)
+    seeds = texts.select("run", "lengths", "body").mapInArrow(_send_seeds(span, buckets), _SEEDS)
     live = common.written(seeds.groupBy("bucket").applyInPandas(_live_seeds(hot_slices), "run long, hashes binary, hot binary"), "suffix-seeds")
-    texts = source.mapInArrow(_send_texts(slice_bytes), _TEXTS)
     runs = texts.groupBy("run").cogroup(live.groupBy("run")).applyInPandas(_make_runs(span, buckets), _RUNS)
     spans = runs.groupBy("bucket", "kind").applyInPandas(_resolve(span, pairwise), "run long, spans binary")
     spans = common.written(spans, "suffix-spans")
