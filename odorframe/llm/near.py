@@ -269,7 +269,7 @@ def _askable(i: int, band: int, rows: int, least: int, left: dict, right: dict)
     ok = (right["component"] != left["component"][i]) & ~(right["rest"] & (right["row"] < left["row"][i]))
     at = np.flatnonzero(ok)
     same = right["samples"][at] == left["samples"][i]
-    first = same.reshape(len(at), -1, rows).all(axis=2)[:, :band].any(axis=1)
+    first = same.reshape(len(at), same.shape[1] // rows, rows).all(axis=2)[:, :band].any(axis=1)
     ok[at] = (same.sum(axis=1) >= least) & ~first
     return ok
 

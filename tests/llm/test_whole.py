@@ -1,11 +1,11 @@
-"""Whole results where an operator once did less: batch borders."""
+"""Whole results where an operator once did less: batch borders, several tiles."""
 
 import random
 
 import numpy as np
 import pytest
 
-from odorframe.llm import perplexity, suffixes
+from odorframe.llm import near, perplexity, suffixes
 
 
 def prose(r, n):
@@ -47,3 +47,13 @@ def test_scores_whatever_the_batches(spark, tmp_path, small_batches):
     want = {x["row"]: x["perplexity"] for x in perplexity.score(docs, trusted).collect()}
     assert got.keys() == want.keys() == set(range(400))
     assert np.allclose([got[i] for i in want], list(want.values()))
+
+
+def test_bucket_of_unlinked_rows_over_several_tiles(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(near, "TILE", 2)
+    r = random.Random(13)
+    base = prose(r, 120)
+    rows = [(i, base + " " + prose(r, 40)) for i in range(16)]
+    docs = stored(spark, tmp_path, rows, "doc_id long, text string")
+    got = near.classes(docs).collect()
+    assert sorted(x["class_id"] for x in got) == list(range(16))
