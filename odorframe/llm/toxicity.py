@@ -25,8 +25,8 @@ FEATURES = 1 << 20
 SAMPLE_PER_CLASS = 4000
 # Features whose counts by class could be chance (likelihood ratio below this) carry no weight.
 LEAST_EVIDENCE = 16.0
-# Of the others the model has the strongest ones, so that its size doesn't grow with the corpus.
-MOST_FEATURES = 8192
+# Entries of the sample's matrix that are summed at once: bounds the driver's temporary arrays.
+AT_ONCE = 1 << 20
 SMOOTHING = 1.0
 PENALTY = 1.0
 STEPS = 300
@@ -99,18 +99,41 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, weight: np
     bias = float(np.log(max(prior, 1e-4) / max(1 - prior, 1e-4)))
     if len(used) == 0:
         return out, bias
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    column = np.searchsorted(used, np.concatenate(rows)).astype(np.int32)
-    value = ratio[used][column]
+    place = np.zeros(len(ratio), np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    column = np.empty(int(sizes.sum()), np.int32)
+    ends = np.cumsum(sizes)
+    for r, end in zip(rows, ends.tolist()):
+        column[end - len(r) : end] = place[r]
+    # Texts taken together, and the entries they have.
+    lots = np.unique(np.searchsorted(ends, np.arange(0, len(column), AT_ONCE), side="right"))
+    lots = list(zip(lots.tolist(), [*lots[1:].tolist(), len(rows)]))
+    entry = np.concatenate([[0], ends])
+
+    def by_text(value: np.ndarray) -> np.ndarray:
+        parts = []
+        for lo, hi in lots:
+            doc = np.repeat(np.arange(hi - lo), sizes[lo:hi])
+            parts.append(np.bincount(doc, weights=value[column[entry[lo] : entry[hi]]], minlength=hi - lo))
+        return np.concatenate([np.zeros(lots[0][0]), *parts])
+
+    def by_feature(value: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(used))
+        for lo, hi in lots:
+            total += np.bincount(column[entry[lo] : entry[hi]], weights=np.repeat(value[lo:hi], sizes[lo:hi]), minlength=len(used))
+        return total
+
+    value = ratio[used].astype(np.float64)
     # Start from naive Bayes shrunk, then accelerated gradient steps with per-feature scaling.
     w = np.zeros(len(used))
-    scale = np.bincount(column, weights=value**2 * weight[doc], minlength=len(used)) * 0.25 + PENALTY
+    scale = value**2 * by_feature(weight) * 0.25 + PENALTY
     velocity = np.zeros_like(w)
     bias_velocity, n = 0.0, weight.sum()
     for step in range(STEPS):
-        margin = bias + np.bincount(doc, weights=value * w[column], minlength=len(rows))
+        margin = bias + by_text(value * w)
         error = weight * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - toxic)
-        gradient = np.bincount(column, weights=value * error[doc], minlength=len(used)) + PENALTY * w
+        gradient = value * by_feature(error) + PENALTY * w
         velocity = 0.9 * velocity - 0.05 * gradient / scale
         bias_velocity = 0.9 * bias_velocity - 0.2 * error.sum() / n
         w += velocity
@@ -144,16 +167,20 @@ def train(docs: DataFrame, labels: DataFrame, orders: tuple[int, ...] = ORDERS,
     p = [(counts[k] + SMOOTHING) / (sizes.get(k, 0) + 2 * SMOOTHING) for k in (0, 1)]
     ratio = np.log(p[1] / p[0])
     strength = evidence(counts, np.array([sizes.get(k, 0) for k in (0, 1)], np.float64))
-    least = max(LEAST_EVIDENCE, float(np.partition(strength, -MOST_FEATURES)[-MOST_FEATURES]))
-    used = strength >= least
+    used = strength >= LEAST_EVIDENCE
     del strength
     send = spark.sparkContext.broadcast(used)
     # A bounded sample of each class: the smallest hashes of the ids.
     some = [marked.select("doc_id", "toxic").filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     some = common.beside(some[0].unionByName(some[1]).select("doc_id").distinct(), "toxic-sample")
-    sample = marked.join(some, "doc_id", "left_semi").select("text", "toxic").mapInArrow(_sample_rows(orders, send), "toxic int, features binary").collect()
-    toxic = np.array([r["toxic"] for r in sample], np.float64)
-    rows = [np.frombuffer(r["features"], "<i4") for r in sample]
+    sample = marked.join(some, "doc_id", "left_semi").select("text", "toxic").mapInArrow(_sample_rows(orders, send), "toxic int, features binary")
+    # One part of the written sample at a time: the driver's JVM never holds all of it.
+    sample = common.written(sample, "toxic-rows").toLocalIterator()
+    toxic, rows = [], []
+    for r in sample:
+        toxic.append(r["toxic"])
+        rows.append(np.frombuffer(r["features"], "<i4"))
+    toxic = np.array(toxic, np.float64)
     # Both classes count as often as they do among all training rows.
     share = {k: sizes.get(k, 0) / max(1, int((toxic == k).sum())) for k in (0, 1)}
     weight = np.array([share[int(t)] for t in toxic])

@@ -1,11 +1,11 @@
-"""Whole results where an operator once did less: batch borders, several tiles."""
+"""Whole results where an operator once did less: batch borders, several tiles, many features."""
 
 import random
 
 import numpy as np
 import pytest
 
-from odorframe.llm import near, perplexity, suffixes
+from odorframe.llm import near, perplexity, suffixes, toxicity
 
 
 def prose(r, n):
@@ -57,3 +57,25 @@ def test_bucket_of_unlinked_rows_over_several_tiles(spark, tmp_path, monkeypatch
     docs = stored(spark, tmp_path, rows, "doc_id long, text string")
     got = near.classes(docs).collect()
     assert sorted(x["class_id"] for x in got) == list(range(16))
+
+
+def test_every_feature_with_evidence_counts(spark, tmp_path):
+    r = random.Random(14)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 400)]
+    said = ["".join(r.choice(letters) for _ in range(6000)) for _ in range(2)]
+    docs = stored(spark, tmp_path, [(i, said[i % 2][: 6000 - 1000 * min(i // 2 % 5, 3)]) for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    coefficient, _ = toxicity.train(docs, labels)
+    # The first 3,000 characters of a class have some 6,000 n-grams, in all its texts; the next 1,000
+    # have 2,000 in about three of five texts, the next 1,000 in two of five, the last in one of five.
+    assert np.count_nonzero(coefficient) > 15_000
+
+
+def test_fit_by_lots_is_the_same(monkeypatch):
+    r = np.random.default_rng(15)
+    rows = [np.sort(r.choice(500, n, replace=False)).astype("<i4") for n in r.integers(0, 60, 80)]
+    toxic, ratio, weight = r.integers(0, 2, 80).astype(float), r.normal(size=500), np.ones(80)
+    whole = toxicity.fit(rows, toxic, ratio, weight)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 50)
+    lots = toxicity.fit(rows, toxic, ratio, weight)
+    assert np.allclose(whole[0], lots[0]) and np.isclose(whole[1], lots[1])
