@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from odorframe.llm import common
 
-ORDER = 4
+ORDER = 5
 # Text bytes of one block: bounds a task's memory and the rows of a co-group.
 BLOCK_BYTES = 6 << 20
 # Characters whose n-grams are hashed at once.

@@ -79,3 +79,11 @@ def test_fit_by_lots_is_the_same(monkeypatch):
     monkeypatch.setattr(toxicity, "AT_ONCE", 50)
     lots = toxicity.fit(rows, toxic, ratio, weight)
     assert np.allclose(whole[0], lots[0]) and np.isclose(whole[1], lots[1])
+
+
+def test_default_model_sees_four_characters_back(spark, tmp_path):
+    # What ends a text is told by its first character alone, four places before.
+    texts = ["1xyz1", "2xyz2"] * 40 + ["1xyz2"]
+    docs = stored(spark, tmp_path, list(enumerate(texts)), "row long, text string")
+    got = {x["row"]: x["perplexity"] for x in perplexity.score(docs, docs.filter("row < 80")).collect()}
+    assert got[80] > 1.3 * got[0]
