@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from odorframe.llm import exact, licences, lines, near, packing, perplexity, pieces, rules, suffixes, toxicity
+from odorframe.llm import exact, leaks, licences, lines, near, packing, perplexity, pieces, rules, runs, spelling, suffixes, toxicity
 from odorframe.llm.common import table
 
 
@@ -68,6 +68,26 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of words of every document, a tenth of them made periodic first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return runs.digests(runs.periodic_runs(docs.withColumn("text", runs.repeated(F.col("text"), F.col("doc_id")))))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of all documents with its near words, its form and its root; one run in 199 is misspelt first."""
+    return spelling.variants(table(spark, sf_dir, "documents"), drop_every=199).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document that stand in a window of a benchmark item, and the items."""
+    found = leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -91,6 +111,12 @@ Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_decontamination": op13_decontamination,
 }
 
-SQL: dict[str, str] = {"op1_license_scan": licences.oracle_sql(), "op3_line_dedup": lines.SQL, "op8_exact_dedup": OP8_SQL}
+SQL: dict[str, str] = {
+    "op1_license_scan": licences.oracle_sql(), "op3_line_dedup": lines.SQL, "op8_exact_dedup": OP8_SQL,
+    "op11_periodic_runs": runs.SQL, "op12_spelling_variants": spelling.SQL, "op13_decontamination": leaks.SQL,
+}
