@@ -1,24 +1,13 @@
-"""Classifiers: neighbour vote as a join, the others from Spark ML."""
+"""Classifiers: neighbour vote as a join, the others as fits keyed by run."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    LinearSVC,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    OneVsRest,
-    RandomForestClassifier,
-)
-from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from odorframe.operators import fits
 from odorframe.operators.neighbors import knn_join
-from odorframe.session import cut_lineage
 
 # The parameter spaces searched per model.
 C_GRID = [0.001, 0.01, 0.1, 1.0, 10.0, 100.0]
@@ -46,10 +35,6 @@ SPACES: dict[str, list[dict[str, list]]] = {
     "LogisticRegression": [{"C": C_GRID, "penalty": ["l2", None], "solver": ["lbfgs"]}],
     "RNN": [{"hidden_size": [32, 64, 128], "epochs": [20, 50], "lr": [0.001, 0.0001]}],
 }
-SEED = 42
-MAX_ITER = 100
-MAX_DEPTH = 30
-FEW_VALUES = 1_000_000
 
 
 # --- neighbour vote -------------------------------------------------------------------
@@ -110,7 +95,7 @@ def knn_classify(
     return predicted.join(test.select(*run, "probe_id", "label"), [*run, "probe_id"])
 
 
-# --- Spark ML models ------------------------------------------------------------------
+# --- fitted models: see fits ----------------------------------------------------------
 
 
 def label_index(labels: DataFrame) -> StringIndexerModel:
@@ -118,83 +103,29 @@ def label_index(labels: DataFrame) -> StringIndexerModel:
     return StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc").fit(labels)
 
 
-def with_features(rows: DataFrame) -> DataFrame:
-    """``v`` as an ML vector."""
-    return rows.withColumn("features", array_to_vector("v"))
-
-
-def _forest(params: dict, n: int, dim: int, classes: int):
-    return RandomForestClassifier(
-        numTrees=params.get("n_estimators", 100),
-        maxDepth=min(MAX_DEPTH, params.get("max_depth") or MAX_DEPTH),
-        minInstancesPerNode=max(params.get("min_samples_leaf", 1), (params.get("min_samples_split", 2) + 1) // 2 - 1, 1),
-        seed=SEED,
-        labelCol="target",
-    )
-
-
-def _svc(params: dict, n: int, dim: int, classes: int):
-    reg = 1.0 / (params.get("C", 1.0) * n)
-    inner = LinearSVC(regParam=reg, maxIter=params.get("max_iter", MAX_ITER), standardization=False)
-    return OneVsRest(classifier=inner, labelCol="target", parallelism=4)
-
-
-def _logistic(params: dict, n: int, dim: int, classes: int):
-    reg = 0.0 if "penalty" in params and params["penalty"] is None else 1.0 / (params.get("C", 1.0) * n)
-    return LogisticRegression(
-        regParam=reg, maxIter=MAX_ITER, family="multinomial", standardization=False, labelCol="target"
-    )
-
-
-def _perceptron(params: dict, n: int, dim: int, classes: int):
-    return MultilayerPerceptronClassifier(
-        layers=[dim, params.get("hidden_size", 64), classes],
-        maxIter=params.get("epochs", 10) * 10,
-        seed=SEED,
-        labelCol="target",
-    )
-
-
-Factory = Callable[[dict, int, int, int], object]
-_FACTORIES: dict[str, Factory] = {
-    "RandomForest": _forest,
-    "LinearSVC": _svc,
-    "LogisticRegression": _logistic,
-    "RNN": _perceptron,
-}
+def model_names() -> list[str]:
+    return ["KNN", *fits.SOLVERS]
 
 
-def register(name: str, factory: Factory, space: list[dict[str, list]]) -> None:
-    """Adds a model: ``factory(params, rows, dimensions, classes) -> estimator``, and its space."""
-    _FACTORIES[name] = factory
+def register(name: str, solver, space: list[dict[str, list]]) -> None:
+    """Adds a model (see :func:`fits.register`) and the space its settings are drawn from."""
+    fits.register(name, solver)
     SPACES[name] = space
 
 
-def model_names() -> list[str]:
-    return ["KNN", *_FACTORIES]
-
-
-def fit(name: str, train: DataFrame, params: dict | None = None, indexer: StringIndexerModel | None = None) -> PipelineModel:
-    """Fits a registered Spark ML model on ``label, v`` rows, written once for the passes of the fit."""
-    rows = cut_lineage(with_features(train).select("label", "v", "features"))
-    indexer = indexer or label_index(rows)
-    n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-    classes = len(indexer.labels)
-    if n * dim <= FEW_VALUES:
-        # An iteration over few rows costs its tasks, not its rows.
-        rows = rows.coalesce(1)
-    model = _FACTORIES[name](params or {}, n, dim, classes)
-    back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=indexer.labels)
-    return Pipeline(stages=[indexer, model, back]).fit(rows)
+def settings_for(runs: DataFrame, run: list[str], params: dict | None = None) -> DataFrame:
+    """``run..., candidate, fold, params``: one setting, the same for every run."""
+    flat = [F.lit(x) for k, v in (params or {}).items() for x in (k, None if v is None else str(v))]
+    made = F.create_map(*flat) if flat else F.create_map()
+    none = F.lit(None).cast("int").alias("fold")
+    return runs.select(*run).distinct().select(*run, F.lit(0).alias("candidate"), none, made.cast("map<string,string>").alias("params"))
 
 
-def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Adds ``prediction`` as a label, and ``probability`` where the model has one.
+def classify(name: str, train: DataFrame, test: DataFrame, run: list[str], params: dict | None = None) -> DataFrame:
+    """All runs at once: ``run..., candidate, fold, probe_id, label, prediction, predict_seconds`` for ``test``.
 
-    Rows with a label the training set lacks are scored like any other.
+    ``train`` and ``test``: ``run..., row_id, label, v``.
     """
-    stages = model.stages[1:]
-    out = with_features(rows)
-    for stage in stages:
-        out = stage.transform(out)
-    return out.drop("prediction", "features", "rawPrediction").withColumnRenamed("predicted_label", "prediction")
+    blocks = fits.pack(train, run)
+    found = fits.fit(name, blocks, settings_for(blocks, run, params), run)
+    return fits.predict(name, found, fits.pack(test, run), run)

@@ -5,14 +5,14 @@ from __future__ import annotations
 import itertools
 import json
 import math
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from odorframe.functions.draws import key_hash
 from odorframe.functions.ranking import number_rows
-from odorframe.operators import evaluate, models
+from odorframe.operators import fits, models
 from odorframe.operators.neighbors import knn_join
 from odorframe.session import cut_lineage
 
@@ -80,15 +80,14 @@ def _log_floor(value: int, base: int) -> int:
     return n
 
 
-def halving_knn(
-    rows: DataFrame, run: list[str], space: DataFrame, seed: int = 42, factor: int = FACTOR
-) -> DataFrame:
-    """Best neighbour-vote setting per run: ``run..., candidate, params, accuracy, n_rows``.
+Rung = Callable[[DataFrame, list[str], DataFrame], DataFrame]
 
-    ``rows``: ``run..., row_id, cv_k, cv_fold, label, v``; ``space`` from
-    :func:`candidates`. All runs, folds and candidates of a rung share two neighbour
-    joins (one per metric): the list for the largest k holds the lists for all smaller
-    ones. Rung sizes follow :func:`rungs`, per run.
+
+def _halving(rows: DataFrame, run: list[str], space: DataFrame, rung: Rung, seed: int, factor: int, history: list[DataFrame] | None) -> DataFrame:
+    """The rungs of all runs; ``rung(rows, run, settings)`` gives ``run..., candidate, __acc``.
+
+    A rung's rows, scores and survivors are tables keyed by run; ``history`` receives the scored
+    candidates of each rung.
     """
     ranked = cut_lineage(number_rows(rows, key_hash(seed, "rung", *run, "row_id"), tie="row_id", partition=run))
     sizes = ranked.groupBy(*run).agg(
@@ -105,16 +104,20 @@ def halving_knn(
         # A run goes on while its rows allow another tripling; the first rung always runs.
         going = F.lit(i == 0) | (F.col("__first") * factor**i <= F.col("__rows"))
         now = alive.filter(going)
+        if i and now.isEmpty():
+            break
         wanted = now.groupBy(*run).agg(F.first(resources).alias("__take"))
         part = cut_lineage(ranked.join(wanted, run).filter(F.col("rank") <= F.col("__take")).drop("__take", "rank"))
-        scored = _knn_rung(part, run, now.select(*run, "candidate", "params"))
+        scored = rung(part, run, now.select(*run, "candidate", "params"))
         place = F.row_number().over(per_run.orderBy(F.desc("__acc"), "candidate"))
         total = F.count("*").over(per_run)
+        # A run whose folds leave nothing to learn from scores 0 and stays.
+        scored = now.join(scored, [*run, "candidate"], "left").withColumn("__acc", F.coalesce("__acc", F.lit(0.0)))
+        if history is not None:
+            scored = cut_lineage(scored)
+            history.append(scored.select(*run, "candidate", F.col("__acc").alias("accuracy"), resources.alias("n_rows")))
         kept = (
-            # A run whose folds leave nothing to vote with scores 0 and stays.
-            now.join(scored, [*run, "candidate"], "left")
-            .withColumn("__acc", F.coalesce("__acc", F.lit(0.0)))
-            .withColumn("accuracy", F.col("__acc"))
+            scored.withColumn("accuracy", F.col("__acc"))
             .withColumn("n_rows", resources)
             .withColumn("__place", place)
             .withColumn("__total", total)
@@ -126,6 +129,41 @@ def halving_knn(
     return alive.withColumn("__b", best).filter(F.col("__b") == 1).select(*run, "candidate", "params", "accuracy", "n_rows")
 
 
+def halving_knn(
+    rows: DataFrame, run: list[str], space: DataFrame, seed: int = 42, factor: int = FACTOR, history: list[DataFrame] | None = None
+) -> DataFrame:
+    """Best neighbour-vote setting per run: ``run..., candidate, params, accuracy, n_rows``.
+
+    ``rows``: ``run..., row_id, cv_k, cv_fold, label, v``; ``space`` from
+    :func:`candidates`. All runs, folds and candidates of a rung share two neighbour
+    joins (one per metric): the list for the largest k holds the lists for all smaller
+    ones. Rung sizes follow :func:`rungs`, per run.
+    """
+    return _halving(rows, run, space, _knn_rung, seed, factor, history)
+
+
+def halving_fits(
+    model: str, rows: DataFrame, run: list[str], space: DataFrame, seed: int = 42, factor: int = FACTOR, history: list[DataFrame] | None = None
+) -> DataFrame:
+    """The same for a fitted model: a rung is one table of fits, run x candidate x fold.
+
+    A candidate that can't be fitted on a fold scores 0 there.
+    """
+
+    def rung(part: DataFrame, run: list[str], settings: DataFrame) -> DataFrame:
+        blocks = fits.pack(part, run)
+        folds = part.groupBy(*run).agg(F.first("cv_k").alias("__k"))
+        asked = settings.join(folds, run).withColumn("fold", F.explode(F.sequence(F.lit(1), F.col("__k")))).drop("__k")
+        found = fits.fit(model, blocks, asked, run)
+        hits = fits.predict(model, found, blocks, run).groupBy(*run, "candidate", "fold").agg(
+            F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("__a")
+        )
+        every = asked.select(*run, "candidate", "fold").join(hits, [*run, "candidate", "fold"], "left")
+        return every.groupBy(*run, "candidate").agg(F.avg(F.coalesce("__a", F.lit(0.0))).alias("__acc"))
+
+    return _halving(rows, run, space, rung, seed, factor, history)
+
+
 def predict_settings(
     probe: DataFrame, build: DataFrame, key: list[str], run: list[str], settings: DataFrame, most: int = MOST_NEIGHBORS
 ) -> DataFrame:
@@ -167,39 +205,3 @@ def _knn_rung(rows: DataFrame, run: list[str], space: DataFrame) -> DataFrame:
         F.avg((F.col("prediction") == F.col("truth")).cast("double")).alias("__a")
     )
     return hits.groupBy(*run, "candidate").agg(F.avg("__a").alias("__acc"))
-
-
-def halving_ml(
-    name: str, rows: DataFrame, space: list[dict], k: int, seed: int = 42, parallelism: int = 4, factor: int = FACTOR
-) -> tuple[dict, list[tuple[int, int, dict, float]]]:
-    """Successive halving for one run of a Spark ML model: best setting and every score.
-
-    ``rows``: ``row_id, cv_fold, label, v``. Each fit is a distributed job; a few run
-    side by side. A single setting is the best one without a fit.
-    """
-    if len(space) == 1:
-        return space[0], []
-    n, classes = rows.agg(F.count("*"), F.count_distinct("label")).first()
-    ranked = cut_lineage(number_rows(rows, key_hash(seed, "rung", "row_id"), tie="row_id"))
-    indexer = models.label_index(ranked)
-    history: list[tuple[int, int, dict, float]] = []
-    left = list(space)
-    for rung, (count, take) in enumerate(rungs(len(space), n, k, classes, factor)):
-        part = ranked.filter(F.col("rank") <= take)
-
-        def score(params: dict) -> float:
-            parts = []
-            for fold in range(1, k + 1):
-                model = models.fit(name, part.filter(F.col("cv_fold") != fold), params, indexer)
-                parts.append(models.predict(model, part.filter(F.col("cv_fold") == fold)).select("label", "prediction"))
-            every = parts[0]
-            for p in parts[1:]:
-                every = every.unionByName(p)
-            return evaluate.scores(every, []).first()["accuracy"]
-
-        with ThreadPoolExecutor(parallelism) as pool:
-            scores = list(pool.map(score, left[:count]))
-        history += [(rung, take, c, s) for c, s in zip(left, scores)]
-        order = sorted(range(len(scores)), key=lambda i: (-scores[i], i))
-        left = [left[i] for i in order[: math.ceil(len(scores) / factor)]]
-    return left[0], history

@@ -6,14 +6,12 @@ carry the key, and every step works per key in one plan.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odorframe.operators import augment, evaluate, models, oversample, scale, shape, split, tune
+from odorframe.operators import augment, evaluate, fits, models, oversample, scale, shape, split, tune
 from odorframe.operators.mixture import LATENT_MIN_ROWS
 from odorframe.plans.grid import BASELINES, METHOD_MIN_SEEDS
 from odorframe.session import cut_lineage, small_side
@@ -155,68 +153,57 @@ def tune_knn_runs(seeds: DataFrame, unit: str, seed: int = 42) -> DataFrame:
     return tune.halving_knn(cv_rows(seeds, unit, seed), RUN, space, seed)
 
 
-def run_keys(table: DataFrame) -> list[dict]:
-    """The runs of a table: at most folds x selections x seed sizes."""
-    return [r.asDict() for r in table.select(*RUN).distinct().orderBy(*RUN).collect()]
+def _unit(name: str, unit: str) -> str:
+    """Recurrent nets read whole sequences, whatever the others read."""
+    return "sequence" if name == "RNN" else unit
 
 
-def _only(rows: DataFrame, key: dict) -> DataFrame:
-    for c, v in key.items():
-        rows = rows.filter(F.col(c) == v)
-    return rows.drop(*key)
+def _channels(name: str, settings: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Tells a recurrent net how a flat sequence is cut into channels."""
+    if name != "RNN":
+        return settings
+    channels = F.create_map(F.lit("channels"), F.lit(str(seqs.select(F.size("x")).first()[0])))
+    return settings.withColumn("params", F.map_concat(F.map_filter("params", lambda k, _: k != "channels"), channels))
 
 
-def tune_ml_runs(name: str, seeds: DataFrame, unit: str, seed: int = 42, candidates: int = tune.N_CANDIDATES, parallelism: int = 4) -> dict[tuple, dict]:
-    """The best setting of a Spark ML model for every run, by successive halving on its seeds."""
-    rows = cut_lineage(cv_rows(seeds, unit, seed))
-    folds = {tuple(r[:-1]): r[-1] for r in rows.groupBy(*RUN).agg(F.max("cv_k")).collect()}
-    keys = run_keys(seeds)
-    drawn = tune.candidates(seeds.select(*RUN).distinct(), RUN, name, candidates, seed).collect()
-    space: dict[tuple, list[dict]] = {}
-    settings = tune.combinations(models.SPACES[name])
-    for r in sorted(drawn, key=lambda r: r["place"]):
-        space.setdefault(tuple(r[c] for c in RUN), []).append(settings[r["candidate"]])
+def tune_fit_runs(name: str, seeds: DataFrame, unit: str, seed: int = 42, candidates: int = tune.N_CANDIDATES) -> DataFrame:
+    """``run..., candidate, params, accuracy, n_rows``: the best setting of a fitted model for every run.
 
-    def best(key: dict) -> dict:
-        run = tuple(key.values())
-        if folds[run] < 2:
-            return {}
-        return tune.halving_ml(name, _only(rows, key).drop("cv_k"), space[run], folds[run], seed, 1)[0]
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        return dict(zip((tuple(k.values()) for k in keys), pool.map(best, keys)))
+    Recurrent nets are not searched: every run keeps the default setting.
+    """
+    if name == "RNN":
+        plain = _channels(name, models.settings_for(seeds, RUN), seeds)
+        return plain.select(*RUN, "candidate", "params", F.lit(None).cast("double").alias("accuracy"), F.lit(0).cast("bigint").alias("n_rows"))
+    space = tune.candidates(seeds.select(*RUN).distinct(), RUN, name, candidates, seed)
+    return tune.halving_fits(name, cv_rows(seeds, unit, seed), RUN, space, seed)
 
 
-def ml_runs(
+def fit_runs(
     name: str,
     train: DataFrame,
     test: DataFrame,
     unit: str,
-    settings: dict[tuple, dict] | None = None,
+    settings: DataFrame | None = None,
     cap: int = 100_000,
     seed: int = 42,
-    parallelism: int = 4,
-) -> list[dict]:
-    """One row per run of a Spark ML model: run..., accuracy, f1, params, fit_seconds, predict_seconds.
+) -> DataFrame:
+    """One row per run of a fitted model: ``run..., n_test, accuracy, f1, params, fit_seconds, predict_seconds, error``.
 
-    Every fit is a distributed job over the rows of its run; a few run side by side. Beyond
-    ``cap`` training rows a run is sampled.
+    All runs are fitted in one plan, and scored in another. ``settings`` (``run..., params``) holds
+    each run's tuned parameters, else the defaults hold. Beyond ``cap`` training rows a run is
+    sampled. A run that can't be fitted has its error and no scores.
     """
-    rows = model_rows(train, unit, [ID, "copy"], "build_id")
+    rows = model_rows(train, _unit(name, unit), [ID, "copy"], "row_id")
     if (rows.groupBy(*RUN).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > cap:
-        rows = split.cap_rows(rows, ["build_id"], cap, seed, RUN)
-    rows = cut_lineage(rows)
-    probes = model_rows(test, unit, [ID], "probe_id")
-
-    def one(key: dict) -> dict:
-        params = (settings or {}).get(tuple(key.values()), {})
-        model, fit_seconds = evaluate.timed(lambda: models.fit(name, _only(rows, key), params))
-        predicted = models.predict(model, _only(probes, key)).select(LABEL, "prediction")
-        found, predict_seconds = evaluate.timed(evaluate.scores(predicted, []).collect)
-        return {**key, **found[0].asDict(), "params": json.dumps(params), "fit_seconds": fit_seconds, "predict_seconds": predict_seconds}
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        return list(pool.map(one, run_keys(rows)))
+        rows = split.cap_rows(rows, ["row_id"], cap, seed, RUN)
+    blocks = fits.pack(rows, RUN)
+    asked = models.settings_for(blocks, RUN) if settings is None else settings.select(*RUN, F.lit(0).alias("candidate"), F.lit(None).cast("int").alias("fold"), "params")
+    found = fits.fit(name, blocks, _channels(name, asked, train), RUN)
+    probes = fits.pack(model_rows(test, _unit(name, unit), [ID], "row_id"), RUN)
+    predicted = cut_lineage(fits.predict(name, found, probes, RUN))
+    scored = evaluate.scores(predicted, RUN).join(predicted.groupBy(*RUN).agg(F.sum("predict_seconds").alias("predict_seconds")), RUN)
+    told = found.select(*RUN, F.to_json("params").alias("params"), "fit_seconds", "error").join(scored, RUN, "left")
+    return told.select(*RUN, "n_test", "accuracy", "f1", "params", "fit_seconds", "predict_seconds", "error")
 
 
 def ledger_rows(
@@ -265,7 +252,6 @@ def run_experiment(
     model_names: tuple[str, ...] = ("KNN",),
     candidates: int = tune.N_CANDIDATES,
     write_outcomes: Callable[[DataFrame], None] | None = None,
-    parallelism: int = 4,
 ) -> list[tuple[str, int, str]]:
     """Runs of every model: baseline, tuned baseline, and every method and scale.
 
@@ -278,11 +264,12 @@ def run_experiment(
     why it has no ledger row, or was grown only in part. Returns the methods a generator refused
     for all runs; the others go on.
     """
-    spark = seqs.sparkSession
     seeds, test = run_tables(seqs, sizes, selections, k, seed)
     original = seeds.withColumn("copy", F.lit(0))
-    knn_settings = cut_lineage(tune_knn_runs(seeds, unit, seed)) if tuned and "KNN" in model_names else None
-    ml_settings = {m: tune_ml_runs(m, seeds, unit, seed, candidates, parallelism) for m in model_names if tuned and m != "KNN"}
+    best: dict[str, DataFrame] = {}
+    for model in model_names if tuned else ():
+        found = tune_knn_runs(seeds, unit, seed) if model == "KNN" else tune_fit_runs(model, seeds, unit, seed, candidates)
+        best[model] = cut_lineage(found)
     skipped = []
 
     def sets(method: str) -> Iterator[tuple[int, DataFrame]]:
@@ -295,37 +282,32 @@ def run_experiment(
         for factor in scales:
             yield factor, most.filter(F.col("copy") < factor)
 
-    def report(method: str, factor: int, model: str, done: DataFrame | None) -> None:
+    def report(method: str, factor: int, model: str, done: DataFrame | None, refusal: str | None = None) -> None:
         if write_outcomes is None:
             return
-        out = run_outcomes(seeds, method, factor)
-        seconds = done.select(*RUN, "fit_seconds", "predict_seconds") if done is not None else spark.createDataFrame([], ", ".join(OUTCOME.split(", ")[:3] + OUTCOME.split(", ")[-2:]))
-        named = out.join(seconds, RUN, "left").withColumns({"model": F.lit(model), "method": F.lit(method), "scale_factor": F.lit(factor)})
+        out = run_outcomes(seeds, method, factor) if refusal is None else seeds.select(*RUN).distinct().withColumn("outcome", F.lit(refusal))
+        if done is None:
+            told = out.withColumns({"fit_seconds": F.lit(None).cast("double"), "predict_seconds": F.lit(None).cast("double")})
+        else:
+            told = out.join(done.select(*RUN, "fit_seconds", "predict_seconds", "error"), RUN, "left").withColumn("outcome", F.coalesce("error", "outcome"))
+        named = told.withColumns({"model": F.lit(model), "method": F.lit(method), "scale_factor": F.lit(factor)})
         write_outcomes(named.select(*[c.split()[0] for c in OUTCOME.split(", ")]))
 
     def score(method: str, factor: int, train: DataFrame) -> None:
         for model in model_names:
-            plain = method == "Baseline" or not tuned
+            used = None if method == "Baseline" or not tuned else best[model]
             if model == "KNN":
-                used = None if plain else knn_settings
-                rows, seconds = evaluate.timed(knn_runs(train, test, unit, used, seed=seed).collect)
-                if not rows:
-                    report(method, factor, model, None)
-                    continue
-                each = seconds / len(rows)
-                scored = spark.createDataFrame([{**r.asDict(), "fit_seconds": 0.0, "predict_seconds": each} for r in rows])
-                params: Column = F.lit(DEFAULT_SETTING)
-                if used is not None:
+                scored, seconds = evaluate.timed(lambda: cut_lineage(knn_runs(train, test, unit, used, seed=seed)))
+                each = F.lit(float(seconds)) / F.greatest(F.lit(1), F.lit(scored.count()))
+                scored = scored.withColumns({"fit_seconds": F.lit(0.0), "predict_seconds": each, "error": F.lit(None).cast("string")})
+                if used is None:
+                    scored = scored.withColumn("params", F.lit(DEFAULT_SETTING))
+                else:
                     scored = scored.join(used.select(*RUN, F.to_json("params").alias("params")), RUN, "left")
-                    params = F.col("params")
             else:
-                found = ml_runs(model, train, test, unit, None if plain else ml_settings[model], seed=seed, parallelism=parallelism)
-                if not found:
-                    report(method, factor, model, None)
-                    continue
-                scored, params = spark.createDataFrame(found), F.col("params")
-            scored = scored.withColumns({c: F.col(c).cast("int") for c in RUN})
-            write(ledger_rows(scored, dataset, model, method, factor, params, F.col("fit_seconds") + F.col("predict_seconds")))
+                scored = cut_lineage(fit_runs(model, train, test, unit, used, seed=seed))
+            ended = scored.filter("accuracy is not null")
+            write(ledger_rows(ended, dataset, model, method, factor, F.col("params"), F.col("fit_seconds") + F.col("predict_seconds")))
             report(method, factor, model, scored)
 
     score("Baseline", 1, original)
@@ -336,15 +318,9 @@ def run_experiment(
             for factor, train in sets(method):
                 score(method, factor, train)
         except ValueError as problem:  # a generator's documented refusal
-            skipped += [(method, factor, str(problem).split("\n")[0]) for factor in scales]
+            told = str(problem).split("\n")[0]
+            skipped += [(method, factor, told) for factor in scales]
+            for factor in scales:
+                for model in model_names:
+                    report(method, factor, model, None, told)
     return skipped
-
-
-def score_model(
-    name: str, train: DataFrame, test: DataFrame, params: dict | None = None
-) -> tuple[DataFrame, float, float]:
-    """One run of a Spark ML model: (scores, fit seconds, predict seconds)."""
-    model, fit_seconds = evaluate.timed(lambda: models.fit(name, train, params))
-    scored = evaluate.scores(models.predict(model, test).select(LABEL, "prediction"), [])
-    rows, predict_seconds = evaluate.timed(scored.collect)
-    return train.sparkSession.createDataFrame(rows), fit_seconds, predict_seconds
