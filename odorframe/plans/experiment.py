@@ -178,6 +178,19 @@ def tune_fit_runs(name: str, seeds: DataFrame, unit: str, seed: int = 42, candid
     return tune.halving_fits(name, cv_rows(seeds, unit, seed), RUN, space, seed)
 
 
+def train_blocks(train: DataFrame, unit: str, cap: int = 100_000, seed: int = 42) -> DataFrame:
+    """The training rows of every run, packed; beyond ``cap`` rows a run is sampled. Models that read the same unit share them."""
+    rows = model_rows(train, unit, [ID, "copy"], "row_id")
+    if (rows.groupBy(*RUN).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > cap:
+        rows = split.cap_rows(rows, ["row_id"], cap, seed, RUN)
+    return fits.pack(rows, RUN)
+
+
+def test_blocks(test: DataFrame, unit: str) -> DataFrame:
+    """The held-out rows of every run, packed."""
+    return fits.pack(model_rows(test, unit, [ID], "row_id"), RUN)
+
+
 def fit_runs(
     name: str,
     train: DataFrame,
@@ -186,20 +199,19 @@ def fit_runs(
     settings: DataFrame | None = None,
     cap: int = 100_000,
     seed: int = 42,
+    blocks: DataFrame | None = None,
+    probes: DataFrame | None = None,
 ) -> DataFrame:
     """One row per run of a fitted model: ``run..., n_test, accuracy, f1, params, fit_seconds, predict_seconds, error``.
 
     All runs are fitted in one plan, and scored in another. ``settings`` (``run..., params``) holds
-    each run's tuned parameters, else the defaults hold. Beyond ``cap`` training rows a run is
-    sampled. A run that can't be fitted has its error and no scores.
+    each run's tuned parameters, else the defaults hold. ``blocks`` and ``probes`` are the packed
+    rows, where they are at hand. A run that can't be fitted has its error and no scores.
     """
-    rows = model_rows(train, _unit(name, unit), [ID, "copy"], "row_id")
-    if (rows.groupBy(*RUN).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > cap:
-        rows = split.cap_rows(rows, ["row_id"], cap, seed, RUN)
-    blocks = fits.pack(rows, RUN)
+    blocks = train_blocks(train, _unit(name, unit), cap, seed) if blocks is None else blocks
+    probes = test_blocks(test, _unit(name, unit)) if probes is None else probes
     asked = models.settings_for(blocks, RUN) if settings is None else settings.select(*RUN, F.lit(0).alias("candidate"), F.lit(None).cast("int").alias("fold"), "params")
     found = fits.fit(name, blocks, _channels(name, asked, train), RUN)
-    probes = fits.pack(model_rows(test, _unit(name, unit), [ID], "row_id"), RUN)
     predicted = cut_lineage(fits.predict(name, found, probes, RUN))
     scored = evaluate.scores(predicted, RUN).join(predicted.groupBy(*RUN).agg(F.sum("predict_seconds").alias("predict_seconds")), RUN)
     told = found.select(*RUN, F.to_json("params").alias("params"), "fit_seconds", "error").join(scored, RUN, "left")
@@ -266,11 +278,15 @@ def run_experiment(
     """
     seeds, test = run_tables(seqs, sizes, selections, k, seed)
     original = seeds.withColumn("copy", F.lit(0))
+    # Packed once, for all models that read the same unit.
+    units = sorted({_unit(m, unit) for m in model_names if m != "KNN"})
+    probes = {u: test_blocks(test, u) for u in units}
     best: dict[str, DataFrame] = {}
     for model in model_names if tuned else ():
         found = tune_knn_runs(seeds, unit, seed) if model == "KNN" else tune_fit_runs(model, seeds, unit, seed, candidates)
         best[model] = cut_lineage(found)
     skipped = []
+    outcomes: dict[tuple[str, int], DataFrame] = {}
 
     def sets(method: str) -> Iterator[tuple[int, DataFrame]]:
         params = (method_params or {}).get(method, {})
@@ -285,7 +301,9 @@ def run_experiment(
     def report(method: str, factor: int, model: str, done: DataFrame | None, refusal: str | None = None) -> None:
         if write_outcomes is None:
             return
-        out = run_outcomes(seeds, method, factor) if refusal is None else seeds.select(*RUN).distinct().withColumn("outcome", F.lit(refusal))
+        if refusal is None and (method, factor) not in outcomes:
+            outcomes[method, factor] = cut_lineage(run_outcomes(seeds, method, factor))
+        out = outcomes[method, factor] if refusal is None else seeds.select(*RUN).distinct().withColumn("outcome", F.lit(refusal))
         if done is None:
             told = out.withColumns({"fit_seconds": F.lit(None).cast("double"), "predict_seconds": F.lit(None).cast("double")})
         else:
@@ -294,6 +312,7 @@ def run_experiment(
         write_outcomes(named.select(*[c.split()[0] for c in OUTCOME.split(", ")]))
 
     def score(method: str, factor: int, train: DataFrame) -> None:
+        blocks = {u: train_blocks(train, u, seed=seed) for u in units}
         for model in model_names:
             used = None if method == "Baseline" or not tuned else best[model]
             if model == "KNN":
@@ -305,7 +324,7 @@ def run_experiment(
                 else:
                     scored = scored.join(used.select(*RUN, F.to_json("params").alias("params")), RUN, "left")
             else:
-                scored = cut_lineage(fit_runs(model, train, test, unit, used, seed=seed))
+                scored = cut_lineage(fit_runs(model, train, test, unit, used, seed=seed, blocks=blocks[_unit(model, unit)], probes=probes[_unit(model, unit)]))
             ended = scored.filter("accuracy is not null")
             write(ledger_rows(ended, dataset, model, method, factor, F.col("params"), F.col("fit_seconds") + F.col("predict_seconds")))
             report(method, factor, model, scored)
