@@ -360,12 +360,14 @@ def brute_kneser_ney(trusted, asked, order):
     return {g: math.log(p(g)) for g in asked}
 
 
-def test_kneser_ney_against_brute_force(spark, tmp_path):
+@pytest.mark.parametrize(("shard_bytes", "block_bytes"), [(32 << 20, 6 << 20), (400, 700)])
+def test_kneser_ney_against_brute_force(spark, tmp_path, monkeypatch, shard_bytes, block_bytes):
+    monkeypatch.setattr(perplexity, "BLOCK_BYTES", block_bytes)
     trusted = [t[:200] for t in list(texts_of(spark).values())[:25]]
     tested = [t[:120] for t in list(texts_of(spark).values())[25:40]] + ["ZZ%%", "", "e"]
     order, pad = 3, perplexity.PAD * 2
     docs = stored(spark, tmp_path, list(enumerate(tested)), "row long, text string")
-    got = perplexity.score(docs, spark.createDataFrame([(t,) for t in trusted], "text string"), order).collect()
+    got = perplexity.score(docs, spark.createDataFrame([(t,) for t in trusted], "text string"), order, shard_bytes).collect()
     logs = brute_kneser_ney(trusted, {(pad + t)[i : i + order] for t in tested for i in range(len(t))}, order)
     for x in got:
         t = tested[x["row"]]
