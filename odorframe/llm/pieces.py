@@ -37,6 +37,8 @@ WORD = f"{SPACE}?[^{SPACE}]{{1,{LONGEST_WORD}}}|{SPACE}"
 # What a byte of a character without a piece costs below the lowest score of a piece.
 BYTE_PENALTY = 10.0
 BLOCK_BYTES = 4 << 20
+# Words of a task whose edges are gathered in memory; Spark's own bound is 128, beyond which it sorts all edges on disk.
+WORDS_AT_ONCE = 150_000
 
 
 @dataclass
@@ -150,15 +152,19 @@ def _encode_block(key: tuple, texts: pd.DataFrame, words: pd.DataFrame) -> pd.Da
         ids = flat[np.repeat(first[codes] - ends + n, n) + np.arange(total)]
         out.append((int(row), int(doc_id) if doc_id else None, total, ids.astype("<u4").tobytes()))
     made = pd.DataFrame(out, columns=["row", "doc_id", "n_ids", "ids"])
-    return made.astype({"doc_id": "Int64"})
+    # From the list itself: a column of numbers and nulls would pass through doubles.
+    return made.assign(doc_id=pd.array([r[1] for r in out], dtype="Int64"))
 
 
 def encode(docs: DataFrame, model: Model | None = None, row: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: row, doc_id, n_ids, ids (little-endian unsigned 32-bit words).
 
     As SentencePiece does without further normalising: a space mark in front, one for each
-    space; a null or empty text has no ids. Characters without a piece become their bytes.
+    space; a null or empty text has no ids. Characters without a piece become their bytes. Rows that
+    repeat are encoded each; an empty table gives an empty one. Sets the session's bound for
+    gathering in memory, which Spark reads when the result is run.
     """
+    docs.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(WORDS_AT_ONCE))
     model = model or Model.load()
     blocks = common.blocks_for(docs, block_bytes)
     number = F.monotonically_increasing_id() if row is None else F.col(row)

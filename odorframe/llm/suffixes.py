@@ -137,7 +137,8 @@ def _live_seeds(hot_slices: int):
     return run
 
 
-_TEXTS = "run long, ids array<long>, lengths array<int>, body binary"
+# Ids travel as text: numbers and nulls in one list would come back as doubles.
+_TEXTS = "run long, ids array<string>, lengths array<int>, body binary"
 
 
 def _send_texts(limit: int):
@@ -148,7 +149,7 @@ def _send_texts(limit: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([(task << 32) + k], pa.int64()),
-                    pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                    pa.array([part.column("doc_id").cast(pa.string()).to_pylist()], pa.list_(pa.string())),
                     pa.array([np.diff(offsets).tolist()], pa.list_(pa.int32())),
                     pa.array([zlib.compress(data.tobytes(), 1)], pa.binary()),
                 ],
@@ -385,11 +386,11 @@ def _remove(as_text: bool):
             rest = data[~gone].tobytes()
             cut = offsets - total[offsets]
             for i, doc_id in enumerate(ids):
-                doc_id = None if doc_id != doc_id or doc_id is None else int(doc_id)
+                doc_id = None if doc_id is None else int(doc_id)
                 a, b, own = offsets[i], offsets[i + 1], rest[cut[i] : cut[i + 1]]
                 out.append((doc_id, b - a, total[b] - total[a], runs[b] - runs[a], own.decode("utf-8", "ignore") if as_text else own))
         made = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-        return made.astype({"doc_id": "Int64"})
+        return made.assign(doc_id=pd.array([r[0] for r in out], dtype="Int64"))
 
     return run
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from odorframe.llm import common, exact, licences, lines, near, packing, perplexity, pieces, rules, suffixes, toxicity
+from odorframe.llm import common, exact, licences, lines, near, packing, perplexity, pieces, rules, runs, suffixes, toxicity
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 # Names that operators use themselves.
@@ -68,9 +68,19 @@ PER_ROW = {
     "exact": lambda d, _: exact.deduplicate(d),
     "suffixes": lambda d, _: suffixes.remove_repeats(d),
     "perplexity": perplexity.classify,
+    "runs": lambda d, _: runs.periodic_runs(d),
 }
 
 
+def test_large_ids_beside_nulls(spark, tmp_path):
+    ids = [None, 2**60 + 1, 2**60 + 3, -(2**60) - 1, None, 5]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, "some words of text here") for i in ids], "doc_id long, text string").coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path)
+    for name in ("pieces", "suffixes", "runs"):
+        assert sorted((r[0] for r in PER_ROW[name](docs, None).select("doc_id").collect()), key=str) == sorted(ids, key=str)
+
+
 @pytest.mark.parametrize("name", sorted(PER_ROW))
 def test_one_row_per_document(awkward, labels, name):
     out = PER_ROW[name](awkward, labels).select("doc_id").collect()
