@@ -147,6 +147,8 @@ def _count_grams(order: int, shards: int):
             rows = [(k, packed(g.head[at]), packed(g.last[at]), packed(n[at].astype(np.int64))) for k, at in g.by_shard()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 3))], ["shard", "head", "last", "n"])
+            del g, n, rows
+            common.release()
 
     return run
 
@@ -156,6 +158,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Recor
     task = TaskContext.get().partitionId()
     for k, part in enumerate(common.slices(batches, "text", BLOCK_BYTES)):
         yield (task << 32) + k, part
+        common.release()
 
 
 _ASKED = "block long, shard long, head binary, last binary"
@@ -168,6 +171,7 @@ def _ask(order: int, shards: int):
             rows = [(block, k, packed(g.head[at]), packed(g.last[at])) for k, at in g.by_shard()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["block", "shard", "head", "last"])
+            del g, rows
 
     return run
 
