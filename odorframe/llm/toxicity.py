@@ -2,7 +2,9 @@
 
 A feature is the presence of a hashed n-gram in a text. Its ratio, the log of how much more
 often toxic texts have it, comes from all labelled training rows; a logistic regression on the
-scaled features is fitted to a bounded sample of them. Scoring is one pass without a shuffle.
+scaled features is fitted to a bounded sample of them. Ratios fit the texts they were counted on
+too well, so scores are calibrated on margins of models that didn't see the text: each fold of the
+training rows is judged by ratios and coefficients of the others. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,18 +21,23 @@ from pyspark.sql import functions as F
 
 from odorframe.llm import common
 
-ORDERS = (4, 5)
+ORDERS = (2, 3, 4, 6)
 FEATURES = 1 << 20
 # Labelled rows of each class that the regression sees at most (the ratios see all).
 SAMPLE_PER_CLASS = 4000
 # Features whose counts by class could be chance (likelihood ratio below this) carry no weight.
-LEAST_EVIDENCE = 16.0
+LEAST_EVIDENCE = 12.0
 # Entries of the sample's matrix that are summed at once: bounds the driver's temporary arrays.
 AT_ONCE = 1 << 20
 SMOOTHING = 1.0
 PENALTY = 1.0
 STEPS = 300
 THRESHOLD = 0.7
+# Parts of the training rows, each judged by a model of the others for the calibration.
+FOLDS = 3
+# In the calibration the rarer class counts (ratio of the sizes) to this power more; 1: as much as the other one.
+# This, the orders and the evidence were chosen on training rows alone (one fold fitted, another judged).
+BALANCE = 1.0
 SLICE_BYTES = 1 << 20
 
 
@@ -67,12 +74,12 @@ def features(column: pa.Array, orders: tuple[int, ...], used: np.ndarray | None
 
 def _count(orders: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, FEATURES), np.int64)
+        counts = np.zeros((FOLDS * 2, FEATURES), np.uint32)
         for part in common.slices(batches, "text", SLICE_BYTES):
             doc, feature = features(part.column("text"), orders)
-            toxic = part.column("toxic").to_numpy(zero_copy_only=False) > 0
-            for k in (0, 1):
-                counts[k] += np.bincount(feature[toxic[doc] == bool(k)], minlength=FEATURES)
+            group = part.column("fold").to_numpy(zero_copy_only=False) * 2 + (part.column("toxic").to_numpy(zero_copy_only=False) > 0)
+            for k in np.unique(group):
+                counts[k] += np.bincount(feature[group[doc] == k], minlength=FEATURES).astype(np.uint32)
         rows = list(common.cell_chunks(counts.reshape(-1)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))], ["chunk", "cells"])
@@ -86,7 +93,7 @@ def _sample_rows(orders: tuple[int, ...], used: Broadcast):
             doc, feature = features(part.column("text"), orders, used.value)
             cuts = np.searchsorted(doc, np.arange(part.num_rows + 1))
             bodies = [feature[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(bodies, pa.binary())], ["toxic", "features"])
+            yield pa.RecordBatch.from_arrays([part.column("fold"), part.column("toxic"), pa.array(bodies, pa.binary())], ["fold", "toxic", "features"])
 
     return run
 
@@ -154,38 +161,84 @@ def evidence(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def ratios(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Log-count ratio of each feature by (class, feature) counts and class sizes; 0 without enough evidence."""
+    p = [(counts[k].astype(np.float64) + SMOOTHING) / (sizes[k] + 2 * SMOOTHING) for k in (0, 1)]
+    return np.where(evidence(counts, sizes) >= LEAST_EVIDENCE, np.log(p[1] / p[0]), 0.0)
+
+
+def calibration(margin: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) of the logistic curve from margins to classes, by damped Newton steps."""
+    if not 0 < toxic.sum() < len(toxic):
+        return 1.0, 0.0
+    # Targets a little inside 0 and 1 keep the curve finite where the classes don't overlap.
+    n = toxic.sum()
+    target = np.where(toxic > 0, (n + 1) / (n + 2), 1 / (len(toxic) - n + 2))
+    x = np.stack([margin, np.ones(len(margin))])
+
+    def loss(at: np.ndarray) -> float:
+        z = at @ x
+        return float((weight * (np.logaddexp(0, z) - target * z)).sum())
+
+    at = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(at @ x, -30, 30)))
+        slope = (x * (weight * p * (1 - p))) @ x.T + 1e-9 * np.eye(2)
+        step, now = np.linalg.solve(slope, x @ (weight * (p - target))), loss(at)
+        while loss(at - step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        at = at - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(at[0]), float(at[1])
+
+
 def train(docs: DataFrame, labels: DataFrame, orders: tuple[int, ...] = ORDERS, per_class: int = SAMPLE_PER_CLASS) -> tuple[np.ndarray, float]:
-    """The model learned from the labelled rows that aren't held out."""
+    """The calibrated model learned from the labelled rows that aren't held out."""
     spark = docs.sparkSession
     known = labels.filter(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    known = common.beside(known, "toxic-labels")
+    known = common.beside(known.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")), "toxic-labels")
     marked = docs.select("doc_id", "text").join(known, "doc_id")
-    counts = common.sum_cells(marked.select("text", "toxic").mapInArrow(_count(orders), "chunk int, cells binary"), 2 * FEATURES)
-    counts = counts.reshape(2, FEATURES).astype(np.float32)
-    # Probabilities of presence among the texts of a class.
-    sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    p = [(counts[k] + SMOOTHING) / (sizes.get(k, 0) + 2 * SMOOTHING) for k in (0, 1)]
-    ratio = np.log(p[1] / p[0])
-    strength = evidence(counts, np.array([sizes.get(k, 0) for k in (0, 1)], np.float64))
-    used = strength >= LEAST_EVIDENCE
-    del strength
-    send = spark.sparkContext.broadcast(used)
+    counts = common.sum_cells(marked.select("text", "fold", "toxic").mapInArrow(_count(orders), "chunk int, cells binary"), FOLDS * 2 * FEATURES)
+    counts = counts.astype(np.uint32).reshape(FOLDS, 2, FEATURES)
+    sizes = np.zeros((FOLDS, 2))
+    for r in marked.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect():
+        sizes[r["fold"], r["toxic"]] = r["n"]
+    # One model without each fold, and the one of all.
+    ratio = [ratios(counts.sum(axis=0) - counts[k], sizes.sum(axis=0) - sizes[k]) for k in range(FOLDS)]
+    ratio.append(ratios(counts.sum(axis=0), sizes.sum(axis=0)))
+    del counts
+    send = spark.sparkContext.broadcast(np.any([r != 0 for r in ratio], axis=0))
     # A bounded sample of each class: the smallest hashes of the ids.
     some = [marked.select("doc_id", "toxic").filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     some = common.beside(some[0].unionByName(some[1]).select("doc_id").distinct(), "toxic-sample")
-    sample = marked.join(some, "doc_id", "left_semi").select("text", "toxic").mapInArrow(_sample_rows(orders, send), "toxic int, features binary")
+    sample = marked.join(some, "doc_id", "left_semi").select("text", "fold", "toxic").mapInArrow(_sample_rows(orders, send), "fold int, toxic int, features binary")
     # One part of the written sample at a time: the driver's JVM never holds all of it.
     sample = common.written(sample, "toxic-rows").toLocalIterator()
-    toxic, rows = [], []
+    fold, toxic, rows = [], [], []
     for r in sample:
+        fold.append(r["fold"])
         toxic.append(r["toxic"])
         rows.append(np.frombuffer(r["features"], "<i4"))
-    toxic = np.array(toxic, np.float64)
+    fold, toxic = np.array(fold, np.int64), np.array(toxic, np.float64)
     # Both classes count as often as they do among all training rows.
-    share = {k: sizes.get(k, 0) / max(1, int((toxic == k).sum())) for k in (0, 1)}
-    weight = np.array([share[int(t)] for t in toxic])
+    share = sizes.sum(axis=0) / [max(1, int((toxic == k).sum())) for k in (0, 1)]
+    weight = share[toxic.astype(np.int64)]
     weight = weight * len(weight) / weight.sum() if len(weight) else weight
-    return fit(rows, toxic, np.where(used, ratio, 0.0), weight)
+
+    def fitted(own: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+        return fit([rows[i][ratio[rows[i]] != 0] for i in own.tolist()], toxic[own], ratio, weight[own])
+
+    margin = np.zeros(len(rows))
+    for k in range(FOLDS):
+        coefficient, bias = fitted(np.flatnonzero(fold != k), ratio[k])
+        for i in np.flatnonzero(fold == k).tolist():
+            margin[i] = bias + coefficient[rows[i]].sum()
+    of_class = sizes.sum(axis=0)
+    more = (of_class[0] / of_class[1]) ** BALANCE if of_class.all() else 1.0
+    slope, shift = calibration(margin, toxic, weight * np.where(toxic > 0, more, 1.0))
+    coefficient, bias = fitted(np.arange(len(rows)), ratio[-1])
+    return coefficient * slope, bias * slope + shift
 
 
 def _score(orders: tuple[int, ...], model: Broadcast):

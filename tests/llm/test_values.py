@@ -204,6 +204,17 @@ def test_components_against_union(spark):
     assert got == {x: find(x) for x in list(parent)}
 
 
+# 5 near duplicates: draws
+
+
+def test_long_unrelated_texts_share_no_samples():
+    r = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 10**7, 400_000)) for _ in range(2)]
+    s = near.Shingles(pa.array(texts), 5)
+    _, drawn = near.signatures(s, s.times * 1.2, 36)
+    assert (drawn[0] == drawn[1]).mean() < 0.01
+
+
 # 6 toxicity
 
 
@@ -215,6 +226,41 @@ def test_toxicity_held_out(spark):
     assert area > 0.85
 
 
+def test_toxicity_recall_at_the_threshold(spark):
+    """Held-out rows of the larger table: nine of ten toxic ones found, one clean one in a hundred accused."""
+    out = queries.op6_toxicity(spark, "/root/testdata/sf0.1").join(common.table(spark, "/root/testdata/sf0.1", "labels"), "doc_id")
+    rows = out.filter("held_out and toxic is not null").select("predicted", "toxic").collect()
+    toxic, clean = ([x["predicted"] for x in rows if x["toxic"] == k] for k in (1, 0))
+    assert sum(toxic) >= 0.88 * len(toxic) and sum(clean) <= 0.015 * len(clean)
+
+
+def test_toxicity_ratios_by_hand():
+    """Ratios of a small corpus against sets of n-grams counted one by one."""
+    texts = ["you awful toad", "awful awful fool", "what awful soup", "a fine day", "one fine soup", "the day is fine"] * 6
+    toxic = np.array([1, 1, 1, 0, 0, 0] * 6)
+    doc, feature = toxicity.features(pa.array(texts), (2, 3))
+    counts = np.stack([np.bincount(feature[toxic[doc] == k], minlength=toxicity.FEATURES) for k in (0, 1)])
+    got = toxicity.ratios(counts, np.array([18, 18]))
+    for gram in ("awf", "ful", "fin", "so", "ay"):
+        (of,) = set(toxicity.features(pa.array([gram]), (len(gram),))[1].tolist())
+        n = [sum(gram in t for t, k in zip(texts, toxic) if k == c) for c in (0, 1)]
+        g = sum(2 * x * np.log(x / (sum(n) / 2)) for x in n if x) + sum(2 * (18 - x) * np.log((18 - x) / (18 - sum(n) / 2)) for x in n if x < 18)
+        want = np.log((n[1] + 1) / (n[0] + 1)) if g >= toxicity.LEAST_EVIDENCE else 0.0
+        assert abs(got[of] - want) < 1e-9
+
+
+def test_toxicity_calibration_recovers_the_curve():
+    r = np.random.default_rng(3)
+    margin = r.normal(0, 2, 20_000)
+    toxic = (r.random(20_000) < 1 / (1 + np.exp(-(1.5 * margin - 1)))).astype(float)
+    slope, shift = toxicity.calibration(margin, toxic, np.ones(20_000))
+    assert abs(slope - 1.5) < 0.1 and abs(shift + 1) < 0.1
+    # Classes that don't overlap, far out, and a single class.
+    slope, shift = toxicity.calibration(np.where(toxic > 0, 50.0, -50.0), toxic, np.ones(20_000))
+    assert 0 < slope < 10 and abs(shift) < 5
+    assert toxicity.calibration(margin, np.zeros(20_000), np.ones(20_000)) == (1.0, 0.0)
+
+
 def test_toxicity_learns_nothing_from_held_out_labels(spark):
     docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
     turned = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
