@@ -113,8 +113,30 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches into runs of rows of at most ``limit`` text bytes (one row at least)."""
+# What workers remember from task to task, by operator: a worker lives on and serves other operators next.
+_REMEMBERED: list[dict] = []
+
+
+def remembered() -> dict:
+    """A dictionary that lasts until a task of another operator begins in the worker."""
+    _REMEMBERED.append({})
+    return _REMEMBERED[-1]
+
+
+def forget(but: dict | None = None) -> None:
+    """Drops what other operators left in this worker, all but one's own."""
+    for kept in _REMEMBERED:
+        if kept is not but and kept:
+            kept.clear()
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int, keep: dict | None = None) -> Iterator[pa.RecordBatch]:
+    """Cuts record batches into runs of rows of at most ``limit`` text bytes (one row at least).
+
+    A task begins with it: what the worker remembers of other operators goes, ``keep`` stays.
+    """
+    forget(keep)
+    release()
     for batch in batches:
         if batch.num_rows == 0:
             continue

@@ -114,7 +114,7 @@ def _first_pass(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros((2, CELLS), np.int64)
-        for part in common.slices(batches, "text", SLICE_BYTES):
+        for part in common.slices(batches, "text", SLICE_BYTES, _DRAWS):
             s = Shingles(part.column("text"), size)
             for r, cells in enumerate(_cells(s.hash)):
                 sketch[r] += np.bincount(cells, minlength=CELLS)
@@ -144,7 +144,7 @@ def weights(s: Shingles, sketch: np.ndarray, n_docs: int) -> np.ndarray:
     return s.times * (1.0 + RARITY * np.round((whole - np.log1p(df)) / whole, 4))
 
 
-_DRAWS: dict[int, tuple[np.ndarray, ...]] = {}
+_DRAWS: dict[int, tuple[np.ndarray, ...]] = common.remembered()
 
 
 def _draws(samples: int) -> tuple[np.ndarray, ...]:
@@ -181,7 +181,7 @@ _SIGNED = "row long, keys array<long>, samples array<int>"
 
 def _sign(size: int, bands: int, rows: int, sketch: Broadcast, n_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, "text", SLICE_BYTES):
+        for part in common.slices(batches, "text", SLICE_BYTES, _DRAWS):
             s = Shingles(part.column("text"), size)
             have, drawn = signatures(s, weights(s, sketch.value, n_docs), bands * rows)
             keys = np.zeros((len(have), bands), np.uint64)
@@ -202,7 +202,7 @@ def _vectors(size: int, sketch: Broadcast, n_docs: int):
     """Per document its shingles (high half of the hash, ascending) and their weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, "text", SLICE_BYTES):
+        for part in common.slices(batches, "text", SLICE_BYTES, _DRAWS):
             s = Shingles(part.column("text"), size)
             w, bounds = weights(s, sketch.value, n_docs).astype(np.float32), s.bounds()
             high = (s.hash >> np.uint64(32)).astype(np.uint32)

@@ -146,7 +146,7 @@ class WordIds:
         return np.split(ids, np.cumsum(by_text)[:-1])
 
 
-_WORKER: dict[str, WordIds] = {}
+_WORKER: dict[str, WordIds] = common.remembered()
 
 
 def worker_ids(path: str) -> WordIds:
@@ -250,7 +250,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _pack(encoder: Callable[[], WordIds], capacity: int, end: int, pool_size: int, tolerance: int):
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         words = encoder()
-        for part in common.slices(batches, "text", SLICE_BYTES):
+        for part in common.slices(batches, "text", SLICE_BYTES, _WORKER):
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.encode(*common.utf8(part.column("text")))):
                 yield doc_id, np.append(ids, np.uint32(end))
 

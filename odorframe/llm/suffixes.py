@@ -49,7 +49,7 @@ def _slide(values: np.ndarray, width: int, pick: Callable) -> np.ndarray:
     return pick(out[:-rest], out[rest:]) if rest else out
 
 
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[str, np.ndarray] = common.remembered()
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
