@@ -224,6 +224,19 @@ def test_fits_over_several_blocks(spark, table, name):
         assert predictions(name, table.repartition(5), spark, block_values=150) == split
 
 
+def test_a_round_over_several_blocks_is_one_job(spark, table):
+    """No job more per round: states stay with the driver, blocks where they are."""
+    sc = spark.sparkContext
+    blocks = fits.pack(table.filter("run = 1"), ["run"], 150)
+    want = spark.createDataFrame([(1, c, None, {"C": str(c + 1.0)}) for c in range(3)], SETTING)
+    sc.setJobGroup("rounds", "rounds")
+    found = fits.fit("LogisticRegression", blocks, want, ["run"]).collect()
+    jobs = len(sc.statusTracker().getJobIdsForGroup("rounds"))
+    sc.setJobGroup("", "")
+    assert len(found) == 3 and all(r["error"] is None for r in found)
+    assert jobs < 2 * max(r["iterations"] for r in found) + 20
+
+
 def test_a_poisoned_run_is_told_and_the_others_go_on(spark, table):
     bad = [(4, 1, "a", [1.0, 2.0]), (4, 2, "b", [1.0]), (5, 1, "a", [1.0]), (5, 2, "a", [2.0]), (6, 1, "a", [float("nan")]), (6, 2, "b", [1.0]), (7, 1, None, [1.0]), (7, 2, "b", [2.0])]
     rows = table.drop("cv_fold").unionByName(spark.createDataFrame(bad, SCHEMA))
