@@ -295,14 +295,14 @@ SQL["merge_odd_headers"] = SQL["ledger_append"]
 
 
 def headers(spark, sf):
-    """How many ledger columns each result table names."""
+    """How many ledger columns each result table names; all files of a table have its header."""
     root = fresh_path(spark, "results")
     led = tb.ledger(spark, sf)
-    ledger_io.save_table(led.coalesce(1), f"{root}/whole_results.csv")
-    ledger_io.save_table(led.select("Dataset", F.lit(0).alias("Other")).coalesce(1), f"{root}/one_results.csv")
-    ledger_io.save_table(led.select(F.lit(0).alias("Other")).coalesce(1), f"{root}/none_results.csv")
+    ledger_io.save_table(led, f"{root}/whole_results.csv")
+    ledger_io.save_table(led.select("Dataset", F.lit(0).alias("Other")), f"{root}/one_results.csv")
+    ledger_io.save_table(led.select(F.lit(0).alias("Other")), f"{root}/none_results.csv")
     found = ledger_io.result_headers(spark, root)
-    return found.select(F.regexp_extract("file", "([a-z]+)_results", 1).alias("name"), F.size(F.filter("columns", lambda c: c.isNotNull())).alias("columns"), "known")
+    return found.select(F.regexp_extract("file", "([a-z]+)_results", 1).alias("name"), F.size(F.filter("columns", lambda c: c.isNotNull())).alias("columns"), "known").distinct()
 
 
 Q["result_headers"] = headers
