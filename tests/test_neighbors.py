@@ -74,3 +74,13 @@ def test_unknown_metric(spark):
     f = frame(spark, np.zeros((1, 1)), "probe_id")
     with pytest.raises(ValueError):
         knn_join(f, f.withColumnRenamed("probe_id", "build_id"), 1, metric="cosine")
+
+
+def test_copies_of_a_row_do_not_grow_with_the_rows():
+    """A row is sent once per opposite tile: about as many tiles for ten times the rows, within a task's memory."""
+    from odorframe.operators import neighbors
+
+    for rows in (100_000, 600_000, 1_900_000):
+        assert -(-rows // neighbors.tile_size(rows, 64)) <= 40
+    assert neighbors.tile_size(10**9, 64) * 64 <= neighbors.TILE_VALUES
+    assert neighbors.tile_size(500, 10**6) == neighbors.TILE_ROWS
