@@ -237,6 +237,19 @@ def test_a_round_over_several_blocks_is_one_job(spark, table):
     assert jobs < 2 * max(r["iterations"] for r in found) + 20
 
 
+def test_an_epoch_over_several_blocks_is_one_pass(spark, table):
+    """Jobs grow with the epochs, not with the steps."""
+    sc = spark.sparkContext
+    blocks = fits.pack(table.filter("run = 1"), ["run"], 150)
+    want = spark.createDataFrame([(1, 0, None, {"epochs": "3", "batch_size": "4", "hidden_size": "4"})], SETTING)
+    sc.setJobGroup("epochs", "epochs")
+    found = fits.fit("RNN", blocks, want, ["run"]).collect()
+    jobs = len(sc.statusTracker().getJobIdsForGroup("epochs"))
+    sc.setJobGroup("", "")
+    assert found[0]["error"] is None and found[0]["iterations"] > 40
+    assert jobs < 40
+
+
 def test_a_poisoned_run_is_told_and_the_others_go_on(spark, table):
     bad = [(4, 1, "a", [1.0, 2.0]), (4, 2, "b", [1.0]), (5, 1, "a", [1.0]), (5, 2, "a", [2.0]), (6, 1, "a", [float("nan")]), (6, 2, "b", [1.0]), (7, 1, None, [1.0]), (7, 2, "b", [2.0])]
     rows = table.drop("cv_fold").unionByName(spark.createDataFrame(bad, SCHEMA))
