@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyarrow import fs as arrow_fs
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,16 +29,58 @@ def _labelled(spark, sf):
     return pts.drop("label").join(first, "measurement_id").withColumnRenamed("measurement_id", "user")
 
 
-def _write_lines(df, line, path):
-    """One text file per measurement, lines in time order."""
-    (
-        df.select("kind", "user", "time", "seq", line.alias("line"))
-        .repartition("kind", "user")
-        .sortWithinPartitions("kind", "user", "time", "seq")
+def _escaped(value: str | None) -> str:
+    """A value as part of a folder name, as a partitioned write of Spark spells it."""
+    if not isinstance(value, str) or not value:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return "".join(f"%{ord(c):02X}" if c < " " or c in "\"#%'*/:=?\\\x7f{[]^" else c for c in value)
+
+
+def _write_lines(df, line, path, suffix="txt", header=None):
+    """One text file per measurement, lines in time order, after the header if there is one.
+
+    Tasks create the files themselves where Arrow knows the file system: Hadoop's local one starts
+    a process for every change of permissions, four a file. A file gets its name when it is complete.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    rows = df.select("kind", "user", F.lit(1).alias("place"), "time", "seq", line.alias("line"))
+    if header is not None:
+        heads = df.select("kind", "user").distinct().withColumn("place", F.lit(0)).withColumn("line", F.lit(header))
+        rows = rows.unionByName(heads, allowMissingColumns=True)
+    rows = (
+        rows.repartition(tasks, "kind", "user")
+        .sortWithinPartitions("kind", "user", "place", "time", "seq")
         .select("kind", "user", "line")
-        .write.partitionBy("kind", "user")
-        .text(path)
     )
+    try:
+        arrow_fs.FileSystem.from_uri(path)
+    except (ValueError, NotImplementedError, OSError):
+        rows.write.partitionBy("kind", "user").text(path)
+        return
+
+    def write(batches):
+        system, root = arrow_fs.FileSystem.from_uri(path)
+        now = out = None
+        files = 0
+
+        def close():
+            if out is not None:
+                out.close()
+                system.move(f"{root}/{now}/.part", f"{root}/{now}/part.{suffix}")
+
+        for batch in batches:
+            for (kind, user), part in batch.groupby(["kind", "user"], sort=False, dropna=False):
+                folder = f"kind={_escaped(kind)}/user={user}"
+                if folder != now:
+                    close()
+                    system.create_dir(f"{root}/{folder}", recursive=True)
+                    now, out, files = folder, system.open_output_stream(f"{root}/{folder}/.part"), files + 1
+                out.write("".join(f"{text or ''}\n" for text in part["line"]).encode())
+        close()
+        yield pd.DataFrame({"files": [files]})
+
+    rows.mapInPandas(write, "files long").agg(F.sum("files")).collect()
 
 
 _LAB = f"""WITH {tb.points_sql()},
@@ -122,12 +166,8 @@ SQL["raw_named_columns"] = f"""{_LAB} SELECT CAST(pos AS DOUBLE) AS "Time", fold
 def with_header(spark, sf):
     """Files with a header and their own time column; every file is one measurement."""
     path = fresh_path(spark, "csv")
-    (
-        _labelled(spark, sf)
-        .select("kind", "user", F.col("time").alias("Time [us]"), "value", "k")
-        .repartition("kind", "user")
-        .write.partitionBy("kind", "user").option("header", True).csv(path)
-    )
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("time", "value", "k")]
+    _write_lines(_labelled(spark, sf), F.concat_ws(",", *cells), path, "csv", "Time [us],value,k")
     schema = T.StructType(
         [T.StructField("Time [us]", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("k", T.DoubleType())]
     )

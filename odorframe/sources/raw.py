@@ -7,6 +7,8 @@ the row number inside its split plus the rows of the earlier splits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -73,41 +75,52 @@ def name_problem(profile: DatasetProfile) -> Column:
     return F.when(hidden, F.lit("hidden name")).when(~known, F.lit("suffix"))
 
 
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Reads begun inside list their files in a few tasks per core; by itself Spark takes one per path, up to 10,000."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def list_files(spark: SparkSession, root: str, levels: int = 1) -> DataFrame:
     """``file, Label, name`` of every file; no content is read.
 
     Names starting with ``.`` or ``_`` and files of zero bytes are already left out by
     Spark's file sources.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(glob_path(root, levels))
+    with few_listing_tasks(spark):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(glob_path(root, levels))
     return with_names(found.select(relative_path(source_path("path"), levels).alias("file")))
 
 
 def scan_lines(spark: SparkSession, root: str, profile: DatasetProfile, levels: int = 1) -> DataFrame:
-    """Non-blank lines ``file, Label, name, line, pos`` of the files the name filter lets through."""
-    text = (
-        spark.read.option("recursiveFileLookup", True).text(glob_path(root, levels))
-        .select(
-            relative_path(source_path(), levels).alias("file"),
-            F.col("_metadata.file_block_start").alias("__split"),
-            F.col("value").alias("line"),
-        )
-        .filter(F.col("line") != "")
-    )
-    text = with_names(text).filter(name_problem(profile).isNull())
+    """Non-blank lines ``file, Label, name, line, pos`` of the files the name filter lets through, written.
+
+    Every file is opened once, however often its lines are read again.
+    """
+    with few_listing_tasks(spark):
+        text = spark.read.option("recursiveFileLookup", True).text(glob_path(root, levels))
+    text = text.select(
+        relative_path(source_path(), levels).alias("file"),
+        F.col("_metadata.file_block_start").alias("__split"),
+        F.col("value").alias("line"),
+    ).filter(F.col("line") != "")
+    # A split is read by one task from front to back, so this id orders its lines without a gap.
+    text = with_names(text).filter(name_problem(profile).isNull()).withColumn("__at", F.monotonically_increasing_id())
+    text = cut_lineage(text)
     before = Window.partitionBy("file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = text.groupBy("file", "__split").agg(F.count("*").alias("__n")).select(
-        "file", "__split", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
+    splits = text.groupBy("file", "__split").agg(F.count("*").alias("__n"), F.min("__at").alias("__first")).select(
+        "file", "__split", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift")
     )
-    # A split is read by one task from front to back, so this id orders its lines;
-    # the id itself goes no further than that.
-    inside = Window.partitionBy("file", "__split").orderBy("__at")
     return (
-        text.withColumn("__at", F.monotonically_increasing_id())
-        .withColumn("__in", F.row_number().over(inside))
-        .join(splits, ["file", "__split"])
-        .withColumn("pos", (F.col("__before") + F.col("__in") - 1).cast("bigint"))
-        .drop("__split", "__at", "__in", "__before")
+        text.join(small_side(splits, 4), ["file", "__split"])
+        .withColumn("pos", (F.col("__at") + F.col("__shift")).cast("bigint"))
+        .drop("__split", "__at", "__shift")
     )
 
 
@@ -218,12 +231,9 @@ def read_labelled_csv(
     No row number is needed, so rows are scanned once and never shuffled; only the
     file names are numbered. A file with another header order fails loudly.
     """
-    scanned = (
-        spark.read.schema(schema)
-        .options(header=True, sep=profile.sep, enforceSchema=False, recursiveFileLookup=True)
-        .csv(glob_path(root, levels))
-        .withColumn("file", relative_path(source_path(), levels))
-    )
+    reader = spark.read.schema(schema).options(header=True, sep=profile.sep, enforceSchema=False, recursiveFileLookup=True)
+    with few_listing_tasks(spark):
+        scanned = reader.csv(glob_path(root, levels)).withColumn("file", relative_path(source_path(), levels))
     files = list_files(spark, root, levels).filter(name_problem(profile).isNull()).select("file", LABEL)
     out = scanned.join(small_side(number_files(files), 20), "file").select(MEASUREMENT, *schema.names, LABEL)
     out = normalise_time(out)

@@ -153,3 +153,30 @@ def test_arriving_files_are_added_once(spark, tmp_path):
     assert got.count() == 3 * 4 * 11 + 1
     assert {r["Label"] for r in got.select("Label").distinct().collect()} == set(LABELS)
     assert set(got.columns) == {"file", "Time", "s", "Label"}
+
+
+def test_lines_are_scanned_once(spark, tmp_path):
+    p = raw.with_sensors(PROFILES["Coffee"], ("a", "b"))
+    (tmp_path / "A").mkdir()
+    (tmp_path / "A" / "one.txt").write_text("0\t0\n\n1\t-1\n")
+    (tmp_path / "A" / "two.txt").write_text("5\t5\n")
+    lines = raw.scan_lines(spark, str(tmp_path), p)
+    assert sorted((r["name"], r["pos"]) for r in lines.collect()) == [("one.txt", 0), ("one.txt", 1), ("two.txt", 0)]
+    plan = raw.read_labelled_raw(spark, str(tmp_path), p)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "Window" not in plan
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_written_files_are_those_of_a_partitioned_write(spark, tmp_path, scheme):
+    from checks import files
+
+    rows = [("a/b=c %", 1, 2, 1, "late"), ("a/b=c %", 1, 1, 9, "early"), (None, 2, 1, 1, "é"), ("", 3, 1, 1, None), ("x", 1, 1, 1, "other")]
+    df = spark.createDataFrame(rows, "kind string, user bigint, time bigint, seq bigint, line string")
+    spark.createDataFrame(rows, df.schema).select("kind", "user", "line").write.partitionBy("kind", "user").text(str(tmp_path / "spark"))
+    files._write_lines(df, F.col("line"), scheme + str(tmp_path / "own"), "csv", "head")
+    folders = lambda root: {str(f.parent.relative_to(root)) for f in root.rglob("part*")}
+    assert folders(tmp_path / "own") == folders(tmp_path / "spark")
+    texts = sorted(f.read_text() for f in (tmp_path / "own").rglob("part*"))
+    assert texts == ["head\n\n", "head\nearly\nlate\n", "head\nother\n", "head\né\n"]
+    assert not [f for f in (tmp_path / "own").rglob("*") if f.name.startswith(".")]
