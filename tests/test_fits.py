@@ -237,6 +237,17 @@ def test_a_round_over_several_blocks_is_one_job(spark, table):
     assert jobs < 2 * max(r["iterations"] for r in found) + 20
 
 
+def test_rounds_of_linear_fits_are_no_queries(spark, table, monkeypatch):
+    """Each query leaves its plan and figures in the driver; rounds are plain jobs."""
+    blocks = fits.pack(table.filter("run = 1"), ["run"], 150)
+    want = spark.createDataFrame([(1, 0, None, {"C": "0.01", "loss": "hinge", "penalty": "l2"})], SETTING)
+    asked, collect = [], type(blocks).collect
+    monkeypatch.setattr(type(blocks), "collect", lambda df: asked.append(1) or collect(df))
+    found = collect(fits.fit("LinearSVC", blocks, want, ["run"]))
+    assert found[0]["error"] is None and found[0]["iterations"] > 20
+    assert len(asked) < 5
+
+
 def test_an_epoch_over_several_blocks_is_one_pass(spark, table):
     """Jobs grow with the epochs, not with the steps."""
     sc = spark.sparkContext
