@@ -180,3 +180,18 @@ def test_written_files_are_those_of_a_partitioned_write(spark, tmp_path, scheme)
     texts = sorted(f.read_text() for f in (tmp_path / "own").rglob("part*"))
     assert texts == ["head\n\n", "head\nearly\nlate\n", "head\nother\n", "head\né\n"]
     assert not [f for f in (tmp_path / "own").rglob("*") if f.name.startswith(".")]
+
+
+def test_a_merge_reads_no_other_files(spark, tmp_path):
+    """A damaged file beside the result tables, or below the old folder, is not opened."""
+    (tmp_path / "Old result").mkdir()
+    (tmp_path / "a%20b").mkdir()
+    head = ",".join(ledger_io.LEDGER_SCHEMA.names)
+    (tmp_path / "notes.gz").write_bytes(b"no archive")
+    (tmp_path / "Old result" / "old_results.csv").mkdir()
+    (tmp_path / "Old result" / "old_results.csv" / "part-0.gz").write_bytes(b"no archive")
+    (tmp_path / "a%20b" / "X_results.csv").write_text("\n" + head + "\nX,1,5,2,1,KNN,Baseline,0.5,0.4,p,1.5\n")
+    rows = ledger_io.merge_results(spark, str(tmp_path)).collect()
+    assert [(r["Dataset"], r["ExecutionTime_Sec"]) for r in rows] == [("X", 1.5)]
+    found = ledger_io.result_headers(spark, str(tmp_path)).collect()
+    assert [(r["file"].endswith("/a%20b/X_results.csv"), r["known"]) for r in found] == [(True, 11)]
