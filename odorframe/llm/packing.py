@@ -9,6 +9,7 @@ sums, length by length, and the counts are found by going back through the bitse
 
 from __future__ import annotations
 
+import os
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -42,6 +43,13 @@ MARK = "\x01"
 # aside), and their parts.
 PLAIN = regex.compile("[!-~À-ÖØ-öø-ÿ]+")
 SPECIAL = "<|"
+# Bytes of a plain word, an apostrophe aside (which may begin a part within a run of signs), and their kinds: letter, digit, sign.
+LETTER, DIGIT, SIGN = 1, 2, 3
+KIND = np.zeros(256, np.uint8)
+KIND[33:127] = SIGN
+KIND[[*range(48, 58)]] = DIGIT
+KIND[[*range(65, 91), *range(97, 123), 0xC3]] = LETTER
+KIND[ord("'")] = 0
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -79,14 +87,20 @@ class WordIds:
 
     For a vocabulary that drops white space, lowers case and splits at letters, digits and other
     signs (as ``word_bpe_49k`` does) a text's ids are its words' ids in a row, and a word of plain
-    Latin characters has those of its parts. Each distinct part is encoded once per worker; other
-    words are encoded whole.
+    Latin characters has those of its parts. These are cut from the bytes of many texts at once; each
+    distinct part is encoded once per worker. Other words are encoded whole, or cut one by one.
     """
 
     def __init__(self, path: str):
+        # A task has one core: threads of the library would take those of other tasks.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.words, self.parts = Table(), Table()
+        # Ids that end a part, if the vocabulary tells them apart.
+        suffix, vocabulary = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
 
     def _encode(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids, ids) of strings without white space or MARK: many as one text, marks between."""
@@ -99,6 +113,20 @@ class WordIds:
             flats.append(np.delete(ids, marks))
         return np.concatenate(counts), np.concatenate(flats)
 
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of parts of plain words, lower-cased: their ids tell where one ends."""
+        groups = [parts[i : i + GROUP] for i in range(0, len(parts), GROUP)]
+        counts, flats = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids])
+            count = np.diff(ends, prepend=-1)
+            if len(ends) != len(group) or count.sum() != len(ids):
+                count, ids = self._encode(group)
+            counts.append(count)
+            flats.append(ids)
+        return np.concatenate(counts), np.concatenate(flats)
+
     def _learn_parts(self, parts: list[str]) -> None:
         if len(self.parts.index) > CACHE_WORDS:
             self.parts = Table()
@@ -128,7 +156,7 @@ class WordIds:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each text of a row of texts (bytes and offsets)."""
-        starts, ends, doc = common.word_spans(data, offsets)
+        data, starts, ends, doc, cut = units(data, offsets)
         codes, distinct = pd.factorize(common.span_hashes(data, starts, ends))
         first = np.zeros(len(distinct), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
@@ -137,15 +165,59 @@ class WordIds:
         if len(self.words.index) > CACHE_WORDS:
             self.words = Table()
         places = self.words.places(words)
-        new = [words[i] for i in np.flatnonzero(places < 0).tolist()]
-        if new:
-            self._learn(new)
-            places = self.words.places(words)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            at, is_part = len(self.words.index), cut[first[new]]
+            parts, others = new[is_part], new[~is_part]
+            keys = [words[i] for i in parts.tolist()]
+            self.words.add(keys, *self._encode_parts([k.decode() for k in keys]))
+            places[parts] = at + np.arange(len(parts))
+            if len(others):
+                keys = [words[i] for i in others.tolist()]
+                self._learn(keys)
+                places[others] = self.words.places(keys)
         ids, count = self.words.ids(places[codes])
         by_text = np.bincount(doc, weights=count, minlength=len(offsets) - 1).astype(np.int64)
         return np.split(ids, np.cumsum(by_text)[:-1])
 
 
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, text, whether a part) of the parts of plain words and of all other words, in text order.
+
+    Plain words are lower-cased in these bytes. A part is a run of letters, a digit or a run of signs.
+    """
+    starts, ends, doc = common.word_spans(data, offsets)
+    if not len(starts):
+        return data, starts, ends, doc, np.zeros(0, bool)
+    kind = KIND[data]
+    after = np.flatnonzero(data == 0xC3) + 1
+    after = after[after < len(data)]
+    # The second byte of a letter from U+00C0 to U+00FF; the signs among them are not plain.
+    kind[after] = np.where((data[after] == 0x97) | (data[after] == 0xB7), 0, LETTER)
+    kind[np.flatnonzero((data[:-1] == ord(SPECIAL[0])) & (data[1:] == ord(SPECIAL[1])))] = 0
+    odd = np.flatnonzero((kind == 0) & ~common.IS_SPACE[data])
+    plain = np.ones(len(starts), bool)
+    plain[np.searchsorted(starts, odd, side="right") - 1] = False
+    capital = (data >= 65) & (data <= 90)
+    capital[after] = (data[after] >= 0x80) & (data[after] <= 0x9E)
+    begin = np.zeros(len(data), bool)
+    begin[1:] = kind[1:] != kind[:-1]
+    begin |= kind == DIGIT
+    begin &= ~common.IS_SPACE[data]
+    if len(odd):
+        step = np.zeros(len(data) + 1, np.int8)
+        step[starts[~plain]] += 1
+        step[ends[~plain]] -= 1
+        outside = np.cumsum(step[:-1], dtype=np.int8) == 0
+        begin &= outside
+        capital &= outside
+    begin[starts] = True
+    first = np.flatnonzero(begin)
+    word = np.searchsorted(starts, first, side="right") - 1
+    last = np.minimum(np.append(first[1:], len(data)), ends[word])
+    return data + capital * np.uint8(32), first, last, doc[word], plain[word]
+
+
 _WORKER: dict[str, WordIds] = common.remembered()
 
 

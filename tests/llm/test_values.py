@@ -95,6 +95,23 @@ def test_best_fill_is_best(counts, capacity):
     assert sum(n * k for n, k in picked.items()) == max(s for s in sums if s <= capacity)
 
 
+def test_packing_learns_parts_not_words():
+    """Plain words are cut to parts from the bytes of all texts; ids are the tokenizer's own, odd words included."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.VOCABULARY)
+    rng, ids, tokenizer = random.Random(5), packing.WordIds(path), Tokenizer.from_file(path)
+    signs = [*"abXYZ01'<|>.\"-/w", "'s", "'LL", "<|endoftext|>", "</w>", "é", "É", "ß", "×", "ÿ", "\u0301", "ł", "中", "😀", "\u2003", "²", "İ", "\x01", "\x1c", "\x7f", " ", "\n", " "]
+    texts = ["", None, "É", "'", *("".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(2000))]
+    got = ids.encode(*common.utf8(pa.array(texts, pa.string())))
+    assert [g.tolist() for g in got] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    ids = packing.WordIds(path)
+    ids.encode(*common.utf8(pa.array([" ".join(f"{a}-{b}{c}." for a in ("Ab", "cd", "ef") for b in ("gh", "ij") for c in range(10))])))
+    # 60 words of 5 letter runs, 10 digits, "-" and ".".
+    assert len(ids.words.index) == 17
+
+
 @pytest.mark.parametrize("capacity, pool", [(4096, 2048), (64, 16)])
 def test_packing_is_whole_and_tight(spark, capacity, pool):
     import public_tokenizers
