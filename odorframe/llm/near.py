@@ -150,9 +150,16 @@ _DRAWS: dict[int, tuple[np.ndarray, ...]] = common.remembered()
 def _draws(samples: int) -> tuple[np.ndarray, ...]:
     if samples not in _DRAWS:
         rng = np.random.default_rng(SEED)
-        shape = (samples, ENTRIES)
-        r, c, beta = rng.gamma(2.0, 1.0, shape), rng.gamma(2.0, 1.0, shape), rng.random(shape)
-        _DRAWS[samples] = tuple(x.astype(np.float32) for x in (r, 1.0 / r, np.log(c), beta))
+        # Sample by sample, which takes no more memory than what is kept.
+        r, inverse, log_c, beta = (np.empty((samples, ENTRIES), np.float32) for _ in range(4))
+        for k in range(samples):
+            drawn = rng.gamma(2.0, 1.0, ENTRIES)
+            r[k], inverse[k] = drawn, 1.0 / drawn
+        for k in range(samples):
+            log_c[k] = np.log(rng.gamma(2.0, 1.0, ENTRIES))
+        for k in range(samples):
+            beta[k] = rng.random(ENTRIES)
+        _DRAWS[samples] = r, inverse, log_c, beta
     return _DRAWS[samples]
 
 
