@@ -29,6 +29,8 @@ from odorframe.llm import common
 
 SPAN = 200
 SLICE_BYTES = 2 << 20
+# Text bytes whose seeds are hashed at once.
+AT_ONCE = 1 << 18
 # Text bytes per bucket.
 BUCKET_BYTES = 2 << 20
 # Row groups of the written slices: the Parquet reader holds up to one of them at once.
@@ -61,6 +63,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def anchors(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, seed hashes) of the seeds that are smallest in some span of a text."""
+    parts, start = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))], 0
+    while start < len(offsets) - 1:
+        # Some texts at a time, which bounds what is held besides the result.
+        stop = int(np.searchsorted(offsets, offsets[start] + AT_ONCE, side="right")) - 1
+        stop = min(max(stop, start + 1), len(offsets) - 1)
+        places, h = _anchors(data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start], span)
+        parts.append((places + offsets[start], h))
+        start = stop
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     seed, n = span // 2, len(data)
     if n < span:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -103,6 +117,7 @@ def _unpacked(lengths, body: bytes) -> tuple[bytes, np.ndarray]:
 def _send_seeds(span: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        common.forget(_POWERS)
         for batch in batches:
             for number, lengths, body in zip(*(batch.column(c) for c in ("run", "lengths", "body"))):
                 raw, offsets = _unpacked(lengths.values.to_numpy(), body.as_py())

@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +148,28 @@ def edited(words, n, seed):
     return " ".join(out)
 
 
+def test_sampling_tables_are_made_in_place():
+    near._DRAWS.clear()
+    tracemalloc.start()
+    kept = sum(x.nbytes for x in near._draws(36))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.4 * kept
+
+
+def test_seeds_are_hashed_some_texts_at_a_time():
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab cd", k=rng.choice((0, 150, 5000, 300_000)))) for _ in range(120)]
+    data, offsets = common.utf8(pa.array(texts))
+    tracemalloc.start()
+    places, h = suffixes.anchors(data, offsets, 200)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = suffixes._anchors(data, offsets, 200)
+    assert len(data) > 2 << 20 and np.array_equal(places, whole[0]) and np.array_equal(h, whole[1])
+    assert most < 40e6 + 16 * len(places) * 2
+
+
 def test_near_copies_found_and_others_left(spark, tmp_path):
     r = random.Random(5)
     def prose(n):
