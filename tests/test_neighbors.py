@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from odorframe.operators import models
+from odorframe.operators import models, neighbors
 from odorframe.operators.neighbors import knn_join
 
 
@@ -84,3 +84,19 @@ def test_copies_of_a_row_do_not_grow_with_the_rows():
         assert -(-rows // neighbors.tile_size(rows, 64)) <= 40
     assert neighbors.tile_size(10**9, 64) * 64 <= neighbors.TILE_VALUES
     assert neighbors.tile_size(500, 10**6) == neighbors.TILE_ROWS
+
+
+def test_rough_manhattan_ranks_like_the_exact_sums():
+    """Single precision only proposes; offsets, copies, near copies and huge values end as the exact distances do."""
+    rng = np.random.default_rng(3)
+    few = rng.normal(size=(40, 16))
+    near = np.repeat(few, 20, axis=0) + rng.normal(size=(800, 16)) * 1e-7
+    for b in (rng.normal(size=(9000, 16)), few[rng.integers(0, 40, 800)], near, near + 1e6, rng.normal(size=(300, 16)) * 1e35):
+        p = b[:70]
+        want = neighbors.exact_distances(p, b, "manhattan")
+        want[np.arange(70), np.arange(70)] = np.inf
+        rows, cols, d = neighbors.nearest_in_tile(p, np.arange(70), b, np.arange(len(b)), 3, "manhattan", True)
+        order = np.lexsort((np.broadcast_to(np.arange(len(b)), want.shape), want), axis=1)[:, :3]
+        assert rows.tolist() == np.repeat(np.arange(70), 3).tolist() and np.allclose(d, np.take_along_axis(want, order, 1).ravel(), rtol=1e-12)
+        d32, off = neighbors.RoughManhattan(b)(p)
+        assert d32.dtype == np.float32 and (b.max() > 1e30 or (np.abs(d32 - neighbors.exact_distances(p, b, "manhattan")) <= off + 1e-9 * np.abs(b).max()).all())
