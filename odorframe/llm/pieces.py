@@ -1,10 +1,10 @@
-"""SentencePiece encoding and decoding over a relational lattice.
+"""SentencePiece encoding and decoding over a lattice.
 
-Encoding deals the texts into blocks, takes each block's distinct words, explodes their
-substrings of bounded length, equi-joins them to the piece table, groups the edges by word and
-folds the best path with a higher-order aggregate. Everything after the one exchange keeps its
-partitioning by block; what is sorted are edges of distinct words, not of all words. The texts of
-a block then look their words up. The piece table is a model file's and has its fixed size.
+A task takes some texts at a time and their distinct words. The substrings of all these words are
+looked up at once, character by character, in the pieces laid out as a trie; each piece found is an
+edge of a word's lattice. Edges are folded by the place they start at, again for all words at once,
+into the best path to every place, and the texts look their words' ids up. Nothing is shuffled,
+and what a task holds is bounded by the bytes of the texts it takes at a time.
 
 The path is the one of the highest sum of piece scores (ties: the one whose last piece is
 longest). A file whose pieces were made by merging (BPE) has ranks for scores, so the path needn't
@@ -18,12 +18,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odorframe.llm import common
@@ -36,9 +35,8 @@ LONGEST_WORD = 512
 WORD = f"{SPACE}?[^{SPACE}]{{1,{LONGEST_WORD}}}|{SPACE}"
 # What a byte of a character without a piece costs below the lowest score of a piece.
 BYTE_PENALTY = 10.0
-BLOCK_BYTES = 4 << 20
-# Words of a task whose edges are gathered in memory; Spark's own bound is 128, beyond which it sorts all edges on disk.
-WORDS_AT_ONCE = 150_000
+# Text bytes whose words are encoded at once.
+BLOCK_BYTES = 2 << 20
 
 
 @dataclass
@@ -60,100 +58,123 @@ class Model:
             raise ValueError("the model needs a piece for each byte")
         return cls([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], [not s for s in special], [of_byte[f"<0x{b:02X}>"] for b in range(256)])
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(p, i, s) for i, (p, s, ok) in enumerate(zip(self.pieces, self.scores, self.plain)) if ok]
-        return spark.createDataFrame(rows, "piece string, id int, score double")
-
-    @property
-    def longest(self) -> int:
-        return max(len(p) for p, ok in zip(self.pieces, self.plain) if ok)
-
     @property
     def lowest(self) -> float:
         return min(s for s, ok in zip(self.scores, self.plain) if ok and s > -1e6)
 
 
-def marked(text: Column) -> Column:
-    """The text with a space mark in front and one for each space; empty stays empty."""
-    full = F.coalesce(text, F.lit(""))
-    return F.when(full == "", "").otherwise(F.concat(F.lit(SPACE), F.replace(full, F.lit(" "), F.lit(SPACE))))
-
-
-def best_paths(words: DataFrame, model: Model, keys: list[str]) -> DataFrame:
-    """``words`` (keys, word) with the ids of the best path of each word.
-
-    ``keys`` and word identify a row. Rows stay where they are if they are dealt by ``keys``.
-    """
-    spark = words.sparkSession
-    # The piece table's size is fixed by the model file.
-    table = F.broadcast(model.table(spark))
-    size = F.length("word")
-    numbered = words.withColumn("w", F.monotonically_increasing_id())
-    starts = numbered.select(*keys, "w", "word", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    cuts = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), size - F.col("start")))).alias("n"))
-    cuts = cuts.withColumn("piece", F.expr("substring(word, start + 1, n)"))
-    joined = cuts.join(table, "piece", "left").filter("id is not null or n = 1")
-    # An edge is one number: end, start and id + 1; a character without a piece is one edge of all
-    # its bytes, with 0 for the id. The scores stand in a constant, as long as the model's table.
-    edge = (F.col("start") + F.col("n")).cast("long") * 2**42 + F.col("start").cast("long") * 2**32 + F.coalesce(F.col("id") + 1, F.lit(0))
-    # w comes first: edges are sorted by a number, and only equal numbers compare words.
-    lattice = joined.select("w", *keys, "word", edge.alias("edge")).groupBy("w", *keys, "word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    scores = F.lit([float(s) for s in model.scores])
-    worst = model.lowest - BYTE_PENALTY
-
-    def step(best: Column, e: Column) -> Column:
-        end, start = F.shiftright(e, 42).cast("int"), F.shiftright(e, 32).bitwiseAND(F.lit(1023).cast("long")).cast("int")
-        id_ = e.bitwiseAND(F.lit(2**32 - 1)).cast("int") - 1
-        own = F.when(id_ >= 0, F.element_at(scores, id_ + 1)).otherwise(F.lit(worst) * F.octet_length(F.substring(F.col("word"), start + 1, F.lit(1))))
-        total = F.element_at(best, start + 1)["score"] + own
-        found = F.struct(total.alias("score"), start.alias("start"), id_.alias("id"))
-        # Edges come by end: one more end, or another edge to the last one.
-        return (
-            F.when(end == F.size(best), F.concat(best, F.array(found)))
-            .when(total > F.element_at(best, -1)["score"], F.concat(F.slice(best, 1, F.size(best) - 1), F.array(found)))
-            .otherwise(best)
-        )
-
-    origin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id")))
-    folded = lattice.select(*keys, "word", F.aggregate("edges", origin, step).alias("best"))
-    byte_ids = F.array(*[F.lit(i) for i in model.bytes_])
-
-    def bytes_of(at: Column) -> Column:
-        digits = F.hex(F.encode(F.substring(F.col("word"), at + 1, F.lit(1)), "UTF-8"))
-        places = F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1)
-        return F.transform(places, lambda i: F.element_at(byte_ids, F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int") + 1))
-
-    def back(state: Column, _: Column) -> Column:
-        at = F.element_at(F.col("best"), state["end"] + 1)
-        ids = F.when(at["id"] >= 0, F.array(at["id"])).otherwise(bytes_of(at["start"]))
-        moved = F.struct(at["start"].alias("end"), F.concat(ids, state["ids"]).alias("ids"))
-        return F.when(state["end"] == 0, state).otherwise(moved)
-
-    first = F.struct((F.size("best") - 1).alias("end"), F.array().cast("array<int>").alias("ids"))
-    return folded.select(*keys, "word", F.aggregate(F.col("best"), first, back, lambda s: s["ids"]).alias("ids"))
+class Lattice:
+    """The pieces as a trie in arrays: a node and a code point lead to the next node, which may end a piece."""
+
+    def __init__(self, model: Model):
+        next_: dict[tuple[int, int], int] = {}
+        ends: dict[int, int] = {}
+        for i, (piece, ok) in enumerate(zip(model.pieces, model.plain)):
+            if ok:
+                node = 0
+                for c in map(ord, piece):
+                    node = next_.setdefault((node, c), len(next_) + 1)
+                ends[node] = i
+        keys = np.array([node << 21 | c for node, c in next_], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.child = keys[order], np.array(list(next_.values()), np.int64)[order]
+        self.ends = np.full(len(next_) + 1, -1, np.int32)
+        self.ends[list(ends)] = list(ends.values())
+        self.scores = np.array(model.scores, np.float64)
+        self.worst = model.lowest - BYTE_PENALTY
+        self.bytes_ = np.array(model.bytes_, np.uint32)
+
+    def edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, length, id) of all pieces in words of ``codes``, ``left`` of them up to a word's end.
+
+        A character without a piece is one edge of all its bytes, with -1 for the id.
+        """
+        at, node, n, out = np.arange(len(codes)), np.zeros(len(codes), np.int64), 0, []
+        while len(at):
+            key = node << 21 | codes[at + n]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[k] == key
+            n += 1
+            node = self.child[k]
+            ids = np.where(known, self.ends[node], np.int32(-1))
+            found = ids >= 0 if n > 1 else slice(None)
+            out.append((at[found], ids[found], n))
+            on = known & (left[at] > n)
+            at, node = at[on], node[on]
+        length = np.repeat([n for _, _, n in out], [len(a) for a, _, _ in out])
+        return np.concatenate([a for a, _, _ in out]), length, np.concatenate([i for _, i, _ in out])
+
+    def best_paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the best path of each word in a row, how many each has)."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.cumsum(size) - size
+        word = np.repeat(np.arange(len(words)), size)
+        inner = np.arange(len(codes)) - first[word]
+        at, length, ids = self.edges(codes, size[word] - inner)
+        wide = np.array([1, 2, 3, 4])[np.searchsorted([0x80, 0x800, 0x10000], codes, side="right")]
+        own = np.where(ids >= 0, self.scores[ids], self.worst * wide[at])
+        # A word has one place more than characters. Edges come by start: an earlier start is only
+        # beaten by a better path, and those of one start end at different places.
+        order = np.argsort(inner[at].astype(np.uint16), kind="stable")
+        cuts = np.cumsum(np.bincount(inner[at], minlength=1))
+        start, length, ids, own = (at + word[at])[order], length[order], ids[order], own[order]
+        best = np.full(len(codes) + len(words), -np.inf)
+        by = np.zeros(len(best), np.int64)
+        origin = first + np.arange(len(words))
+        best[origin] = 0.0
+        for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
+            total, end = best[start[lo:hi]] + own[lo:hi], start[lo:hi] + length[lo:hi]
+            better = total > best[end]
+            best[end[better]] = total[better]
+            by[end[better]] = lo + np.flatnonzero(better)
+        # All words go back from their ends at once, an edge at a time.
+        steps, who, place = [], np.arange(len(words)), origin + size
+        while len(who):
+            edge = by[place]
+            steps.append((who, edge))
+            place = start[edge]
+            on = place > origin[who]
+            who, place = who[on], place[on]
+        n = np.bincount(np.concatenate([w for w, _ in steps]), minlength=len(words)) if steps else np.zeros(0, np.int64)
+        last = np.cumsum(n) - 1
+        path = np.zeros(int(n.sum()), np.int64)
+        for k, (who, edge) in enumerate(steps):
+            path[last[who] - k] = edge
+        # Characters without a piece become their bytes.
+        strange = ids[path] < 0
+        char = start[path] - np.repeat(np.arange(len(words)), n)
+        times = np.where(strange, wide[char], 1)
+        flat = np.repeat(ids[path], times).astype(np.uint32)
+        body = "".join(map(chr, codes[char[strange]].tolist())).encode()
+        flat[np.repeat(strange, times)] = self.bytes_[np.frombuffer(body, np.uint8)]
+        return flat, np.bincount(np.repeat(np.arange(len(words)), n), weights=times, minlength=len(words)).astype(np.int64)
 
 
 _ENCODED = "row long, doc_id long, n_ids long, ids binary"
 
 
-def _encode_block(key: tuple, texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    index = dict(zip(words["word"], range(len(words))))
-    count = np.fromiter(map(len, words["ids"]), np.int64, len(words))
-    flat = np.concatenate([np.asarray(i, np.uint32) for i in words["ids"]]) if len(words) else np.zeros(0, np.uint32)
-    first = np.cumsum(count) - count
-    split = re.compile(WORD)
-    out = []
-    for body in texts["body"]:
-        row, doc_id, text = body.split("\t", 2)
-        codes = np.fromiter((index[w] for w in split.findall(text)), np.int64)
-        n = count[codes]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(first[codes] - ends + n, n) + np.arange(total)]
-        out.append((int(row), int(doc_id) if doc_id else None, total, ids.astype("<u4").tobytes()))
-    made = pd.DataFrame(out, columns=["row", "doc_id", "n_ids", "ids"])
-    # From the list itself: a column of numbers and nulls would pass through doubles.
-    return made.assign(doc_id=pd.array([r[1] for r in out], dtype="Int64"))
+def _encode(lattice: Broadcast, limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = re.compile(WORD)
+        for part in common.slices(batches, "text", limit):
+            index: dict[str, int] = {}
+            codes = []
+            for text in part.column("text").to_pylist():
+                marked = SPACE + text.replace(" ", SPACE) if text else ""
+                codes.append(np.array([index.setdefault(w, len(index)) for w in split.findall(marked)], np.int64))
+            flat, count = lattice.value.best_paths(list(index))
+            first = np.cumsum(count) - count
+            sizes, bodies = [], []
+            for own in codes:
+                n = count[own]
+                ends = np.cumsum(n)
+                total = int(ends[-1]) if len(ends) else 0
+                sizes.append(total)
+                bodies.append(flat[np.repeat(first[own] - ends + n, n) + np.arange(total)].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary())], ["row", "doc_id", "n_ids", "ids"])
+
+    return run
 
 
 def encode(docs: DataFrame, model: Model | None = None, row: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -161,21 +182,12 @@ def encode(docs: DataFrame, model: Model | None = None, row: str | None = None,
 
     As SentencePiece does without further normalising: a space mark in front, one for each
     space; a null or empty text has no ids. Characters without a piece become their bytes. Rows that
-    repeat are encoded each; an empty table gives an empty one. Sets the session's bound for
-    gathering in memory, which Spark reads when the result is run.
+    repeat are encoded each; an empty table gives an empty one.
     """
-    docs.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(WORDS_AT_ONCE))
-    model = model or Model.load()
-    blocks = common.blocks_for(docs, block_bytes)
+    shared = docs.sparkSession.sparkContext.broadcast(Lattice(model or Model.load()))
     number = F.monotonically_increasing_id() if row is None else F.col(row)
-    # One column holds it all, so that both readers of the exchange need the same columns and share it.
-    head = F.concat(number.cast("string"), F.lit("\t"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\t"))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), F.concat(head, marked(F.col("text"))).alias("body")).repartition("block")
-    text = F.regexp_replace("body", "\\A[0-9]*\t[-0-9]*\t", "")
-    words = dealt.select("block", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)))).alias("word"))
-    paths = best_paths(words.distinct(), model, ["block"])
-    texts = dealt.select(F.col("block").alias("deal"), "body")
-    return texts.groupBy("deal").cogroup(paths.groupBy("block")).applyInPandas(_encode_block, _ENCODED)
+    source = docs.select(number.cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return source.mapInArrow(_encode(shared, block_bytes), _ENCODED)
 
 
 def _decode(model: Broadcast):

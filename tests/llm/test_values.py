@@ -83,6 +83,25 @@ def test_pieces_round_trip(spark):
         assert r["text"] == texts[r["doc_id"]]
 
 
+def test_pieces_long_runs_ties_and_nulls(spark, tmp_path):
+    model = pieces.Model(["\u2581", "a", "b", "aa", "ab", "ba"] + [f"<0x{b:02X}>" for b in range(256)], [0.0, -1.0, -1.0, -2.0, -2.0, -2.0] + [0.0] * 256, [True] * 6 + [False] * 256, list(range(6, 262)))
+    vocabulary = {p: i for i, p in enumerate(model.pieces[:6])}
+    run = "".join(random.Random(3).choice("aab") for _ in range(5000))
+    rows = [(2**60 + 1, run), (None, "ab aab \u00e9\u6f22\U0001f600 abab"), (2**60 + 3, None), (7, "   "), (7, "aaa")]
+    got = pieces.encode(stored(spark, tmp_path, rows), model)
+    # Texts stay where they are: nothing is dealt or sorted.
+    assert not re.search(r"Exchange|Sort\b|Aggregate", got._jdf.queryExecution().toString())
+    found = sorted((r["doc_id"] or 0, r["n_ids"], np.frombuffer(r["ids"], "<u4").tolist()) for r in got.collect())
+    want = []
+    for doc_id, text in rows:
+        marked = pieces.SPACE + text.replace(" ", pieces.SPACE) if text else ""
+        ids = [i for w in re.findall(pieces.WORD, marked) for i in brute_path(w, model, vocabulary)]
+        want.append((doc_id or 0, len(ids), ids))
+    assert found == sorted(want)
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert pieces.encode(empty).count() == 0
+
+
 # 4 packing
 
 
@@ -502,3 +521,41 @@ def test_registered_queries():
     names = entry.queries()
     assert [n for n in names if re.match(r"op\d+_", n)] and "pipeline" in names
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11))
+
+
+def test_batches_of_the_pipeline_are_bounded_by_bytes(spark, tmp_path):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = stored(spark, tmp_path, [(i, f"word{i} " * 2000) for i in range(2000)], parts=1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    try:
+        for _, stage in corpus_pipeline.STAGES[2:]:
+            spark.conf.set(name, before)
+            stage(spark, docs.limit(20), "")
+            assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) < common.BATCH_BYTES + (1 << 19)
+        spark.conf.set(name, "1000000")
+        common.small_batches(spark)
+        assert spark.conf.get(name) == "1000000"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_removing_holds_little_besides_the_texts():
+    text = random.Random(5).randbytes(1 << 21)
+    lengths = np.array([1 << 10] * 2048, np.int32)
+    ids = [None if i == 9 else str(2**60 + i) for i in range(2048)]
+    texts = suffixes.pd.DataFrame({"run": [1], "ids": [ids], "lengths": [lengths], "body": [suffixes.zlib.compress(text, 1)]})
+    found = suffixes.pd.DataFrame({"run": [1], "spans": [np.array([0, 200, 100, 300, 1024, 2048, 5000, 5120], "<i4").tobytes()]})
+    tracemalloc.start()
+    out = suffixes._remove(False)((1,), texts, found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 70 MB when every byte of the slice had numbers of 8 bytes.
+    assert peak < 30 << 20
+    assert out["n_removed"].tolist()[:6] == [300, 1024, 0, 0, 120, 0] and out["n_spans"].tolist()[:6] == [1, 1, 0, 0, 1, 0]
+    assert out["kept"][0] == text[300:1024] and out["kept"][1] == b"" and out["doc_id"].isna().tolist()[8:11] == [False, True, False]
+    assert int(out["doc_id"][2]) == 2**60 + 2
