@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next stage's documents. All but the last return the columns of ``documents``.
+All stages share the executors' memory with what earlier ones left there, so each bounds the batches
+that its Python workers get (a setting of the session, which stays).
 """
 
 from __future__ import annotations
@@ -9,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from odorframe.llm import exact, near, packing, perplexity, suffixes
-from odorframe.llm.common import new_path, table
+from odorframe.llm.common import new_path, small_batches, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the perplexity classifier accepts."""
+    small_batches(spark)
     return perplexity.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
@@ -24,16 +27,19 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
+    small_batches(spark)
     return near.kept_documents(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of repeated 200-byte strings."""
+    small_batches(spark)
     return suffixes.trimmed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 4096 tokens."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

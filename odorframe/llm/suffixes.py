@@ -386,26 +386,27 @@ def _remove(as_text: bool):
         for ids, lengths, body in zip(texts["ids"], texts["lengths"], texts["body"]):
             raw, offsets = _unpacked(lengths, body)
             data = np.frombuffer(raw, np.uint8)
-            depth = np.zeros(len(data) + 1, np.int64)
-            if len(found):
-                pairs = np.concatenate([np.frombuffer(b, "<i4") for b in found["spans"]])
+            depth = np.zeros(len(data) + 1, np.int32)
+            for b in found["spans"]:
+                pairs = np.frombuffer(b, "<i4")
                 np.add.at(depth, pairs[0::2], 1)
                 np.add.at(depth, pairs[1::2], -1)
-            gone = np.cumsum(depth[:-1]) > 0
+            np.cumsum(depth, out=depth)
+            gone = depth[:-1] > 0
+            del depth
             starts = gone.copy()
             starts[1:] &= ~gone[:-1]
             inner = offsets[offsets < len(data)]
             starts[inner] = gone[inner]
-            total = np.concatenate([[0], np.cumsum(gone)])
-            runs = np.concatenate([[0], np.cumsum(starts)])
-            rest = data[~gone].tobytes()
-            cut = offsets - total[offsets]
-            for i, doc_id in enumerate(ids):
-                doc_id = None if doc_id is None else int(doc_id)
-                a, b, own = offsets[i], offsets[i + 1], rest[cut[i] : cut[i + 1]]
-                out.append((doc_id, b - a, total[b] - total[a], runs[b] - runs[a], own.decode("utf-8", "ignore") if as_text else own))
+            # Text by text, which holds no numbers for all bytes of the slice.
+            for doc_id, a, b in zip(ids, offsets[:-1].tolist(), offsets[1:].tolist()):
+                own = data[a:b][~gone[a:b]].tobytes()
+                n_removed, n_spans = b - a - len(own), int(np.count_nonzero(starts[a:b]))
+                out.append((None if doc_id is None else int(doc_id), b - a, n_removed, n_spans, own.decode("utf-8", "ignore") if as_text else own))
         made = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-        return made.assign(doc_id=pd.array([r[0] for r in out], dtype="Int64"))
+        made = made.assign(doc_id=pd.array([r[0] for r in out], dtype="Int64"))
+        common.release()
+        return made
 
     return run
 
