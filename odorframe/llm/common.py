@@ -66,7 +66,7 @@ def small_batches(spark: SparkSession) -> None:
     them. A bound of the session's own that is smaller stays; a row is never cut.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    own = spark.conf.get(name, "").removesuffix("b")
+    own = spark.conf.get(name).removesuffix("b")
     if not own.isdigit() or int(own) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 

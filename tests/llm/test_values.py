@@ -534,7 +534,8 @@ def test_batches_of_the_pipeline_are_bounded_by_bytes(spark, tmp_path):
 
     try:
         for _, stage in corpus_pipeline.STAGES[2:]:
-            spark.conf.set(name, before)
+            # As a session begins.
+            spark.conf.unset(name)
             stage(spark, docs.limit(20), "")
             assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) < common.BATCH_BYTES + (1 << 19)
         spark.conf.set(name, "1000000")
