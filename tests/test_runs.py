@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from odorframe.functions import draws
-from odorframe.operators import augment, oversample
+from checks import fitted
+from odorframe.operators import augment, fits, models, oversample
 from odorframe.operators.neighbors import knn_join
 from odorframe.plans import experiment
 
@@ -85,3 +86,43 @@ def test_small_and_tiled_joins_agree(spark):
     build = spark.createDataFrame(rows, "g int, build_id long, v array<double>")
     find = lambda **o: sorted((r["probe_id"], r["ordinal"], r["build_id"]) for r in knn_join(probe, build, 4, within=["g"], skip_self=True, **o).collect())
     assert find() == find(tile_rows=16) == find(tile_rows=16, pivots=5)
+
+
+def test_models_of_the_baseline_runs_share_packed_rows(spark, monkeypatch):
+    """Rows are packed twice (seeds and held-out rows), not twice a model."""
+    packed, used = [], []
+
+    def pack(rows, run):
+        packed.append(rows)
+        return rows
+
+    def fit_runs(name, train, test, unit, settings=None, cap=100_000, seed=42, blocks=None, probes=None):
+        blocks = experiment.train_blocks(train, unit, cap, seed) if blocks is None else blocks
+        probes = experiment.test_blocks(test, unit) if probes is None else probes
+        used.append((blocks, probes))
+        empty = ", ".join([*[f"{c} int" for c in experiment.RUN], "n_test long, accuracy double, f1 double, params string, fit_seconds double, predict_seconds double, error string"])
+        return spark.createDataFrame([], empty)
+
+    monkeypatch.setattr(experiment.fits, "pack", pack)
+    monkeypatch.setattr(experiment, "fit_runs", fit_runs)
+    monkeypatch.setattr(fitted, "SIZES", (1,))
+    assert fitted.fitted_baseline_runs(spark, "/root/testdata/sf0.001").columns[:4] == [*experiment.RUN, "model"]
+    assert len(packed) == 2 and len(used) == len(fitted.FITTED)
+    assert all(b is used[0][0] and p is used[0][1] for b, p in used)
+
+
+def test_few_models_go_to_the_blocks_many_are_joined_by_shuffle(spark, batch, monkeypatch):
+    rows = batch.select(*experiment.RUN, F.col("measurement_id").alias("row_id"), "label", F.flatten("x").alias("v"))
+    blocks = fits.pack(rows, experiment.RUN)
+    found = fits.fit("LogisticRegression", blocks, models.settings_for(blocks, experiment.RUN), experiment.RUN)
+    few = fits.predict("LogisticRegression", found, blocks, experiment.RUN)
+    monkeypatch.setattr(fits, "SENT_BYTES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = fits.predict("LogisticRegression", found, blocks, experiment.RUN)
+        told = lambda df: sorted(tuple(r)[:-1] for r in df.collect())
+        assert told(few) == told(many) and few.count() > 40
+        assert "Exchange hashpartitioning" not in few._jdf.queryExecution().toString()
+        assert "Exchange hashpartitioning" in many._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
