@@ -55,22 +55,6 @@ def written(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# Rows that go to a Python worker at once, in bytes: a little under a power of two, as Arrow's buffers double.
-BATCH_BYTES = 15 << 19
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows sent to Python workers at once by their bytes, for all that the session runs from here on.
-
-    By default only their number (and 64 MB) does, and both the executor's buffers and the worker hold
-    them. A bound of the session's own that is smaller stays; a row is never cut.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    own = spark.conf.get(name).removesuffix("b")
-    if not own.isdigit() or int(own) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
 # Keys (8 bytes each) sent to every executor at most; beyond it joins shuffle.
 BROADCAST_KEYS = 2_000_000
 
