@@ -100,3 +100,75 @@ def test_rough_manhattan_ranks_like_the_exact_sums():
         assert rows.tolist() == np.repeat(np.arange(70), 3).tolist() and np.allclose(d, np.take_along_axis(want, order, 1).ravel(), rtol=1e-12)
         d32, off = neighbors.RoughManhattan(b)(p)
         assert d32.dtype == np.float32 and (b.max() > 1e30 or (np.abs(d32 - neighbors.exact_distances(p, b, "manhattan")) <= off + 1e-9 * np.abs(b).max()).all())
+
+
+def test_codes_leave_few_pairs_to_measure():
+    """Bytes propose, with or without a known bound; offsets, copies, clusters, outliers and repeated ids end as the exact distances do."""
+    rng = np.random.default_rng(4)
+    plain = rng.normal(size=(1501, 16))
+    tight = rng.normal(0, 5, (3, 16))[rng.integers(0, 3, 1501)] + rng.normal(size=(1501, 16)) * 1e-4
+    far = plain * np.where(rng.random((1501, 1)) < 0.01, 1e6, 1)
+    uneven = plain * np.array([1e4] + [1.0] * 15)
+    for b in (plain, plain[rng.integers(0, 300, 1501)], tight, far, uneven, plain + 1e6, np.zeros((1501, 16)), plain[:, :1], np.round(plain[:, :5])):
+        for bid in (np.arange(len(b)), np.arange(len(b)).astype(str)):
+            p, pid = b[700:900], bid[700:900]
+            want = neighbors.exact_distances(p, b, "manhattan")
+            want[np.arange(200), np.arange(700, 900)] = np.inf
+            order = np.array([np.lexsort((bid, d))[:3] for d in want])
+            near = np.take_along_axis(want, order, 1)
+            for within in (None, near[:, 2], near[:, 2] * 1.5):
+                rows, cols, d = neighbors.nearest_in_tile(p, pid, b, bid, 3, "manhattan", True, within)
+                assert rows.tolist() == np.repeat(np.arange(200), 3).tolist() and cols.tolist() == order.ravel().tolist() and d.tolist() == near.ravel().tolist()
+
+    measured, measure = [], neighbors.Nearest.measure
+
+    def counted(self, pv, bv, rows, *rest):
+        measured.append(len(rows))
+        return measure(self, pv, bv, rows, *rest)
+
+    neighbors.Nearest.measure = counted
+    try:
+        b = rng.normal(size=(9000, 64))
+        neighbors.nearest_in_tile(b[:500], np.arange(500), b, np.arange(9000), 3, "manhattan", True)
+        assert 0 < sum(measured) < 500 * 9000 // 20
+    finally:
+        neighbors.Nearest.measure = measure
+
+
+def test_both_ways_is_each_way():
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(1300, 12)), rng.normal(size=(2100, 12))
+    aid, bid = np.arange(1300) * 2, np.arange(2100)
+    for a, b in ((a, b), (np.round(a), np.round(b)), (np.zeros_like(a), np.zeros_like(b)), (a[:40], b), (a, b[:40])):
+        for bounds in (True, False):
+            x, y = aid[: len(a)], bid[: len(b)]
+            one, other = neighbors.nearest_in_tile(a, x, b, y, 3, "manhattan", True), neighbors.nearest_in_tile(b, y, a, x, 3, "manhattan", True)
+            last = lambda n, near: np.maximum.reduceat(near[2], np.searchsorted(near[0], np.arange(n))) if bounds else np.full(n, np.inf)
+            got = neighbors.nearest_both_ways(a, x, b, y, 3, True, last(len(a), one), last(len(b), other))
+            for want, have in zip((one, other), got):
+                assert all(np.array_equal(i, j) for i, j in zip(want, have))
+
+
+@pytest.mark.parametrize("clusters", [1, 40])
+def test_rows_joined_with_themselves_meet_once(spark, monkeypatch, clusters):
+    """Without structure a pair of tiles meets once, for the probes of both; with structure cells thin the pairs out."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(0, 50, (clusters, 6))[rng.integers(0, clusters, 3000)] + rng.normal(size=(3000, 6))
+    v[:20] = v[20:40]
+    monkeypatch.setattr(neighbors, "BROADCAST_VALUES", 1000)
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 300)
+    monkeypatch.setattr(neighbors, "tile_size", lambda rows, dim: 1100)
+    met, once = [], neighbors._join_same
+    monkeypatch.setattr(neighbors, "_join_same", lambda *a: met.append(1) or once(*a))
+    rows = frame(spark, v, "id").withColumnRenamed("g", "label").repartition(3)
+    probe, build = rows.selectExpr("id AS probe_id", "v"), rows.selectExpr("id AS build_id", "v", "label")
+    d = neighbors.exact_distances(v, v, "manhattan")
+    d[np.arange(3000), np.arange(3000)] = np.inf
+    want = dict(enumerate(np.argsort(d, axis=1, kind="stable")[:, :3].tolist()))
+    got = knn_join(probe, build, 3, metric="manhattan", skip_self=True)
+    assert sorted(got.columns) == ["build_id", "distance", "label", "ordinal", "probe_id"]
+    assert collect(got) == want
+    assert bool(met) == (clusters == 1)
+    other = knn_join(probe.filter("probe_id < 500"), build, 3, metric="manhattan", skip_self=True)
+    assert collect(other) == {i: near for i, near in want.items() if i < 500}
+    assert len(met) == (clusters == 1)
